@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .curriculum import curriculum
+from .packing import pack
 from .ring_shards import ring_shards
 
 
@@ -19,8 +20,20 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed vocabulary lies; every machine has it under the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_curriculum, op4_ring_shards)}
+    return {f.__name__: f for f in (op3_curriculum, op4_ring_shards, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
