@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .curriculum import curriculum
+from .near_dedup import near_components
 from .packing import pack
 from .ring_shards import ring_shards
 
@@ -32,8 +33,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_components(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_curriculum, op4_ring_shards, op7_packing)}
+    return {f.__name__: f for f in (op3_curriculum, op4_ring_shards, op7_packing, op8_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
