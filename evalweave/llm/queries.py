@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .curriculum import curriculum
+from .main_text import main_text
 from .near_dedup import near_components
 from .packing import pack
 from .ring_shards import ring_shards
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,7 +44,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_curriculum, op4_ring_shards, op7_packing, op8_near_dedup)}
+    return {f.__name__: f for f in (op1_main_text, op3_curriculum, op4_ring_shards, op7_packing, op8_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
