@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,44 +46,55 @@ def lowered(text: str) -> str:
 class WordIds:
     """Ids of texts, as little-endian 32-bit words, for a tokenizer that drops white space and never joins words.
 
-    As no token spans a space, a text's ids are those of its space-separated parts in a row; parts recur. New parts
-    are encoded as one text, with a private-use character between them whose ids show where each ends.
+    As no token spans a space, a text's ids are those of its space-separated parts in a row; parts recur. A part of
+    lower-case Latin-1 letters only is one word to the tokenizer and normal already: such parts are encoded many at a
+    time by a copy without normalizer that splits at white space only, and each ends at an end-of-word token. Other
+    parts go through the whole tokenizer, one by one.
     """
 
-    MARK = "\ue000"
-
     def __init__(self, path: str):
         quiet_threads()
         import numpy as np
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
-        self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, "<u4")
 
     def meet(self, parts: list[str]) -> None:
         """Learn new parts; a word with a comma or stop behind it is that word's ids and the mark's."""
         tails = {p: p[:-1] for p in parts if p[-1] in ",." and p[:-1].isalnum()}
-        plain = list({tails.get(p, p) for p in parts}.union(",.").difference(self.known))
-        for i in range(0, len(plain), MISSES):
-            self.learn(plain[i : i + MISSES])
+        new = {tails.get(p, p) for p in parts}.union(",.").difference(self.known)
+        words = [p for p in new if p.isalpha() and p.isascii()] + [p for p in new if p.isalpha() and not p.isascii() and lowered(p) == p and max(p) < "\u0100"]
+        words = [p for p in words if p.islower()]
+        for i in range(0, len(words), MISSES):
+            self.learn(words[i : i + MISSES])
+        rest = list(new.difference(self.known))
+        for i in range(0, len(rest), MISSES):
+            self.learn_any(rest[i : i + MISSES])
         known = self.known
         known.update({p: known[word] + known[p[-1]] for p, word in tails.items()})
 
-    def learn(self, parts: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         import numpy as np
 
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        m = len(self.mark)
-        hits = np.lib.stride_tricks.sliding_window_view(np.append(ids, self.mark), m) == self.mark
-        ends = np.flatnonzero(hits.all(axis=1))
-        if len(ends) != len(parts):  # a part holds the mark itself
-            for part, got in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(got.ids, "<u4").tobytes()
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+        if len(stops) != len(words):
+            self.learn_any(words)
             return
         data = ids.tobytes()
-        stops = (ends * 4).tolist()
-        self.known.update(zip(parts, [data[i:j] for i, j in zip([0, *[x + 4 * m for x in stops[:-1]]], stops, strict=True)], strict=True))
+        self.known.update(zip(words, [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
+    def learn_any(self, parts: list[str]) -> None:
+        import numpy as np
+
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.known[part] = np.array(got.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [lowered(text).replace("\n", " ").split(" ") for text in texts]
@@ -110,13 +122,19 @@ class WordIds:
         yield from self.ids(some)
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that what it has learnt serves the next tasks too."""
+    return WordIds(path)
+
+
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, end = WordIds(tokenizer_path), end_id.to_bytes(4, "little")
+        words, end = word_ids(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             texts = (text.as_py() or "" for text in batch.column("text"))
