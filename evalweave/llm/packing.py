@@ -34,13 +34,17 @@ CACHE, CACHED_CHARS, MISSES, AT_ONCE = 600_000, 48, 4096, 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def lowered(text: str) -> str:
-    """Lower case, which the tokenizer asks for anyway, where no rule looks at more than a letter."""
+def is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return text
-    return text.lower()
+        return False
+    return True
+
+
+def lowered(text: str) -> str:
+    """Lower case, which the tokenizer asks for anyway, where no rule looks at more than a letter."""
+    return text.lower() if is_latin(text) else text
 
 
 class WordIds:
@@ -69,8 +73,10 @@ class WordIds:
         """Learn new parts; a word with a comma or stop behind it is that word's ids and the mark's."""
         tails = {p: p[:-1] for p in parts if p[-1] in ",." and p[:-1].isalnum()}
         new = {tails.get(p, p) for p in parts}.union(",.").difference(self.known)
-        words = [p for p in new if p.isalpha() and p.isascii()] + [p for p in new if p.isalpha() and not p.isascii() and lowered(p) == p and max(p) < "\u0100"]
-        words = [p for p in words if p.islower()]
+        words = [p for p in new if p.isalpha()]
+        together = " ".join(words)
+        if not (together == lowered(together) and is_latin(together)):
+            words = [p for p in words if p == lowered(p) and is_latin(p)]
         for i in range(0, len(words), MISSES):
             self.learn(words[i : i + MISSES])
         rest = list(new.difference(self.known))
