@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .attention_quality import fit_quality, with_quality
+from .common import crc_of_id, table
 from .curriculum import curriculum
+from .gru_language import fit_language, with_language
 from .main_text import main_text
 from .near_dedup import near_components
 from .packing import pack
@@ -33,6 +35,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_of_id(F.col("doc_id")) % 5 == 0
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return with_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -43,8 +52,15 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_of_id(F.col("doc_id")) % 3 == 1
+    network = fit_language(docs.where(~held_out))
+    return with_language(docs.select("doc_id", "text"), network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op3_curriculum, op4_ring_shards, op7_packing, op8_near_dedup)}
+    return {f.__name__: f for f in (op1_main_text, op3_curriculum, op4_ring_shards, op5_attention_quality, op7_packing, op8_near_dedup, op9_gru_language)}
 
 
 def oracle_sql() -> dict[str, str]:
