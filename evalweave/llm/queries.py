@@ -9,6 +9,7 @@ from .attention_quality import fit_quality, with_quality
 from .common import crc_of_id, table
 from .curriculum import curriculum
 from .gru_language import fit_language, with_language
+from .iblt_versions import compare_versions
 from .main_text import main_text
 from .near_dedup import near_components
 from .packing import pack
@@ -59,8 +60,12 @@ def op9_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_language(docs.select("doc_id", "text"), network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_iblt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_versions(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op3_curriculum, op4_ring_shards, op5_attention_quality, op7_packing, op8_near_dedup, op9_gru_language)}
+    return {f.__name__: f for f in (op1_main_text, op3_curriculum, op4_ring_shards, op5_attention_quality, op7_packing, op8_near_dedup, op9_gru_language, op10_iblt_versions)}
 
 
 def oracle_sql() -> dict[str, str]:
