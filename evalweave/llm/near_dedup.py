@@ -15,7 +15,9 @@ union sketch that both hold estimates the Jaccard similarity.
    the lists. Confirmed pairs give components. Then pairs of list members that are still in different components are
    compared, if sizes and places leave room for enough overlap. A pair inside one component can't change the result,
    so nothing is lost and a group of thousands of copies doesn't make its square of pairs.
-5. A pair is confirmed on the full sets, after the union-sketch estimate has thrown out pairs that are far off.
+5. A pair is confirmed on the full sets, once the union-sketch estimate has thrown out pairs that are far off: first
+   on the SMALL smallest values, which every document's signature carries, then on the whole sketches. Only documents
+   of pairs that pass send their full sets.
 
 Null ids: such rows link with nothing and have a null component. Null or empty texts: an empty set, linked with
 nothing. Rows that share an id are one node. Ties: the smallest id wins. An empty table gives an empty result. Other
@@ -37,8 +39,10 @@ from .shingles import U, mix, shingle_sets
 
 K = 256
 #: A value that this many documents retain is ordered behind all others.
-HOT = 64
-SHARED_BITS, HOT_BITS, ID_BITS = 26, 22, 24
+HOT = 8
+#: Values, cut to 32 bits, of the sketch that goes with a signature.
+SMALL = 128
+SHARED_BITS, HOT_BITS, ID_BITS = 26, 24, 24
 
 
 def need_of(size: int, percent: int) -> int:
@@ -71,20 +75,21 @@ def bit_table(values: DataFrame, column: str, bits: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the set (s1, s2)."""
+    """doc_id, n_shingles, a 128-bit digest of the set (s1, s2) and the head of its sketch."""
 
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            n, one, two = [], [], []
+            n, one, two, small = [], [], [], []
             for s in shingle_sets((x.as_py() for x in batch.column("text")), width):
                 n.append(len(s))
                 one.append(int(mix(s).sum(dtype=U)))
                 two.append(int(np.bitwise_xor.reduce(mix(s ^ U(0x5DEECE66D))) if len(s) else 0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(np.array(x, U).view(np.int64)) for x in (one, two)]], names=["doc_id", "n_shingles", "s1", "s2"])
+                small.append((s[:SMALL] >> U(32)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(np.array(x, U).view(np.int64)) for x in (one, two)], pa.array(small, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "small"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, small binary")
 
 
 def retained(docs: DataFrame, width: int) -> DataFrame:
@@ -172,14 +177,34 @@ def full_sets(docs: DataFrame, width: int, wanted) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "id long, shingles binary")
 
 
+def far_off(x: np.ndarray, y: np.ndarray, k: int, percent: int) -> bool:
+    """Whether the union sketch of k values puts a pair five standard deviations below the threshold."""
+    union = np.union1d(x[:k], y[:k])[:k]
+    both = len(np.intersect1d(np.intersect1d(union, x[:k]), y[:k]))
+    t = percent / 100
+    return both < len(union) * t - 5 * math.sqrt(len(union) * t * (1 - t))
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the heads of the sketches don't rule out."""
+
+    def look(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = ([np.frombuffer(v, "<u4") for v in batch.column(k).to_pylist()] for k in (2, 3))
+            keep = pa.array([not far_off(p, q, SMALL, percent) for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    left = classes.select(F.col("id").alias("a"), F.col("small").alias("x"))
+    right = classes.select(F.col("id").alias("b"), F.col("small").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(look, "a long, b long").distinct()
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Union-sketch estimate first, then exact."""
-    if len(x) > K or len(y) > K:
-        union = np.union1d(x[:K], y[:K])[:K]
-        both = np.isin(union, x[:K], assume_unique=True) & np.isin(union, y[:K], assume_unique=True)
-        t = percent / 100
-        if both.sum() < len(union) * t - 6 * math.sqrt(len(union) * t * (1 - t)):
-            return False
+    if (len(x) > K or len(y) > K) and far_off(x, y, K, percent):
+        return False
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= percent * (len(x) + len(y) - common)
 
@@ -201,17 +226,22 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def room(percent: int):
-    """Condition: sizes and places of the first common value leave room for enough overlap (m, p and n, q)."""
+    """Condition: sizes and places of the first common value leave room for enough overlap (m, p and n, q).
+
+    All earlier values of either are not in the other. For whole sets that bounds the overlap; for sketches it bounds
+    the share of the union sketch that both hold, with the five standard deviations of need_of.
+    """
     small, large = F.least("m", "n"), F.greatest("m", "n")
+    apart = math.ceil((K - need_of(K + 1, percent)) * (200 - percent) / 100)
     left = F.least(F.least("m", F.lit(K)) - F.col("p"), F.least("n", F.lit(K)) - F.col("q")) + 1
-    return (small * 100 >= large * percent) & ((large > K) | (left * (100 + percent) >= (F.col("m") + F.col("n")) * percent))
+    return (small * 100 >= large * percent) & (((large > K) & (F.col("p") + F.col("q") - 2 <= apart)) | ((large <= K) & (left * (100 + percent) >= (F.col("m") + F.col("n")) * percent)))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links (confirmed links of its class that were needed or met)."""
     sc = docs.sparkSession.sparkContext
     signed = settle(signatures(docs, width))
-    classes = settle(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    classes = settle(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2", "small").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
 
     counts = settle(retained(docs, width).groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     shared = sc.broadcast(bit_table(counts, "value", SHARED_BITS))
@@ -223,24 +253,28 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = settle(met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = settle(likely(pairs, classes, percent))
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = sc.broadcast(bit_table(ids, "id", ID_BITS))
-        return settle(confirm(pairs, settle(full_sets(docs, width, wanted)), percent))
+        return settle(confirm(pairs, full_sets(docs, width, wanted), percent))
 
     links = confirmed(first)
     parts = settle(components(links))
     labelled = posts.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     mixed = labelled.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value")
-    open_lists = settle(labelled.join(mixed, "value"))
-    x = open_lists.select("value", F.col("id").alias("u"), F.col("n").alias("m"), F.col("place").alias("p"), F.col("part").alias("part_u"))
-    y = open_lists.select("value", F.col("id").alias("v"), "n", F.col("place").alias("q"), F.col("part").alias("part_v"))
-    rest = x.join(y, "value").where("u < v and part_u <> part_v").where(room(percent)).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(settle(rest))
+    # Each document's open lists in the common order; a pair is made in the first list that both are in, and no other.
+    held = labelled.join(mixed, "value").groupBy("id", "n", "part").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("lists"))
+    members = held.select("id", "n", "part", F.col("lists.value").alias("values"), F.posexplode("lists").alias("at", "list")).select("id", "n", "part", "list.place", "list.value", F.slice("values", 1, F.col("at")).alias("before"))
+    x = members.select("value", F.col("id").alias("u"), F.col("n").alias("m"), F.col("place").alias("p"), F.col("part").alias("part_u"), F.col("before").alias("before_u"))
+    y = members.select("value", F.col("id").alias("v"), "n", F.col("place").alias("q"), F.col("part").alias("part_v"), F.col("before").alias("before_v"))
+    apart = (F.col("u") < F.col("v")) & (F.col("part_u") != F.col("part_v")) & room(percent) & ~F.arrays_overlap("before_u", "before_v")
+    rest = x.join(y, "value").where(apart).select(F.col("u").alias("a"), F.col("v").alias("b")).join(first, ["a", "b"], "left_anti")
+    more = confirmed(rest)
     links = links.unionByName(more)
     parts = settle(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
 
     found = settle(classes.join(parts, "id", "left").join(degree, "id", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"))
-    out = signed.alias("d").join(found.alias("c"), F.expr("d.n_shingles = c.n_shingles and d.s1 = c.s1 and d.s2 = c.s2 and d.doc_id is not null"), "left")
+    out = signed.drop("small").alias("d").join(found.alias("c"), F.expr("d.n_shingles = c.n_shingles and d.s1 = c.s1 and d.s2 = c.s2 and d.doc_id is not null"), "left")
     component = F.coalesce("c.component", "d.doc_id")
     return out.select("d.doc_id", "d.n_shingles", component.alias("component_id"), F.coalesce(F.col("d.doc_id") == component, F.lit(True)).alias("kept"), (F.coalesce("c.n_links", F.lit(0)) + F.coalesce("c.copies", F.lit(1)) - 1).alias("n_links"))
