@@ -14,12 +14,17 @@ from .main_text import main_text
 from .near_dedup import near_components
 from .packing import pack
 from .ring_shards import ring_shards
+from .text_scores import text_scores
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(table(spark, sf_dir, "documents"), crc_of_id(F.col("doc_id")) % 7 == 2)
+
+
 def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,7 +70,7 @@ def op10_iblt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op3_curriculum, op4_ring_shards, op5_attention_quality, op7_packing, op8_near_dedup, op9_gru_language, op10_iblt_versions)}
+    return {f.__name__: f for f in (op1_main_text, op2_context_tree, op3_curriculum, op4_ring_shards, op5_attention_quality, op7_packing, op8_near_dedup, op9_gru_language, op10_iblt_versions)}
 
 
 def oracle_sql() -> dict[str, str]:
