@@ -11,6 +11,7 @@ from .curriculum import curriculum
 from .gru_language import fit_language, with_language
 from .iblt_versions import compare_versions
 from .main_text import main_text
+from .motion_jpeg import read_media, store_media
 from .near_dedup import near_components
 from .packing import pack
 from .ring_shards import ring_shards
@@ -48,6 +49,11 @@ def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_media(store_media(table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -70,7 +76,7 @@ def op10_iblt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_context_tree, op3_curriculum, op4_ring_shards, op5_attention_quality, op7_packing, op8_near_dedup, op9_gru_language, op10_iblt_versions)}
+    return {f.__name__: f for f in (op1_main_text, op2_context_tree, op3_curriculum, op4_ring_shards, op5_attention_quality, op6_motion_jpeg, op7_packing, op8_near_dedup, op9_gru_language, op10_iblt_versions)}
 
 
 def oracle_sql() -> dict[str, str]:
