@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash32, quiet_threads
+from .common import by_hash, hash32, quiet_threads
 
 PASSAGE, BAG, HIDDEN, AT_ONCE = 512, 16, 16, 1 << 20
 KINDS = 16
@@ -138,7 +138,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Atten
     """docs: doc_id, text. labels: doc_id, quality; only rows that may be learnt from."""
     quiet_threads()
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    chosen = known.withColumn("h", hash32(F.col("doc_id"))).orderBy("h", "doc_id").limit(sample)
+    chosen = by_hash(known.withColumn("h", hash32(F.col("doc_id"))), F.col("h"), sample)
     bag = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "h", "text")  # `sample` ids at most
     rows = bag.mapInArrow(spread, "quality int, h long, passages array<binary>").toArrow().sort_by([("h", "ascending")]).to_pylist()
     if not rows:

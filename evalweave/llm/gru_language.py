@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash32, quiet_threads
+from .common import by_hash, hash32, quiet_threads
 
 SEGMENT, WIDTH, EXCERPT, EXCERPTS = 128, 8, 64, 2
 AT_ONCE = 1 << 18
@@ -165,7 +165,8 @@ def fit_language(labelled: DataFrame, sample: int = 6000) -> Network | None:
     h = hash32(F.col("doc_id"))
     size = F.greatest(F.length("text") - EXCERPT, F.lit(0))
     excerpts = [F.col("text").substr((F.pmod(h * F.lit(k), size + 1) + 1).cast("int"), F.lit(EXCERPT)).alias(f"x{k}") for k in range(1, EXCERPTS + 1)]
-    rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", h.alias("h"), *excerpts).orderBy("h", "lang", "x1").limit(sample).collect()  # `sample` rows of a few excerpts
+    known = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", h.alias("h"), *excerpts)
+    rows = by_hash(known, F.col("h"), sample).collect()  # `sample` rows of a few excerpts
     names = sorted({r["lang"] for r in rows})
     if not names:
         return None
