@@ -32,9 +32,11 @@ def bootstrap_interval(partials: DataFrame, keys: list[str] | None = None) -> Da
     keys = keys or []
     table = partials if keys else partials.withColumn("_all", F.lit(0))
     names = keys or ["_all"]
+    # Records come as mappings or rows where the order is a struct of file, block and line.
+    place = lambda x: tuple(x.values()) if isinstance(x, dict) else x
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("first_ord")
+        rows = rows.iloc[sorted(range(len(rows)), key=[place(x) for x in rows["first_ord"]].__getitem__)]
         low, high = draw_interval(list(zip(rows["difference"].tolist(), rows["n"].tolist(), strict=True)))
         return pd.DataFrame([[*key, low, high, len(rows), REPEATS]])
 

@@ -57,7 +57,8 @@ def read_lines(spark: SparkSession, paths: list[str], torn: str = "ignore") -> D
         lines = spark.read.text(path, lineSep="\n").select("value", F.struct(F.lit(k).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"))
         if torn == "ignore" and ends_torn(spark, path):
             last = lines.agg(F.max("ord").alias("last"))  # one row
-            lines = lines.crossJoin(F.broadcast(last)).where(F.col("ord") < F.col("last")).drop("last")
+            # The value itself depends on its place, so that no later predicate is computed on the torn line.
+            lines = lines.crossJoin(F.broadcast(last)).select(F.when(F.col("ord") < F.col("last"), F.col("value")).alias("value"), "ord")
         parts.append(lines)
     if not parts:
         return spark.createDataFrame([], f"value string, ord {ORD}")
