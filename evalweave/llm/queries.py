@@ -13,6 +13,7 @@ from .iblt_versions import compare_versions
 from .main_text import main_text
 from .motion_jpeg import read_media, store_media
 from .near_dedup import near_components
+from .oracles import ORACLES
 from .packing import pack
 from .ring_shards import ring_shards
 from .text_scores import text_scores
@@ -80,4 +81,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
