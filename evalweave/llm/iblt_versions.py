@@ -1,13 +1,14 @@
 """Invertible Bloom lookup sketches of documents' paragraphs, in DataFrame operations only.
 
-A document is the set of its paragraphs' 64-bit digests (lines, cut again behind sentence ends and table bars). A
+A document is the set of its paragraphs' 64-bit digests: lines, cut again behind about half of their sentences, which
+their last letters choose, so that an edit moves no other cuts. A
 sketch has 3 sub-tables of cells; each digest goes into one cell of each and changes its count, the xor of its digests
 and the xor of their checksums. Two sketches of one size subtract cell by cell: what both hold cancels. A cell with
 count 1 or -1 and a fitting checksum shows one digest; taking it out of its other cells shows more (peeling). If all
 cells end empty, the differing digests are known, and so is the likeness |A and B| / |A or B|.
 
 Every document's own sketch, its fingerprint, has 3 * CELLS cells. If peeling fails, the pair is tried again with a
-larger sketch: blocks of 3 * CELLS cells, one for every PER_BLOCK digests, so work grows with the length of the text.
+larger sketch: blocks of 3 * BLOCK_CELLS cells, one for every PER_BLOCK digests, so work grows with the length of the text.
 A block that still fails is tried again with LARGER times as many cells, twice; what is left after that (two digests
 that share all cells) is compared digest by digest.
 
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-CELLS, PER_BLOCK, LARGER = 8, 12, 4
-PARAGRAPH_END = r"\n+|(?<=[.!?|]|[.!?]\S{3})\s+"
+CELLS, BLOCK_CELLS, PER_BLOCK, LARGER = 8, 4, 6, 4
+#: A line ends a paragraph, and so does a sentence or table cell whose last letter is in the alphabet's first half.
+PARAGRAPH_END = r"\n+|(?<=[a-m][.!?]|[a-m] \||[a-m][.!?]\S{3})\s+"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -46,9 +48,13 @@ def checksum(digest: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(digest, F.lit(1)), 32)
 
 
-def cell_of(digest: Column, sub_table: Column, cells: int) -> Column:
-    bits = F.call_function("shiftrightunsigned", digest, (sub_table * 14).cast("int"))
-    return sub_table * cells + bits.bitwiseAND(F.lit(cells - 1))
+def spot(digest: Column, sub_table: int, cells: int) -> Column:
+    """The digest's cell in one of the three sub-tables."""
+    return F.shiftrightunsigned(digest, 14 * sub_table).bitwiseAND(F.lit(cells - 1))
+
+
+def cell_numbers(cells: int) -> Column:
+    return F.array(*[F.lit(i).cast("long") for i in range(cells)])
 
 
 def sketch(members: Column, cells: int) -> Column:
@@ -58,7 +64,10 @@ def sketch(members: Column, cells: int) -> Column:
     def add(cell: Column, digest: Column) -> Column:
         return F.struct((cell["n"] + 1).alias("n"), cell["k"].bitwiseXOR(digest).alias("k"), cell["c"].bitwiseXOR(checksum(digest)).alias("c"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda i: F.aggregate(F.filter(members, lambda d: cell_of(d, F.floor(i / cells), cells) == i), empty, add))
+    def sub_table(j: int) -> Column:
+        return F.transform(cell_numbers(cells), lambda i: F.aggregate(F.filter(members, lambda d: spot(d, j, cells) == i), empty, add))
+
+    return F.concat(*[sub_table(j) for j in range(3)])
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -70,18 +79,20 @@ def peel(cells_column: Column, cells: int) -> Column:
 
     def without(cell: Column, i: Column, pure: Column) -> Column:
         def take(x: Column, y: Column) -> Column:
-            return F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(checksum(y["k"])).alias("c"))
+            return F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
+
+        return F.aggregate(F.filter(pure, lambda y: (y["p0"] == i) | (y["p1"] == i) | (y["p2"] == i)), cell, take)
 
-        return F.aggregate(F.filter(pure, lambda y: cell_of(y["k"], F.floor(i / cells), cells) == i), cell, take)
+    def shown(x: Column) -> Column:
+        places = [(spot(x["k"], j, cells) + j * cells).cast("int").alias(f"p{j}") for j in range(3)]
+        return F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), *places)
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == checksum(x["k"]))), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"))))
+        pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == checksum(x["k"]))), shown))
 
         def taken(found: Column) -> Column:
-            return F.struct(
-                F.transform(state["cells"], lambda x, i: without(x, i, found)).alias("cells"),
-                (state["found"] + F.size(found)).alias("found"),
-                (F.size(found) > 0).alias("going"),
+            return F.when(F.size(found) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("going"))).otherwise(
+                F.struct(F.transform(state["cells"], lambda x, i: without(x, i, found)).alias("cells"), (state["found"] + F.size(found)).alias("found"), F.lit(True).alias("going"))
             )
 
         return F.when(~state["going"], state).otherwise(let(pure, taken))
@@ -98,7 +109,7 @@ def apart(a: Column, b: Column) -> Column:
 
 def block_difference(a: Column, b: Column) -> Column:
     """Differing digests of one block: sketches of growing size, at last the digests themselves."""
-    tries = [peel(subtract(sketch(a, n), sketch(b, n)), n) for n in (CELLS, CELLS * LARGER, CELLS * LARGER * LARGER)]
+    tries = [peel(subtract(sketch(a, n), sketch(b, n)), n) for n in (BLOCK_CELLS, BLOCK_CELLS * LARGER, BLOCK_CELLS * LARGER * LARGER)]
     return F.coalesce(*tries, apart(a, b))
 
 
@@ -142,35 +153,31 @@ def written(cells: Column) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, k, take (a third of the text) and the next document's next_id, next_k; docs: doc_id, k, text."""
+    """k, take (a third of the text) and the next document's next_k; docs: k, doc_id, text."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = docs.select("doc_id", "k", F.floor(F.length("text") / 3).cast("int").alias("take")).distinct()
+    keys = docs.select("k", "doc_id", F.floor(F.length("text") / 3).cast("int").alias("take")).distinct()
     dealt = settle(keys.repartitionByRange(parts, F.col("doc_id").desc_nulls_last(), "k").withColumn("part", F.spark_partition_id()))
     here = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "k")
-    me = F.struct("doc_id", "k")
-    rows = dealt.withColumn("next", F.lead(me).over(here)).withColumn("rank", F.row_number().over(here))
+    rows = dealt.withColumn("next_k", F.lead("k").over(here)).withColumn("rank", F.row_number().over(here))
     # The first of each part, and which part follows: a row for each part.
     over = Window.orderBy("part")
-    first = rows.where("rank = 1").select("part", me.alias("first"))
-    follow = first.select("part", F.coalesce(F.lead("first").over(over), F.first("first").over(over)).alias("after"))
-    out = rows.join(F.broadcast(follow), "part").withColumn("next", F.coalesce("next", "after"))
-    return out.select("doc_id", "k", "take", F.col("next.doc_id").alias("next_id"), F.col("next.k").alias("next_k"))
+    first = rows.where("rank = 1").select("part", F.col("k").alias("first"))
+    follow = first.select("part", F.coalesce(F.lead("first").over(over), F.first("first").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    return rows.join(F.broadcast(follow), "part").select("k", "take", F.coalesce("next_k", "after").alias("next_k"))
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long"), F.md5(text.cast("binary")).alias("k"), text.alias("text"))
-    links = settle(neighbours(docs))
-    asked = links.select(F.col("next_id").alias("doc_id"), F.col("next_k").alias("k"), F.col("doc_id").alias("for_id"), F.col("k").alias("for_k"), "take")
-    same = lambda a, b: (F.coalesce(F.col(f"{a}.doc_id"), F.lit(0)) == F.coalesce(F.col(f"{b}.doc_id"), F.lit(0))) & (F.col(f"{a}.k") == F.col(f"{b}.k")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+    docs = docs.select(F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    asked = settle(neighbours(docs)).select(F.col("next_k").alias("k"), F.col("k").alias("for_k"), "take")
     given = (
-        docs.alias("d").join(asked.alias("a"), same("d", "a"))
-        .select(F.col("a.for_id").alias("doc_id"), F.col("a.for_k").alias("k"), F.substring("d.text", F.lit(1), F.col("a.take")).alias("head"), F.col("a.take").alias("take"), digests(F.col("d.text")).alias("next_digests"))
-        .dropDuplicates(["doc_id", "k"])
+        docs.join(asked, "k")
+        .select(F.col("for_k").alias("k"), F.substring("text", F.lit(1), F.col("take")).alias("head"), "take", digests(F.col("text")).alias("next_digests"))
+        .dropDuplicates(["k"])
     )
-    pairs = docs.alias("d").join(given.alias("g"), same("d", "g")).select("d.doc_id", "d.text", F.length("d.text").alias("n_chars"), "g.head", "g.take", "g.next_digests")
+    pairs = docs.join(given, "k").withColumn("n_chars", F.length("text"))
     edited = pairs.select("doc_id", "n_chars", "text", "next_digests", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("take")), "head").alias("edited"))
     hashed = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("p"), digests(F.col("edited")).alias("e"), F.col("next_digests").alias("q"))
     drawn = hashed.select("*", *[sketch(F.col(c), CELLS).alias(f"{c}_cells") for c in ("p", "e", "q")])
