@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, hash32, quiet_threads
+from .common import by_hash, hash32, quiet_threads, task_batches
 
 PASSAGE, BAG, HIDDEN, AT_ONCE = 512, 16, 16, 1 << 20
 KINDS = 16
@@ -125,7 +125,7 @@ def spread(batches: Iterator) -> Iterator:
     """At most BAG passages of each text, evenly spaced, and their number of bytes."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in task_batches(batches, "attention_quality"):
         out = []
         for text in batch.column("text"):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
@@ -160,8 +160,7 @@ def with_quality(docs: DataFrame, model: Attention | None) -> DataFrame:
     def rate(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        quiet_threads()
-        for batch in batches:
+        for batch in task_batches(batches, "attention_quality"):
             scores = [model.documents(texts) for texts in groups(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*[f.name for f in keep], "score"])
 

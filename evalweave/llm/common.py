@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,33 @@ def hash32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+#: What may be kept in a Python worker between tasks, by operator, and how to let go of it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    _KEPT[operator] = drop
+
+
+def task_batches(batches: Iterator, operator: str, rows: int = 1024) -> Iterator:
+    """A task's Arrow batches in slices, once what other operators left in this worker is gone."""
+    import ctypes
+    import gc
+
+    quiet_threads()
+    for other, drop in _KEPT.items():
+        if other != operator:
+            drop()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # glibc returns free memory only when asked
+    except (AttributeError, OSError):
+        pass
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def quiet_threads() -> None:
     """One thread for each Python worker: the task slots are the parallelism."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "RAYON_NUM_THREADS"):

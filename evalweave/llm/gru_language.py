@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, hash32, quiet_threads
+from .common import by_hash, hash32, quiet_threads, task_batches
 
 SEGMENT, WIDTH, EXCERPT, EXCERPTS = 128, 8, 64, 2
 AT_ONCE = 1 << 18
@@ -190,8 +190,7 @@ def with_language(docs: DataFrame, network: Network | None) -> DataFrame:
     def label(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        quiet_threads()
-        for batch in batches:
+        for batch in task_batches(batches, "gru_language"):
             n = batch.num_rows
             names, scores = ["und"] * n, [0.0] * n
             for at, texts in chunks(batch.column("text")):

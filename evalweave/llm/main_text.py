@@ -26,7 +26,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, task_batches
 
 BROADCAST_HOSTS, VOTES = 50_000, 3
 
@@ -183,7 +183,7 @@ class Page:
 def count_votes(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in task_batches(batches, "main_text"):
         sums: dict[tuple[str, str], float] = defaultdict(float)
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
             for path, vote in Page(html.as_py() or "").votes():
@@ -194,7 +194,7 @@ def count_votes(batches: Iterator) -> Iterator:
 def extract(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in task_batches(batches, "main_text"):
         texts = [Page(html.as_py() or "").text(path) if html.is_valid else "" for html, path in zip(batch.column("html"), batch.column("path").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), batch.column("path")], names=["page_id", "url", "text", "n_chars", "path"])
 

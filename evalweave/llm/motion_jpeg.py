@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quiet_threads
+from .common import task_batches
 
 BLOCK, FRAME_BLOCKS, WORD_BITS, RATE = 64, 64, 10, 25
 WINDOW, FLOOR, LEVELS = 12, 0.05, 16
@@ -294,7 +294,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in task_batches(batches, "motion_jpeg"):
             texts = batch.column("text")
             for at in in_groups(texts, lambda t: t.as_buffer().size if t.is_valid else 0):
                 data = [(texts[i].as_py() or "").encode("utf-8", "surrogatepass") for i in at]
@@ -312,9 +312,8 @@ def read_media(media: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        quiet_threads()
         clip = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
-        for batch in batches:
+        for batch in task_batches(batches, "motion_jpeg"):
             files = batch.column("media").to_pylist()
             for at in in_groups(files, len):
                 got = read_back([files[i] for i in at])

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, task_batches
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -64,7 +64,7 @@ def bit_table(values: DataFrame, column: str, bits: int) -> np.ndarray:
     def places(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in task_batches(batches, "shingles"):
             at = mix(batch.column(0).to_numpy(zero_copy_only=False).view(U)) >> U(64 - bits)
             yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], names=["word", "bits"])
 
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in task_batches(batches, "shingles"):
             n, one, two, small = [], [], [], []
             for s in shingle_sets((x.as_py() for x in batch.column("text")), width):
                 n.append(len(s))
@@ -98,7 +98,7 @@ def retained(docs: DataFrame, width: int) -> DataFrame:
     def keep(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in task_batches(batches, "shingles"):
             for some in blocks(shingle_sets((x.as_py() for x in batch.column("text")), width)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64))], names=["value"])
 
@@ -123,7 +123,7 @@ def postings(docs: DataFrame, width: int, percent: int, shared, hot) -> DataFram
         import pyarrow as pa
 
         names = ["value", "n", "s1", "s2", "place", "doc_id"]
-        for batch in batches:
+        for batch in task_batches(batches, "shingles"):
             some, rows = [], 0
 
             def out(some: list) -> pa.RecordBatch:
@@ -158,7 +158,7 @@ def full_sets(docs: DataFrame, width: int, wanted) -> DataFrame:
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in task_batches(batches, "shingles"):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             known = ~np.array([x is None for x in batch.column("doc_id").to_pylist()], bool)
             at = np.flatnonzero(known)
@@ -191,7 +191,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def look(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in task_batches(batches, "shingles"):
             x, y = ([np.frombuffer(v, "<u4") for v in batch.column(k).to_pylist()] for k in (2, 3))
             keep = pa.array([not far_off(p, q, SMALL, percent) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
@@ -215,7 +215,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in task_batches(batches, "shingles"):
             a, b, x, y = (batch.column(k) for k in range(4))
             keep = [linked(np.frombuffer(x[i].as_buffer(), U), np.frombuffer(y[i].as_buffer(), U), percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (a, b)], names=["a", "b"])

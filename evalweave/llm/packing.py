@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash32, quiet_threads, settle
+from .common import hash32, keeps, quiet_threads, settle, task_batches
 
 #: Words kept, characters of a word that is kept, words encoded in a call, characters of texts that are split at once.
 CACHE, CACHED_CHARS, MISSES, AT_ONCE = 600_000, 48, 4096, 2_000_000
@@ -134,6 +134,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+keeps("packing", word_ids.cache_clear)
+
+
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
 
@@ -141,7 +144,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
         import pyarrow as pa
 
         words, end = word_ids(tokenizer_path), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in task_batches(batches, "packing"):
             out: list[tuple] = []
             texts = (text.as_py() or "" for text in batch.column("text"))
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.stream(texts), strict=True):

@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .common import keeps
+
 #: Bytes of text that are hashed in one go (a longer text goes alone).
 AT_ONCE = 1 << 21
 U = np.uint64
@@ -39,6 +41,7 @@ class Powers:
 
 
 POWERS = Powers()
+keeps("shingles", POWERS.__init__)
 
 
 def groups_of(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
