@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, hash32, quiet_threads, task_batches
+from .common import by_hash, hash32, map_arrow, quiet_threads, task_batches
 
 PASSAGE, BAG, HIDDEN, AT_ONCE = 512, 16, 16, 1 << 20
 KINDS = 16
@@ -140,7 +140,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Atten
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     chosen = by_hash(known.withColumn("h", hash32(F.col("doc_id"))), F.col("h"), sample)
     bag = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "h", "text")  # `sample` ids at most
-    rows = bag.mapInArrow(spread, "quality int, h long, passages array<binary>").toArrow().sort_by([("h", "ascending")]).to_pylist()
+    rows = bag.transform(map_arrow, spread, "quality int, h long, passages array<binary>").toArrow().sort_by([("h", "ascending")]).to_pylist()
     if not rows:
         return None
     y = np.array([r["quality"] for r in rows], float)
@@ -164,7 +164,7 @@ def with_quality(docs: DataFrame, model: Attention | None) -> DataFrame:
             scores = [model.documents(texts) for texts in groups(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*[f.name for f in keep], "score"])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(rate, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], "score double"]))
+    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).transform(map_arrow, rate, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], "score double"]))
 
 
 def groups(column, most: int = AT_ONCE) -> Iterator[list[bytes]]:

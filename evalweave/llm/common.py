@@ -62,7 +62,6 @@ def keeps(operator: str, drop: Callable[[], None]) -> None:
 
 def task_batches(batches: Iterator, operator: str, rows: int = 1024) -> Iterator:
     """A task's Arrow batches in slices, once what other operators left in this worker is gone."""
-    import ctypes
     import gc
 
     quiet_threads()
@@ -70,13 +69,29 @@ def task_batches(batches: Iterator, operator: str, rows: int = 1024) -> Iterator
         if other != operator:
             drop()
     gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)  # glibc returns free memory only when asked
-    except (AttributeError, OSError):
-        pass
+    trim()
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the system; glibc does so only when asked."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def map_arrow(df: DataFrame, task: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """mapInArrow with batches of at most 1,024 rows, unless the session asks for another number: texts are long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1024")
+    return df.mapInArrow(task, schema)
 
 
 def quiet_threads() -> None:

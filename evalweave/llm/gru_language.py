@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, hash32, quiet_threads, task_batches
+from .common import by_hash, hash32, map_arrow, quiet_threads, task_batches
 
 SEGMENT, WIDTH, EXCERPT, EXCERPTS = 128, 8, 64, 2
 AT_ONCE = 1 << 18
@@ -202,7 +202,7 @@ def with_language(docs: DataFrame, network: Network | None) -> DataFrame:
     if network is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "lang_pred string", "score double"])
-    return docs.mapInArrow(label, schema)
+    return docs.transform(map_arrow, label, schema)
 
 
 def chunks(column, most: int = 1 << 21) -> Iterator[tuple[list[int], list[bytes]]]:

@@ -26,7 +26,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, task_batches
+from .common import map_arrow, settle, task_batches
 
 BROADCAST_HOSTS, VOTES = 50_000, 3
 
@@ -201,7 +201,7 @@ def extract(batches: Iterator) -> Iterator:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """host, path: the path with most votes of each host."""
-    votes = pages.select(host_of("url").alias("host"), "html").mapInArrow(count_votes, "host string, path string, votes long")
+    votes = pages.select(host_of("url").alias("host"), "html").transform(map_arrow, count_votes, "host string, path string, votes long")
     summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
 
@@ -216,4 +216,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     if winners.count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
     with_path = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", host_of("url").alias("host")).join(winners, "host", "left")
-    return with_path.select("page_id", "url", "html", "path").mapInArrow(extract, "page_id long, url string, text string, n_chars long, path string")
+    return with_path.select("page_id", "url", "html", "path").transform(map_arrow, extract, "page_id long, url string, text string, n_chars long, path string")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import task_batches
+from .common import map_arrow, task_batches
 
 BLOCK, FRAME_BLOCKS, WORD_BITS, RATE = 64, 64, 10, 25
 WINDOW, FLOOR, LEVELS = 12, 0.05, 16
@@ -300,7 +300,7 @@ def store_media(docs: DataFrame) -> DataFrame:
                 data = [(texts[i].as_py() or "").encode("utf-8", "surrogatepass") for i in at]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(list(map(len, data)), pa.int64()), pa.array(store([padded(d) for d in data]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, n_bytes long, media binary")
 
 
 CLIP = "array<struct<clip:int,first_frame:int,frames:int,start_s:double,end_s:double>>"
@@ -328,7 +328,7 @@ def read_media(media: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips {CLIP}")
+    return media.select("doc_id", "n_bytes", "media").transform(map_arrow, run, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips {CLIP}")
 
 
 def clip_rows(read: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, task_batches
+from .common import map_arrow, settle, task_batches
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -68,7 +68,7 @@ def bit_table(values: DataFrame, column: str, bits: int) -> np.ndarray:
             at = mix(batch.column(0).to_numpy(zero_copy_only=False).view(U)) >> U(64 - bits)
             yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], names=["word", "bits"])
 
-    words = values.select(F.col(column)).mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = values.select(F.col(column)).transform(map_arrow, places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return table.view(np.uint8)
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 small.append((s[:SMALL] >> U(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(np.array(x, U).view(np.int64)) for x in (one, two)], pa.array(small, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "small"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, small binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, sign, "doc_id long, n_shingles long, s1 long, s2 long, small binary")
 
 
 def retained(docs: DataFrame, width: int) -> DataFrame:
@@ -113,7 +113,7 @@ def retained(docs: DataFrame, width: int) -> DataFrame:
         if n:
             yield some
 
-    return docs.select("text").mapInArrow(keep, "value long")
+    return docs.select("text").transform(map_arrow, keep, "value long")
 
 
 def postings(docs: DataFrame, width: int, percent: int, shared, hot) -> DataFrame:
@@ -148,7 +148,7 @@ def postings(docs: DataFrame, width: int, percent: int, shared, hot) -> DataFram
             if some:
                 yield out(some)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(post, "value long, n long, s1 long, s2 long, place long, doc_id long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, post, "value long, n long, s1 long, s2 long, place long, doc_id long")
     return rows.groupBy("value", "n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.min("place").cast("int").alias("place")).select("value", F.col("n").cast("int").alias("n"), "place", "id")
 
 
@@ -174,7 +174,7 @@ def full_sets(docs: DataFrame, width: int, wanted) -> DataFrame:
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.binary())], names=["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "id long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, emit, "id long, shingles binary")
 
 
 def far_off(x: np.ndarray, y: np.ndarray, k: int, percent: int) -> bool:
@@ -198,7 +198,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     left = classes.select(F.col("id").alias("a"), F.col("small").alias("x"))
     right = classes.select(F.col("id").alias("b"), F.col("small").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(look, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").transform(map_arrow, look, "a long, b long").distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -222,7 +222,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").transform(map_arrow, check, "a long, b long")
 
 
 def room(percent: int):

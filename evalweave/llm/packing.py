@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash32, keeps, quiet_threads, settle, task_batches
+from .common import hash32, keeps, map_arrow, quiet_threads, settle, task_batches
 
 #: Words kept, characters of a word that is kept, words encoded in a call, characters of texts that are split at once.
 CACHE, CACHED_CHARS, MISSES, AT_ONCE = 600_000, 48, 4096, 2_000_000
@@ -52,7 +52,7 @@ class WordIds:
 
     As no token spans a space, a text's ids are those of its space-separated parts in a row; parts recur. A part of
     lower-case Latin-1 letters only is one word to the tokenizer and normal already: such parts are encoded many at a
-    time by a copy without normalizer that splits at white space only, and each ends at an end-of-word token. Other
+    time without normalizer, split at white space only, and each ends at an end-of-word token. Other
     parts go through the whole tokenizer, one by one.
     """
 
@@ -61,14 +61,18 @@ class WordIds:
         import numpy as np
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.plain = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def encode(self, texts: list[str], how: tuple) -> list:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = how
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def meet(self, parts: list[str]) -> None:
         """Learn new parts; a word with a comma or stop behind it is that word's ids and the mark's."""
         tails = {p: p[:-1] for p in parts if p[-1] in ",." and p[:-1].isalnum()}
@@ -88,7 +92,7 @@ class WordIds:
     def learn(self, words: list[str]) -> None:
         import numpy as np
 
-        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.encode([" ".join(words)], self.plain)[0].ids, "<u4")
         stops = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
         if len(stops) != len(words):
             self.learn_any(words)
@@ -99,7 +103,7 @@ class WordIds:
     def learn_any(self, parts: list[str]) -> None:
         import numpy as np
 
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+        for part, got in zip(parts, self.encode(parts, self.whole), strict=True):
             self.known[part] = np.array(got.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -153,7 +157,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").transform(map_arrow, cut, PIECES)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
