@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-CELLS, BLOCK_CELLS, PER_BLOCK, LARGER = 8, 4, 6, 4
+CELLS, BLOCK_CELLS, PER_BLOCK, LARGER = 8, 4, 5, 2
 #: A line ends a paragraph, and so does a sentence or table cell whose last letter is in the alphabet's first half.
 PARAGRAPH_END = r"\n+|(?<=[a-m][.!?]|[a-m] \||[a-m][.!?]\S{3})\s+"
 
@@ -57,12 +57,14 @@ def cell_numbers(cells: int) -> Column:
     return F.array(*[F.lit(i).cast("long") for i in range(cells)])
 
 
-def sketch(members: Column, cells: int) -> Column:
-    """Cells as structs of count n, digest xor k and checksum xor c."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+def sketch(members: Column, cells: int, counted: bool = True) -> Column:
+    """Cells as structs of count n (if counted), digest xor k and checksum xor c."""
+    zero = F.lit(0).cast("long")
+    empty = F.struct(*[F.lit(0).alias("n")] * counted, zero.alias("k"), zero.alias("c"))
 
     def add(cell: Column, digest: Column) -> Column:
-        return F.struct((cell["n"] + 1).alias("n"), cell["k"].bitwiseXOR(digest).alias("k"), cell["c"].bitwiseXOR(checksum(digest)).alias("c"))
+        count = [(cell["n"] + 1).alias("n")] if counted else []
+        return F.struct(*count, cell["k"].bitwiseXOR(digest).alias("k"), cell["c"].bitwiseXOR(checksum(digest)).alias("c"))
 
     def sub_table(j: int) -> Column:
         return F.transform(cell_numbers(cells), lambda i: F.aggregate(F.filter(members, lambda d: spot(d, j, cells) == i), empty, add))
@@ -74,21 +76,24 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
 
 
-def peel(cells_column: Column, cells: int) -> Column:
+def peel(cells_column: Column, cells: int, counted: bool = True) -> Column:
     """How many digests differ, from subtracted cells; null if peeling gets stuck."""
+    counts = lambda x, y: [(x["n"] - y["n"]).alias("n")] if counted else []
+    single = lambda x: ((F.abs(x["n"]) == 1) if counted else (x["k"] != 0)) & (x["c"] == checksum(x["k"]))
+    empty = lambda x: ((x["n"] == 0) & (x["k"] == 0)) if counted else ((x["k"] == 0) & (x["c"] == 0))
 
     def without(cell: Column, i: Column, pure: Column) -> Column:
         def take(x: Column, y: Column) -> Column:
-            return F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
+            return F.struct(*counts(x, y), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
 
         return F.aggregate(F.filter(pure, lambda y: (y["p0"] == i) | (y["p1"] == i) | (y["p2"] == i)), cell, take)
 
     def shown(x: Column) -> Column:
         places = [(spot(x["k"], j, cells) + j * cells).cast("int").alias(f"p{j}") for j in range(3)]
-        return F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), *places)
+        return F.struct(*[x["n"].alias("n")] * counted, x["k"].alias("k"), x["c"].alias("c"), *places)
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == checksum(x["k"]))), shown))
+        pure = F.array_distinct(F.transform(F.filter(state["cells"], single), shown))
 
         def taken(found: Column) -> Column:
             return F.when(F.size(found) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("going"))).otherwise(
@@ -99,7 +104,7 @@ def peel(cells_column: Column, cells: int) -> Column:
 
     start = F.struct(cells_column.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("going"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(3 * cells)), start, step)
-    return let(done, lambda s: F.when(F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0)), s["found"]))
+    return let(done, lambda s: F.when(F.forall(s["cells"], empty), s["found"]))
 
 
 def apart(a: Column, b: Column) -> Column:
@@ -108,8 +113,12 @@ def apart(a: Column, b: Column) -> Column:
 
 
 def block_difference(a: Column, b: Column) -> Column:
-    """Differing digests of one block: sketches of growing size, at last the digests themselves."""
-    tries = [peel(subtract(sketch(a, n), sketch(b, n)), n) for n in (BLOCK_CELLS, BLOCK_CELLS * LARGER, BLOCK_CELLS * LARGER * LARGER)]
+    """Differing digests of one block: sketches of growing size, at last the digests themselves.
+
+    Cells without counts are sums of their members under xor, so the sketch of both lists in a row is the difference
+    of their sketches: what both hold cancels.
+    """
+    tries = [peel(sketch(F.concat(a, b), n, False), n, False) for n in (BLOCK_CELLS, BLOCK_CELLS * LARGER, BLOCK_CELLS * LARGER * LARGER)]
     return F.coalesce(*tries, apart(a, b))
 
 
@@ -122,7 +131,7 @@ def large_difference(a: Column, b: Column) -> Column:
         return F.pmod(F.shiftrightunsigned(d, 44), n).cast("int")
 
     def group(a: Column, b: Column, g: Column, n: Column, width: Column) -> Column:
-        of = lambda x: F.filter(x, lambda d: F.floor(block_of(d, n) / width) == g)
+        of = lambda x: F.filter(x, lambda d: F.call_function("div", block_of(d, n), width) == g)
         inner = F.sequence(g * width, F.least(n, (g + 1) * width) - 1)
 
         def total(p: Column, q: Column) -> Column:
@@ -135,7 +144,7 @@ def large_difference(a: Column, b: Column) -> Column:
         return let(of(a), lambda p: let(of(b), lambda q: total(p, q)))
 
     def over(n: Column) -> Column:
-        return let(side, lambda width: F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), F.lit(0), lambda s, g: s + group(a, b, g, n, width)))
+        return let(side, lambda width: F.aggregate(F.sequence(F.lit(0), F.call_function("div", n - 1, width).cast("int")), F.lit(0), lambda s, g: s + group(a, b, g, n, width)))
 
     return let(blocks, over)
 
