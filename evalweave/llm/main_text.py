@@ -4,6 +4,7 @@
    blocks less their link text, less what looks like page furniture inside it, with a slight preference for depth and
    for ``article`` and ``main``.
 2. A page votes for its best containers' paths: tags and classes from the root, with digits in class names replaced.
+   The best gets a whole vote, each further one a quarter of the one before.
    Votes are summed by host and path in Spark, after each batch has summed its own; the host's path is the one with
    most votes (ties: the first by text).
 3. Each page is read again and the text is taken from the containers on its host's path. A page without such a
@@ -161,7 +162,7 @@ class Page:
             if path and score > best[path]:
                 best[path] = score
         top = sorted(((s, p) for p, s in best.items() if s > 0), key=lambda x: (-x[0], x[1]))[:VOTES]
-        return [(p, s / top[0][0]) for s, p in top]
+        return [(p, 4.0**-k) for k, (_, p) in enumerate(top)]
 
     def text(self, path: str | None) -> str:
         chosen = {i for i, (_, p) in enumerate(self.nodes) if p == path} if path else set()
