@@ -179,17 +179,17 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def compare_versions(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    docs = docs.select(F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), digests(text).alias("p"))
     asked = settle(neighbours(docs)).select(F.col("next_k").alias("k"), F.col("k").alias("for_k"), "take")
     given = (
         docs.join(asked, "k")
-        .select(F.col("for_k").alias("k"), F.substring("text", F.lit(1), F.col("take")).alias("head"), "take", F.col("doc_id").alias("next_id"), digests(F.col("text")).alias("next_digests"))
+        .select(F.col("for_k").alias("k"), F.substring("text", F.lit(1), F.col("take")).alias("head"), "take", F.col("doc_id").alias("next_id"), F.col("p").alias("q"))
         .dropDuplicates(["k"])
     )
     # Both joins take the same columns of docs (next_id is the first one's), so that texts are shuffled once for both.
     pairs = docs.join(given, "k").withColumn("n_chars", F.length("text"))
-    edited = pairs.select("doc_id", "next_id", "n_chars", "text", "next_digests", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("take")), "head").alias("edited"))
-    hashed = edited.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("p"), digests(F.col("edited")).alias("e"), F.col("next_digests").alias("q"))
+    edited = pairs.select("doc_id", "next_id", "n_chars", "p", "q", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("take")), "head").alias("edited"))
+    hashed = edited.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "p", digests(F.col("edited")).alias("e"), "q")
     drawn = hashed.select("*", *[sketch(F.col(c), CELLS).alias(f"{c}_cells") for c in ("p", "e", "q")])
     return drawn.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", written(F.col("p_cells")).alias("fingerprint"), written(F.col("e_cells")).alias("edited_fingerprint"),
