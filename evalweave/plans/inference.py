@@ -1,7 +1,7 @@
 """Evidence gathering as chained stages over a table of questions, with the model passed in.
 
-A model is ``infer(rows)``: an iterator of pandas frames with qid, clip_path, prompt, stage, start, end to frames with
-qid and the fields of a call. It runs in mapInPandas, so it is loaded once for each task. Each stage's output is kept,
+A model is ``infer(rows)``: an iterator of pandas frames with qid, clip_path, prompt, stage, start, end, seed to frames
+with qid and the fields of a call; it seeds itself with that number before every call. It runs in mapInPandas, so it is loaded once for each task. Each stage's output is kept,
 so that no plan asks the model twice: the global call is shared by both arms.
 """
 
@@ -39,7 +39,7 @@ def call_model(rows: DataFrame, prompt: Column, stage: str, infer: Infer, start:
     """qid and call, one struct; an answer without text or without media tokens is an error."""
     none = F.lit(None).cast("double")
     asked = rows.select("qid", "clip_path", prompt.alias("prompt"), F.lit(stage).alias("stage"), (none if start is None else start).alias("start"), (none if end is None else end).alias("end"))
-    got = asked.select("qid", "clip_path", "prompt", "stage", "start", "end").mapInPandas(infer, ANSWERED)
+    got = asked.select("qid", "clip_path", "prompt", "stage", "start", "end", F.lit(SEED).alias("seed")).mapInPandas(infer, ANSWERED)
     fine = (F.trim("model_output") != "") & (F.coalesce("audio_tokens", F.lit(0)) > 0) & (F.coalesce("video_tokens", F.lit(0)) > 0)
     checked = F.when(F.coalesce(fine, F.lit(False)), F.col("model_output")).otherwise(F.raise_error(F.lit("no output or no media tokens")).cast("string"))
     call = F.struct(checked.alias("model_output"), "generated_tokens", "reached_token_limit", F.lit(stage).alias("stage"), "input_tokens", "audio_tokens", "video_tokens", "seconds")
