@@ -31,6 +31,8 @@ from .common import hash32, keeps, map_arrow, quiet_threads, settle, task_batche
 
 #: Words kept, characters of a word that is kept, words encoded in a call, characters of texts that are split at once.
 CACHE, CACHED_CHARS, MISSES, AT_ONCE = 600_000, 48, 4096, 2_000_000
+#: ASCII punctuation but for the apostrophe, which begins endings of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -74,9 +76,9 @@ class WordIds:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def meet(self, parts: list[str]) -> None:
-        """Learn new parts; a word with a comma or stop behind it is that word's ids and the mark's."""
-        tails = {p: p[:-1] for p in parts if p[-1] in ",." and p[:-1].isalnum()}
-        new = {tails.get(p, p) for p in parts}.union(",.").difference(self.known)
+        """Learn new parts; a word with marks behind it is that word's ids and the marks', as those are one run."""
+        tails = {p: word for p in parts if (word := p.rstrip(MARKS)) != p and word.isalnum()}
+        new = {tails.get(p, p) for p in parts}.union({p[len(word) :] for p, word in tails.items()}).difference(self.known)
         words = [p for p in new if p.isalpha()]
         together = " ".join(words)
         if not (together == lowered(together) and is_latin(together)):
@@ -87,7 +89,7 @@ class WordIds:
         for i in range(0, len(rest), MISSES):
             self.learn_any(rest[i : i + MISSES])
         known = self.known
-        known.update({p: known[word] + known[p[-1]] for p, word in tails.items()})
+        known.update({p: known[word] + known[p[len(word) :]] for p, word in tails.items()})
 
     def learn(self, words: list[str]) -> None:
         import numpy as np
