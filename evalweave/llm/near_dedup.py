@@ -10,7 +10,8 @@ union sketch that both hold estimates the Jaccard similarity.
 3. Inverted lists. Values of a sketch are put in one order for all documents: not hot first, then by hash. If two
    sketches must share at least ``need`` values, their first ``size - need + 1`` values in that order share one, so
    only those are listed. For a set of at most k shingles the sketch is the set and the bound is exact; beyond that
-   ``need`` is k * similarity less five standard deviations (a miss has a chance below 1 in 10^6 at the threshold).
+   ``need`` is k * similarity less five standard deviations (a miss has a chance below 1 in 10^6 at the threshold), and
+   never more than for whole sets.
 4. Links in two phases. First each list is paired with one hub, the member with the earliest place, which is linear in
    the lists. Confirmed pairs give components. Then pairs of list members that are still in different components are
    compared, if sizes and places leave room for enough overlap. A pair inside one component can't change the result,
@@ -47,10 +48,11 @@ SHARED_BITS, HOT_BITS, ID_BITS = 26, 24, 24
 
 def need_of(size: int, percent: int) -> int:
     """Values that the sketch of a set of this size must share with that of any set it may link with."""
+    exact = -(-percent * size // 100)
     if size * 100 <= K * percent:  # no partner has more than K shingles
-        return -(-percent * size // 100)
+        return exact
     t = percent / 100
-    return min(size, math.floor(K * t - 5 * math.sqrt(K * t * (1 - t))))
+    return min(exact, math.floor(K * t - 5 * math.sqrt(K * t * (1 - t))))
 
 
 def bit_at(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:

@@ -77,6 +77,17 @@ def test_near_families(spark, width, percent):
     check_near(spark, rows, width, percent)
 
 
+@pytest.mark.parametrize(("width", "percent", "sizes"), [(3, 85, [(186, 218), (188, 221)]), (5, 80, [(164, 205), (168, 210), (171, 213)])])
+def test_near_subset_beside_hot_copies(spark, width, percent, sizes):
+    """A text of 8 copies, so that its values are hot, and one document that adds its own words to it."""
+    source, rows = random.Random(percent), []
+    for small, large in sizes:
+        base = [f"w{source.getrandbits(60)}" for _ in range(small + width - 1)]
+        own = [f"o{source.getrandbits(60)}" for _ in range(large - small)]
+        rows += [(100 * small + i, " ".join(base)) for i in range(8)] + [(100 * small + 50, " ".join(base + own))]
+    check_near(spark, rows, width, percent)
+
+
 def test_near_odd_and_empty(spark, odd, empty):
     check_near(spark, [(r["doc_id"], r["text"]) for r in odd.collect()])
     assert near_components(odd, 3, 85).count() == odd.count()
