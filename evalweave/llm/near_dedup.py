@@ -14,7 +14,7 @@ union sketch that both hold estimates the Jaccard similarity.
    never more than for whole sets.
 4. Links in two phases. First each list is paired with one hub, the member with the earliest place, which is linear in
    the lists. Confirmed pairs give components. Then pairs of list members that are still in different components are
-   compared, if sizes and places leave room for enough overlap. A pair inside one component can't change the result,
+   compared, if sizes (and places, for whole sets) leave room for enough overlap. A pair inside one component can't change the result,
    so nothing is lost and a group of thousands of copies doesn't make its square of pairs.
 5. A pair is confirmed on the full sets, once the union-sketch estimate has thrown out pairs that are far off: first
    on the SMALL smallest values, which every document's signature carries, then on the whole sketches. Only documents
@@ -230,13 +230,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def room(percent: int):
     """Condition: sizes and places of the first common value leave room for enough overlap (m, p and n, q).
 
-    All earlier values of either are not in the other. For whole sets that bounds the overlap; for sketches it bounds
-    the share of the union sketch that both hold, with the five standard deviations of need_of.
+    All earlier values of either are not in the other. For whole sets that bounds the overlap. Sketches of which one
+    document holds the other's text differ in up to 2 * (K - need_of) values, all of which may come first; the length
+    of the listed prefixes says the same, so places rule out nothing more there.
     """
     small, large = F.least("m", "n"), F.greatest("m", "n")
-    apart = math.ceil((K - need_of(K + 1, percent)) * (200 - percent) / 100)
-    left = F.least(F.least("m", F.lit(K)) - F.col("p"), F.least("n", F.lit(K)) - F.col("q")) + 1
-    return (small * 100 >= large * percent) & (((large > K) & (F.col("p") + F.col("q") - 2 <= apart)) | ((large <= K) & (left * (100 + percent) >= (F.col("m") + F.col("n")) * percent)))
+    left = F.least(F.col("m") - F.col("p"), F.col("n") - F.col("q")) + 1
+    return (small * 100 >= large * percent) & ((large > K) | (left * (100 + percent) >= (F.col("m") + F.col("n")) * percent))
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

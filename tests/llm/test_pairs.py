@@ -1,5 +1,6 @@
 """Near-duplicates, components and packing, against brute force."""
 
+import math
 import random
 import re
 import zlib
@@ -88,6 +89,17 @@ def test_near_subset_beside_hot_copies(spark, width, percent, sizes):
     check_near(spark, rows, width, percent)
 
 
+@pytest.mark.parametrize(("width", "percent", "common"), [(3, 85, 0.855), (5, 80, 0.81)])
+def test_near_long_texts_that_contain_each_other(spark, width, percent, common):
+    """Base texts of 800 shingles with 9 variants that add their own words: the base's values are hot, the others not."""
+    source, rows = random.Random(percent), []
+    for f in range(12):
+        base = [f"w{source.getrandbits(60)}" for _ in range(800 + width - 1)]
+        own = math.floor(800 / common) - 800
+        rows += [(100 * f, " ".join(base))] + [(100 * f + i, " ".join(base + [f"o{source.getrandbits(60)}" for _ in range(own)])) for i in range(1, 10)]
+    check_near(spark, rows, width, percent)
+
+
 def test_near_odd_and_empty(spark, odd, empty):
     check_near(spark, [(r["doc_id"], r["text"]) for r in odd.collect()])
     assert near_components(odd, 3, 85).count() == odd.count()
