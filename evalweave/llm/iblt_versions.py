@@ -1,7 +1,7 @@
 """Invertible Bloom lookup sketches of documents' paragraphs, in DataFrame operations only.
 
-A document is the set of its paragraphs' 64-bit digests: lines, cut again behind about half of their sentences, which
-their last letters choose, so that an edit moves no other cuts. A
+A document is the set of its paragraphs' 64-bit digests: lines, cut again behind every sentence and table cell, so that
+an edit moves no other cuts. A sentence ends with marks of any script behind a word, and quotes or brackets that close. A
 sketch has 3 sub-tables of cells; each digest goes into one cell of each and changes its count, the xor of its digests
 and the xor of their checksums. Two sketches of one size subtract cell by cell: what both hold cancels. A cell with
 count 1 or -1 and a fitting checksum shows one digest; taking it out of its other cells shows more (peeling). If all
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import settle
 
 CELLS, BLOCK_CELLS, PER_BLOCK, LARGER = 8, 4, 5, 2
-#: A line ends a paragraph, and so does a sentence or table cell whose last letter is in the alphabet's first half.
-PARAGRAPH_END = r"\n+|(?<=[a-m][.!?]|[a-m] \||[a-m][.!?]\S{3})\s+"
+#: End marks that a space follows, and those of scripts without spaces; what may close behind them.
+MARKS, WIDE, CLOSE = ".!?…؟۔।॥։።", "。！？｡", "\"'”’»)\\]」』）"
+#: A line ends a paragraph, and so does a table cell or a sentence. Marks without a word before them are no sentence.
+PARAGRAPH_END = rf"\n+|(?=\s)(?:(?<=\|)|(?<=[^\s{MARKS}][{MARKS}]{{1,9}}[{CLOSE}]{{0,2}})|(?<=[^\s{MARKS}][{MARKS}]\S{{3}}))\s+|(?:(?<=[{WIDE}])|(?<=[{WIDE}][{CLOSE}]))(?![{WIDE}{CLOSE}])\s*"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -7,9 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalweave.llm.curriculum import curriculum
-from evalweave.llm.iblt_versions import compare_versions
+from evalweave.llm.iblt_versions import compare_versions, digests
 from evalweave.llm.ring_shards import ring_shards
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,3 +149,17 @@ def test_versions_retry_larger(spark):
     rows = [(1, base), (2, base + text(3)), (3, text(400)), (4, base + text(20)), (5, text(1)), (6, "")]
     check_versions(spark.createDataFrame(rows, "doc_id long, text string"))
     check_versions(spark.createDataFrame([(1, text(5))], "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("sentences", [["It was so.", "We saw two!", "In 1999.", "By the USA.", "(So they say.)", "“Why not?”", "Wow!!!", "End z."], ["Это первое.", "Вот второе?", "А это третье!"], ["Αυτό είναι.", "Και τώρα."], ["هل هذا؟", "نعم."], ["यह है।", "वह था।"], ["a x |", "b 7 |", "c é |"]])
+def test_every_sentence_is_a_paragraph(spark, sentences):
+    df = spark.createDataFrame([(" ".join(sentences),)], "text string")
+    assert df.select(F.size(digests(F.col("text")))).first()[0] == len(sentences)
+
+
+def test_wide_marks_and_edits_of_a_third(spark):
+    df = spark.createDataFrame([("这是一。那是二！「为什么？」三。",)], "text string")
+    assert df.select(F.size(digests(F.col("text")))).first()[0] == 4
+    rows = [(2, " ".join(f"Это номер {i}." for i in range(100, 130))), (1, "x" * 900)]
+    got = {r["doc_id"]: r for r in compare_versions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2]["near_edited"] > 0.4
