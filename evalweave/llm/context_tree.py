@@ -7,10 +7,10 @@ longer contexts', half and half a priori: the weight of its own is half its bloc
 trained tree is frozen, so a text's probability doesn't depend on other texts that are scored.
 
 Counting gathers every (DEPTH + 1)-gram of the whole training text; a task sums its own first, then Spark. The part of
-the tree below two bytes of context is computed for each such pair apart. What a scorer needs, the one-probability and
-the weight of each node, goes into tables of 2^SLOTS[depth] places, the same at any size of the corpus. A place keeps
-the node with the most counts and a tag; a context that is not there is no node of the tree, and the mix ends at the
-context above it. Every decision keeps probabilities that sum to one, whatever is in the tables.
+the tree below two bytes of context is computed for each such pair apart, with every node (text_scores), and the grams
+of the texts are looked up there; only nodes of contexts of 0 and 1 bytes are sent to the executors. A context that is
+not there is no node of the tree, and the mix ends at the context above it. Model is the same over hash tables of fixed
+size, in which a place keeps the node with the most counts and a tag.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .shingles import U, mix
 
 DEPTH = 5
 END = 255
-#: log2 of the places for contexts of 2, 3, ... bytes; shorter ones are stored whole.
+#: log2 of the places in Model's tables for contexts of 2, 3, ... bytes; shorter ones are stored whole.
 SLOTS = {2: 18, 3: 20, 4: 21, 5: 22}
 _LOG = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 1 << 16) - 0.5))))
 _FACT = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1.0, 1 << 17)))))
@@ -152,6 +152,15 @@ class Model:
         self.known = np.zeros(0, U)
         self.values = np.zeros(0)
 
+    def find(self, depth: int, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One-probability and weight of nodes, and whether they are there."""
+        if depth in self.short:
+            p1, weight = (x[name.astype(np.int64)] for x in self.short[depth])
+            return p1, weight, weight <= 1
+        at, tag = place(name, depth)
+        p1, weight, tags = (x[at] for x in self.tables[depth])
+        return p1, weight, tags == tag
+
     def log2(self, keys: np.ndarray) -> np.ndarray:
         """log2 of the probability of each key's byte after its context."""
         out = np.zeros(len(keys))
@@ -164,14 +173,8 @@ class Model:
             open_ = np.ones(len(keys), bool)
             for depth in range(DEPTH + 1):
                 name = (context >> U(8 * (DEPTH - depth))) << U(8) | node
-                if depth in self.short:
-                    at = name.astype(np.int64)
-                    p1, weight = (x[at] for x in self.short[depth])
-                    found = open_ & (weight <= 1)
-                else:
-                    at, tag = place(name, depth)
-                    p1, weight, tags = (x[at] for x in self.tables[depth])
-                    found = open_ & (tags == tag)
+                p1, weight, found = self.find(depth, name)
+                found &= open_
                 # A context that is there takes its share of what the one above left to it.
                 p += np.where(found, 0, np.where(open_, rest * last, 0))
                 rest = np.where(open_ & ~found, 0, rest)
@@ -204,3 +207,20 @@ class Model:
                 order = np.argsort(both, kind="stable")
                 self.known, self.values = both[order], np.concatenate((self.values, values[~old]))[order]
         return np.add.reduceat(values[inverse.ravel()], starts)
+
+
+class SubTree(Model):
+    """All nodes below two bytes of context, as tree() gives them, and the short tables."""
+
+    def __init__(self, short: dict[int, tuple[np.ndarray, np.ndarray]], nodes: dict[int, tuple[np.ndarray, ...]]):
+        super().__init__(short, {})
+        self.nodes = nodes
+
+    def find(self, depth: int, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if depth in self.short:
+            return super().find(depth, name)
+        if depth not in self.nodes:
+            return np.full(len(name), 0.5), np.ones(len(name)), np.zeros(len(name), bool)
+        names, zeros, ones, _, weight = self.nodes[depth]
+        at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+        return (ones[at] + 0.5) / (zeros[at] + ones[at] + 1), weight[at], names[at] == name

@@ -2,8 +2,9 @@
 
 1. One pass over the training texts counts byte grams and words (lower case A-Z; an end token for each text). Each
    task sums what it has before anything is shuffled.
-2. The context tree is computed from the grams, apart for every two bytes of context (context_tree). What is sent to
-   the executors has a fixed size, see there.
+2. The context tree is computed from the grams, apart for every two bytes of context, with all its nodes. Texts are
+   dealt to chunks of about CHUNK bytes; the distinct grams of each chunk meet the part of the tree they need, and
+   their probabilities go back to the chunk, which adds them up by text.
 3. Word counts for the baseline are exact. Words that hold at least 1 / HEAVY of all tokens, which at most HEAVY words
    can, are sent to the executors; for the others a row for each document and word meets their counts in a join.
 4. One pass over all texts scores them.
@@ -29,6 +30,8 @@ from .shingles import U, groups_of, word_hashes
 HEAVY = 1 << 20
 #: Different keys that a task sums before it passes them on.
 HELD = 1_500_000
+#: Bytes of text whose distinct grams are looked up together.
+CHUNK = 8 << 20
 WORD_KIND, GRAM_KIND = 0, 1
 
 
@@ -66,38 +69,69 @@ def count_keys(batches: Iterator) -> Iterator:
         yield from out(kind)
 
 
-def sub_tree(key, table):
-    """Nodes below two bytes of context: packed for their places; for the two bytes themselves also in full."""
-    import pyarrow as pa
-
+def nodes_of(table) -> dict[int, tuple[np.ndarray, ...]]:
+    """All nodes of two bytes of context and more; table: key, n."""
+    if not table.num_rows:
+        return {}
     keys, n = table.column("key").to_numpy().view(U), table.column("n").to_numpy()
     order = np.argsort(keys)
-    parts = []
-    for depth, (name, zeros, ones, mixed, weight) in tree.tree(keys[order], n[order], 2).items():
-        place, tag = tree.place(name, depth)
-        full = depth == 2
-        parts.append((np.full(len(name), depth), place, tree.pack(zeros, ones, tag, weight), name if full else np.zeros(len(name), U), zeros * full, ones * full, mixed if full else np.zeros(len(name))))
-    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-    return pa.Table.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c).cast(t) for c, t in zip(cols, kinds, strict=True)], names=["depth", "place", "packed", "name", "zeros", "ones", "mixed"])
-
-
-def build_model(grams: DataFrame) -> tree.Model:
-    """grams: key, n."""
-    nodes = grams.withColumn("near", F.shiftrightunsigned("key", 8 * (tree.DEPTH - 1))).groupBy("near").applyInArrow(sub_tree, "depth int, place long, packed long, name long, zeros long, ones long, mixed double")
-    nodes = settle(nodes)
-    kept = nodes.groupBy("depth", "place").agg(F.max("packed").alias("packed")).toArrow()  # sum of 2^SLOTS rows at most
-    tables = {}
-    depth, place, packed = (kept.column(k).to_numpy() for k in ("depth", "place", "packed"))
-    for d, bits in tree.SLOTS.items():
-        table = np.zeros(1 << bits, np.int64)
-        at = depth == d
-        table[place[at]] = packed[at]
-        tables[d] = tree.unpack(table)
-    del kept, depth, place, packed
-    two = nodes.where("depth = 2").select("name", "zeros", "ones", "mixed").toArrow().sort_by([("name", "ascending")])  # 2^24 rows at most
-    short = tree.short_tree(two.column("name").to_numpy().astype(U), *[two.column(k).to_numpy().astype(float) for k in ("zeros", "ones", "mixed")])
-    return tree.Model(short, tables)
+    return tree.tree(keys[order], n[order], 2)
+
+
+def near_nodes(table):
+    """Nodes of the two bytes themselves."""
+    import pyarrow as pa
+
+    name, zeros, ones, mixed, _ = nodes_of(table)[2]
+    return pa.Table.from_arrays([pa.array(name.view(np.int64)), pa.array(zeros), pa.array(ones), pa.array(mixed)], names=["name", "zeros", "ones", "mixed"])
+
+
+def short_nodes(grams: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Probabilities and weights for contexts of 0 and 1 bytes; grams: near, key, n."""
+    nodes = grams.groupBy("near").applyInArrow(near_nodes, "name long, zeros long, ones long, mixed double")
+    two = nodes.toArrow().sort_by([("name", "ascending")])  # 2^24 rows at most
+    return tree.short_tree(two.column("name").to_numpy().astype(U), *[two.column(k).to_numpy().astype(float) for k in ("zeros", "ones", "mixed")])
+
+
+def tree_scores(docs: DataFrame, grams: DataFrame, chunks: int) -> DataFrame:
+    """doc_id, h, held_out, score (log10) for each row of docs: doc_id, h, held_out, text. grams: near, key, n."""
+    short = docs.sparkSession.sparkContext.broadcast(short_nodes(grams))
+    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "h"), F.lit(chunks)).cast("int"))
+
+    def wanted(table):
+        import pyarrow as pa
+
+        found = [np.zeros(0, U)]
+        for group in groups_of(x.as_py() for x in table.column("text")):
+            found = [np.union1d(found[0], tree.grams_of(group)[0])]
+        chunk = table.column("chunk")[0].as_py()
+        return pa.Table.from_arrays([pa.array(np.full(len(found[0]), chunk, np.int32)), pa.array(found[0].view(np.int64))], names=["chunk", "key"])
+
+    def look_up(given, asked):
+        import pyarrow as pa
+
+        keys, at = np.unique(asked.column("key").to_numpy().view(U), return_inverse=True)
+        model = tree.SubTree(short.value, nodes_of(given))
+        step = 200_000
+        logs = np.concatenate([np.zeros(0), *[model.log2(keys[i : i + step]) for i in range(0, len(keys), step)]])
+        return pa.Table.from_arrays([asked.column("chunk"), asked.column("key"), pa.array(logs[at.ravel()])], names=["chunk", "key", "log2"])
+
+    def add_up(texts, looked_up):
+        import pyarrow as pa
+
+        keys, logs = looked_up.column("key").to_numpy().view(U), looked_up.column("log2").to_numpy()
+        order = np.argsort(keys)
+        keys, logs = keys[order], logs[order]
+        scores = [np.zeros(0)]
+        for group in groups_of(x.as_py() for x in texts.column("text")):
+            of, starts = tree.grams_of(group)
+            scores.append(np.add.reduceat(logs[np.searchsorted(keys, of)], starts))
+        return texts.select(["doc_id", "h", "held_out"]).append_column("score", pa.array(np.concatenate(scores) * math.log10(2)))
+
+    near = F.shiftrightunsigned("key", 8 * (tree.DEPTH - 1))
+    asked = chunked.groupBy("chunk").applyInArrow(wanted, "chunk int, key long").withColumn("near", near)
+    looked_up = grams.groupBy("near").cogroup(asked.groupBy("near")).applyInArrow(look_up, "chunk int, key long, log2 double")
+    return chunked.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(add_up, "doc_id long, h long, held_out boolean, score double")
 
 
 def text_scores(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -107,23 +141,25 @@ def text_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     training = docs.where(~F.col("held_out"))
     counts = settle(training.select("text").transform(map_arrow, count_keys, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.where(F.col("kind") == WORD_KIND).select("key", "n")
-    texts = training.count()
+    found = docs.agg(F.count_if(~F.col("held_out")).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    texts, chunks = found["texts"], max(1, -(-found["bytes"] // CHUNK))
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, different = size["n"] + texts, size["v"] + (texts > 0)
     least = max(1, -(-total // HEAVY))
     heavy = words.where(F.col("n") >= least).toArrow().sort_by([("key", "ascending")])  # HEAVY rows at most
     order = np.argsort(heavy.column("key").to_numpy().view(U))
     heavy_keys, heavy_counts = heavy.column("key").to_numpy().view(U)[order], heavy.column("n").to_numpy()[order]
-    sent = sc.broadcast((build_model(counts.where(F.col("kind") == GRAM_KIND).select("key", "n")), heavy_keys, heavy_counts))
+    grams = counts.where(F.col("kind") == GRAM_KIND).select(F.shiftrightunsigned("key", 8 * (tree.DEPTH - 1)).alias("near"), "key", "n")
+    sent = sc.broadcast((heavy_keys, heavy_counts))
     scale, end = float(total + different + 1), math.log10((texts + 1) / (total + different + 1))
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model, known, number = sent.value
+        known, number = sent.value
         logs = np.log10((number + 1) / scale)
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        names = ["doc_id", "h", "held_out", "own", "key", "k", "n_tokens", "n_known", "base", "score"]
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        names = ["doc_id", "h", "held_out", "own", "key", "k", "n_tokens", "n_known", "base"]
         for batch in task_batches(batches, "shingles"):
             ids, hashes, out_of = (batch.column(k).to_pylist() for k in ("doc_id", "h", "held_out"))
             first = 0
@@ -139,26 +175,28 @@ def text_scores(docs: DataFrame, held_out: Column) -> DataFrame:
                 here = is_heavy[word]
                 base = np.bincount(doc[here], weights=k[here] * logs[spot[word[here]]], minlength=n) + end
                 found = np.bincount(doc[here], weights=k[here], minlength=n).astype(np.int64) + (texts > 0)
-                scores = model.texts(group) * math.log10(2)
                 mine = [ids[first : first + n], hashes[first : first + n], out_of[first : first + n]]
-                own = [*mine, np.ones(n, bool), np.array(mine[1], np.int64), np.zeros(n, np.int64), np.diff(at) + 1, found, base, scores]
+                own = [*mine, np.ones(n, bool), np.array(mine[1], np.int64), np.zeros(n, np.int64), np.diff(at) + 1, found, base]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, kinds, strict=True)], names=names)
                 rest = np.flatnonzero(~here)
                 for part in np.array_split(rest, max(1, len(rest) // 100_000)):
                     of = doc[part].tolist()
                     m = len(of)
                     zero = np.zeros(m, np.int64)
-                    cols = [[mine[0][i] for i in of], [mine[1][i] for i in of], [mine[2][i] for i in of], np.zeros(m, bool), unique[word[part]].view(np.int64), k[part], zero, zero, zero.astype(float), zero.astype(float)]
+                    cols = [[mine[0][i] for i in of], [mine[1][i] for i in of], [mine[2][i] for i in of], np.zeros(m, bool), unique[word[part]].view(np.int64), k[part], zero, zero, zero.astype(float)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
                 first += n
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "held_out", "text").transform(map_arrow, score, "doc_id long, h long, held_out boolean, own boolean, key long, k long, n_tokens long, n_known long, base double, score double")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "held_out", "text")
+    rows = hashed.transform(map_arrow, score, "doc_id long, h long, held_out boolean, own boolean, key long, k long, n_tokens long, n_known long, base double")
     light = words.where(F.col("n") < least).select(F.col("key").alias("of"), F.col("n").alias("c"))
     met = rows.join(light.hint("shuffle_hash"), (F.col("key") == F.col("of")) & ~F.col("own"), "left")
     base = F.when(F.col("own"), F.col("base")).otherwise(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(scale)))
     known = F.when(F.col("own"), F.col("n_known")).otherwise(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0))
-    by_doc = met.groupBy("doc_id", "h", "held_out").agg(
-        F.sum(F.col("own").cast("int")).alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.max(F.when(F.col("own"), F.col("score"))).alias("score"),
+    counted = met.select("doc_id", "h", "held_out", F.col("own").cast("int").alias("copies"), "n_tokens", known.alias("n_known"), base.alias("base"), F.lit(None).cast("double").alias("score"))
+    scored = tree_scores(hashed, grams, chunks).select("doc_id", "h", "held_out", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "score")
+    by_doc = counted.unionByName(scored).groupBy("doc_id", "h", "held_out").agg(
+        F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score"),
     )
     run = 10_000
     spread = by_doc.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {run}")))).withColumn("copy", F.explode(F.expr(f"sequence(run * {run}, least(copies, (run + 1) * {run}) - 1)")))

@@ -132,6 +132,17 @@ def test_scores_are_those_of_the_tree(spark):
         assert got[i] == pytest.approx(brute_log2(counts, weight, t.encode()) * math.log10(2), rel=2e-3)
 
 
+def test_no_node_of_the_tree_is_lost(spark):
+    """As many nodes as share places in tables of 2^18 to 2^22."""
+    source = random.Random(5)
+    texts = [words(source, 150, "abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in text_scores(df, F.col("doc_id") >= 36).collect()}
+    counts, weight = brute_tree([t.encode() for t in texts[:36]])
+    for i in (0, 1, 2, 36, 37, 38, 39):
+        assert got[i] == pytest.approx(brute_log2(counts, weight, texts[i].encode()) * math.log10(2), rel=1e-6)
+
+
 def test_tree_probabilities_sum_to_one():
     keys, starts = tree.grams_of([b"abracadabra", b"", b"\x00x"])
     assert list(starts) == [0, 12, 13] and len(keys) == 16
