@@ -39,11 +39,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_quality(docs.select(*COLUMNS), model).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row for each id, which near_components takes for one document, and for each text without an id: the least by columns."""
+    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = docs.select(*COLUMNS).withColumn("key", key)
+    repeated = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"))
+    of = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS // 10 else repeated
+    least = keyed.join(of, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return keyed.join(of, "key", "left_anti").select(*COLUMNS).unionByName(least)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near-duplicates."""
+    """Keeps one document, that with the smallest id, of each group of near-duplicates, as one row.
+
+    Of rows that repeat an id, with equal or different texts, one stays; of equal texts without an id, one.
+    """
     dropped = settle(near_components(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct())
     few = dropped.count() <= BROADCAST_IDS
-    return docs.select(*COLUMNS).join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.select(*COLUMNS).join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
+    return one_of_each(kept).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

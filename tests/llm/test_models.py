@@ -301,3 +301,13 @@ def test_pipeline_stages_take_odd_rows(spark, odd, empty, corpus):
             out = stage(spark, docs.select(*p.COLUMNS), corpus)
             assert out.columns == list(p.COLUMNS) or name == "packing"
             assert out.count() >= 0
+
+
+def test_one_row_of_each_group_stays(spark, corpus):
+    import corpus_pipeline as p
+
+    texts = [words(random.Random(i), 40) for i in range(5)]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (3, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[4]), (4, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in p.near_dedup(spark, docs, corpus).collect())
+    assert got == Counter([(1, texts[0]), (3, min(texts[1:3])), (None, texts[3]), (None, texts[4]), (4, None), (5, None)])
