@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -18,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a private one only where none is named (tests)."""
+    """The shared folder named by the session; one of this machine only where all of Spark runs in one process (tests)."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir()
     if named is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evalweave-")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = named or tempfile.mkdtemp(prefix="evalweave-")
         sc.setCheckpointDir(named)
     return named
 
@@ -34,11 +38,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def by_hash(df: DataFrame, h: Column, most: int) -> DataFrame:
-    """The `most` rows with the smallest 32-bit hashes: a cut at about twice as many first, so that few are sorted."""
-    total = df.count()
-    if total > 4 * most:
-        df = df.where(h < int(2 * most / total * 2**32))
-    return df.orderBy(h, *df.columns).limit(most)
+    """The `most` rows with the smallest hashes (h may hold more to break ties). Each task passes on at most that many."""
+    return df.orderBy(h).limit(most)
 
 
 def crc_of_id(c: Column) -> Column:
@@ -60,16 +61,24 @@ def keeps(operator: str, drop: Callable[[], None]) -> None:
     _KEPT[operator] = drop
 
 
-def task_batches(batches: Iterator, operator: str, rows: int = 1024) -> Iterator:
-    """A task's Arrow batches in slices, once what other operators left in this worker is gone."""
+def tidy(operator: str = "") -> None:
+    """Start of a task: lets go of what other operators left in this worker, and has Arrow take memory where trim() gives it back."""
     import gc
 
+    import pyarrow as pa
+
     quiet_threads()
+    pa.set_memory_pool(pa.system_memory_pool())
     for other, drop in _KEPT.items():
         if other != operator:
             drop()
     gc.collect()
     trim()
+
+
+def task_batches(batches: Iterator, operator: str, rows: int = 1024) -> Iterator:
+    """A task's Arrow batches in slices, once what other operators left in this worker is gone."""
+    tidy(operator)
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
