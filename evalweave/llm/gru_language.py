@@ -2,21 +2,22 @@
 
 Each direction is a GRU over UTF-8 bytes. Every position gets a probability for every language from both states;
 a document's probabilities are the means over its positions, its prediction is the largest (ties: the first name) and
-its score that mean. Texts are read whole, in segments of SEGMENT bytes that run side by side; a segment starts from
-empty states, so memory doesn't depend on the length of a text.
+its score that mean. Texts are read whole, in segments of SEGMENT bytes that run side by side. Before a segment each
+direction reads the WARM bytes that lead to it, so that states don't start empty inside a text; memory and the number
+of steps don't depend on the length of a text.
 
-Training: ``sample`` labelled documents, those with the smallest hashes of id, at most; EXCERPTS excerpts of each, at
-places given by the hash; cross-entropy at every position, backpropagation through time, Adam. All seeds are fixed, so
-reruns agree. The model has a few thousand numbers and is sent to the executors with the task.
+Training: ``sample`` labelled documents, those with the smallest hashes of id, at most, with their whole texts, cut into
+pieces of PIECE bytes; ``epochs`` passes over all pieces, more if those are fewer than ``steps`` minibatches; cross-entropy
+at every position, backpropagation through time, Adam. All seeds are fixed, so reruns agree. The model has a few
+thousand numbers and is sent to the executors with the task.
 
-Null or empty texts and texts without a letter are ``und`` with score 0. Null languages are never learnt from. With
+Null or empty texts and texts without a letter (Unicode category L) are ``und`` with score 0. Ties of hashes go by text. Null languages are never learnt from. With
 nothing to learn from every document is ``und``. Repeated rows get the same answer each. An empty table gives an empty
 result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import by_hash, hash32, map_arrow, quiet_threads, task_batches
 
-SEGMENT, WIDTH, EXCERPT, EXCERPTS = 128, 8, 64, 2
+SEGMENT, WARM, WIDTH, PIECE = 256, 64, 8, 64
 AT_ONCE = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
 GATES = ("z", "r", "c")
 
 
@@ -112,17 +112,21 @@ class Network:
         logits /= logits.sum(-1, keepdims=True)
         return logits, (a, b)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 240, rows: int = 256, rate: float = 0.02, seed: int = 11) -> None:
-        """x: rows by bytes, y: the languages' numbers."""
+    def fit(self, x: np.ndarray, held: np.ndarray, y: np.ndarray, steps: int = 240, epochs: int = 1, rows: int = 256, rate: float = 0.02, seed: int = 11) -> None:
+        """x: rows by bytes, held: how many bytes of each row there are, y: the languages' numbers."""
         rng = np.random.default_rng(seed)
+        each = -(-len(x) // rows)
+        steps = each * max(epochs, -(-steps // each))
+        order = np.concatenate([rng.permutation(len(x)) for _ in range(steps // each)])
+        batches = [at for epoch in np.split(order, steps // each) for at in np.array_split(epoch, each)]
         params = {("a", k): v for k, v in self.ahead.p.items()} | {("b", k): v for k, v in self.behind.p.items()} | {("w", ""): self.w, ("v", ""): self.b}
         first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-        for step in range(1, steps + 1):
-            at = rng.integers(0, len(x), rows)
+        for step, at in enumerate(batches, 1):
             block, kept = np.ascontiguousarray(x[at].T).astype(np.intp), ([], [])
-            prob, (a, b) = self.probabilities(block, None, kept)
-            prob[:, np.arange(rows), y[at]] -= 1
-            prob /= prob.shape[0] * rows
+            mask = (np.arange(len(block))[:, None] < held[at][None, :]).astype(np.float32)
+            prob, (a, b) = self.probabilities(block, mask, kept)
+            prob[:, np.arange(len(at)), y[at]] -= 1
+            prob *= mask[:, :, None] / mask.sum()
             width = a.shape[-1]
             grads = {("w", ""): np.concatenate([np.tensordot(s, prob, ((0, 1), (0, 1))) for s in (a, b)]), ("v", ""): prob.sum((0, 1))}
             grads |= {("a", k): v for k, v in self.ahead.back(block, kept[0], prob @ self.w[:width].T).items()}
@@ -138,46 +142,52 @@ class Network:
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities over the positions of each text (not empty)."""
         lengths = np.array([len(t) for t in texts])
-        segments = -(-lengths // SEGMENT)
-        doc = np.repeat(np.arange(len(texts)), segments)
-        x = np.frombuffer(b"".join(t + bytes(int(s) * SEGMENT - len(t)) for t, s in zip(texts, segments, strict=True)), np.uint8).reshape(-1, SEGMENT)
-        held = np.full(len(x), SEGMENT)
-        held[np.cumsum(segments) - 1] = lengths - (segments - 1) * SEGMENT
-        sums = np.zeros((len(x), len(self.names)))
-        for at in (np.flatnonzero(held == SEGMENT), np.flatnonzero(held < SEGMENT)):
-            for some in np.array_split(at, max(1, -(-len(at) * SEGMENT // AT_ONCE))):
-                if len(some):
-                    steps = int(held[some].max())
-                    block = np.ascontiguousarray(x[some, :steps].T).astype(np.intp)
-                    mask = None if held[some].min() == steps else (np.arange(steps)[:, None] < held[some][None, :]).astype(np.float32)
-                    prob, _ = self.probabilities(block, mask)
-                    if mask is not None:
-                        prob *= mask[:, :, None]
-                    sums[some] = prob.sum(0)
+        starts = np.concatenate(([0], np.cumsum(lengths)))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        number = -(-lengths // SEGMENT)
+        doc = np.repeat(np.arange(len(texts)), number)
+        at = (np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)) * SEGMENT
+        # Of each segment: first and last byte with what leads to it on either side, and the segment itself.
+        low, high = np.maximum(at - WARM, 0), np.minimum(at + SEGMENT + WARM, lengths[doc])
+        begin, end = at - low, np.minimum(at + SEGMENT, lengths[doc]) - low
+        held = high - low
+        sums = np.zeros((len(doc), len(self.names)))
+        order = np.argsort(held, kind="stable")
+        for some in np.array_split(order, max(1, -(-len(doc) * (SEGMENT + 2 * WARM) // AT_ONCE))):
+            if not len(some):
+                continue
+            steps = np.arange(held[some].max())[:, None]
+            block = data[np.minimum(starts[doc[some]] + low[some] + steps, len(data) - 1)].astype(np.intp)
+            mask = None if held[some].min() == len(steps) else (steps < held[some]).astype(np.float32)
+            prob, _ = self.probabilities(block, mask)
+            prob *= ((steps >= begin[some]) & (steps < end[some])).astype(np.float32)[:, :, None]
+            sums[some] = prob.sum(0)
         out = np.zeros((len(texts), len(self.names)))
         np.add.at(out, doc, sums)
         return out / lengths[:, None]
 
 
-def fit_language(labelled: DataFrame, sample: int = 6000) -> Network | None:
+def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces of PIECE bytes of all texts, the last of each filled up with zeros: bytes, lengths, text."""
+    number = np.array([-(-len(t) // PIECE) for t in texts])
+    x = np.frombuffer(b"".join(t.ljust(int(n) * PIECE, b"\0") for t, n in zip(texts, number, strict=True)), np.uint8).reshape(-1, PIECE)
+    held = np.full(len(x), PIECE)
+    held[np.cumsum(number) - 1] = [len(t) - (int(n) - 1) * PIECE for t, n in zip(texts, number, strict=True)]
+    return x, held, np.repeat(np.arange(len(texts)), number)
+
+
+def fit_language(labelled: DataFrame, sample: int = 1500) -> Network | None:
     """From doc_id, text, lang; None if there is nothing to learn from."""
     quiet_threads()
-    h = hash32(F.col("doc_id"))
-    size = F.greatest(F.length("text") - EXCERPT, F.lit(0))
-    excerpts = [F.col("text").substr((F.pmod(h * F.lit(k), size + 1) + 1).cast("int"), F.lit(EXCERPT)).alias(f"x{k}") for k in range(1, EXCERPTS + 1)]
-    known = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", h.alias("h"), *excerpts)
-    rows = by_hash(known, F.col("h"), sample).collect()  # `sample` rows of a few excerpts
+    known = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", hash32(F.col("doc_id")).alias("h"), F.md5("text").alias("m"), "text")
+    rows = by_hash(known, F.struct("h", "m", "lang"), sample).collect()  # `sample` rows
     names = sorted({r["lang"] for r in rows})
     if not names:
         return None
     network = Network(names)
     if len(names) > 1:
-        x = np.zeros((len(rows) * EXCERPTS, EXCERPT), np.uint8)
-        for i, r in enumerate(rows):
-            for k in range(EXCERPTS):
-                data = r[f"x{k + 1}"].encode()[:EXCERPT]
-                x[i * EXCERPTS + k] = np.frombuffer((data * (EXCERPT // len(data) + 1))[:EXCERPT], np.uint8)
-        network.fit(x, np.repeat([names.index(r["lang"]) for r in rows], EXCERPTS))
+        x, held, of = pieces_of([r["text"].encode() for r in rows])
+        network.fit(x, held, np.array([names.index(r["lang"]) for r in rows])[of])
     return network
 
 
@@ -210,7 +220,7 @@ def chunks(column, most: int = 1 << 21) -> Iterator[tuple[list[int], list[bytes]
     at, texts, size = [], [], 0
     for i, value in enumerate(column):
         text = value.as_py()
-        if text and LETTER.search(text):
+        if text and any(map(str.isalpha, text)):
             at.append(i)
             texts.append(text.encode("utf-8", "surrogatepass"))
             size += len(texts[-1])
