@@ -6,9 +6,9 @@ characters) and by the share of different 4-byte strings, which falls when text
 encoder turns that into a vector, a gated attention (tanh times sigmoid) weighs the passages of the document, and a
 logistic unit scores the weighted mean vector. Encoder, attention and unit are learnt together from document labels.
 
-Training: the ``sample`` labelled documents with the smallest hashes of id, at most, and of a longer one at most
-BAG passages, evenly spaced; these two bounds are parameters of the fit alone. Scoring reads every passage of every
-document. Seeds are fixed, so reruns agree. The model has some thousand numbers.
+Training: the ``sample`` labelled documents with the smallest hashes of id, at most, with all their passages; this bound
+is a parameter of the fit alone. Scoring reads every passage of every document, some passages at a time: of a very long
+text 136 bytes are kept for each passage. Seeds are fixed, so reruns agree. The model has some thousand numbers.
 
 Null and empty texts are one passage without content. Null labels are never learnt from; of several labels of one id
 the mean counts, and a tie means 1. With nothing to learn from, the score is 0.5. Repeated rows get the same score. An
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import by_hash, hash32, map_arrow, quiet_threads, task_batches
 
-PASSAGE, BAG, HIDDEN, AT_ONCE = 512, 16, 16, 1 << 20
+PASSAGE, HIDDEN, AT_ONCE = 512, 16, 1 << 20
 KINDS = 16
 EXTRA = 2
 GAP = bytes(4)
@@ -70,22 +70,30 @@ class Attention:
         self.mean, self.scale = np.zeros(d), np.ones(d)
 
     def score(self, x: np.ndarray, number: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        p, start = self.p, np.concatenate(([0], np.cumsum(number)[:-1]))
         x = (x - self.mean) * self.scale
+        h, t, s, raw = self.encode(x)
+        return self.pool(h, raw, number, keep, x=x, t=t, s=s)
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Vectors of passages, the two halves of their gates and their attention before it is shared out."""
+        p = self.p
         h = np.tanh(x @ p["w"] + p["b"])
         t, s = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
-        raw = (t * s) @ p["a"]
+        return h, t, s, (t * s) @ p["a"]
+
+    def pool(self, h: np.ndarray, raw: np.ndarray, number: np.ndarray, keep: dict | None = None, **more: np.ndarray) -> np.ndarray:
+        p, start = self.p, np.concatenate(([0], np.cumsum(number)[:-1]))
         e = np.exp(raw - np.repeat(np.maximum.reduceat(raw, start), number))
         weight = e / np.repeat(np.add.reduceat(e, start), number)
         z = np.add.reduceat(h * weight[:, None], start)
         y = 1 / (1 + np.exp(-np.clip(z @ p["o"] + p["c"], -30, 30)))
         if keep is not None:
-            keep.update(x=x, h=h, t=t, s=s, weight=weight, z=z, start=start)
+            keep.update(h=h, weight=weight, z=z, start=start, **more)
         return y
 
     def fit(self, x: np.ndarray, number: np.ndarray, y: np.ndarray, rounds: int = 30, rows: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = x.mean(0), 1 / (x.std(0) + 0.02)
+        self.mean, self.scale = x.mean(0, dtype=np.float64), 1 / (x.std(0, dtype=np.float64) + 0.02)
         share = np.clip(y.mean(), 0.02, 0.98)
         self.p["c"][:] = np.log(share / (1 - share))
         starts = np.concatenate(([0], np.cumsum(number)))
@@ -117,37 +125,22 @@ class Attention:
     def documents(self, texts: list[bytes]) -> np.ndarray:
         bags = [cut(t) for t in texts]
         flat, per = [p for bag in bags for p in bag], AT_ONCE // PASSAGE
-        x = np.concatenate([features(flat[i : i + per]) for i in range(0, len(flat), per)])
-        return self.score(x, np.array([len(bag) for bag in bags]))
-
-
-def spread(batches: Iterator) -> Iterator:
-    """At most BAG passages of each text, evenly spaced, and their number of bytes."""
-    import pyarrow as pa
-
-    for batch in task_batches(batches, "attention_quality"):
-        out = []
-        for text in batch.column("text"):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            bag = cut(data)
-            out.append([bag[i] for i in sorted({int(i) for i in np.linspace(0, len(bag) - 1, min(len(bag), BAG))})])
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("h"), pa.array(out, pa.list_(pa.binary()))], names=["quality", "h", "passages"])
+        parts = [self.encode((features(flat[i : i + per]) - self.mean) * self.scale) for i in range(0, len(flat), per)]
+        return self.pool(np.concatenate([x[0] for x in parts]), np.concatenate([x[3] for x in parts]), np.array([len(bag) for bag in bags]))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Attention | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Attention | None:
     """docs: doc_id, text. labels: doc_id, quality; only rows that may be learnt from."""
     quiet_threads()
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    chosen = by_hash(known.withColumn("h", hash32(F.col("doc_id"))), F.col("h"), sample)
-    bag = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "h", "text")  # `sample` ids at most
-    rows = bag.transform(map_arrow, spread, "quality int, h long, passages array<binary>").toArrow().sort_by([("h", "ascending")]).to_pylist()
-    if not rows:
+    chosen = by_hash(known.withColumn("h", hash32(F.col("doc_id"))), F.struct("h", "doc_id"), sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "h", F.md5(F.coalesce("text", F.lit(""))).alias("m"), "text").toArrow().sort_by([("h", "ascending"), ("m", "ascending")])  # `sample` ids at most
+    if not rows.num_rows:
         return None
-    y = np.array([r["quality"] for r in rows], float)
-    number = np.array([len(r["passages"]) for r in rows])
-    parts = [p for r in rows for p in r["passages"]]
+    bags = [cut((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in rows.column("text")]
+    parts = [p for bag in bags for p in bag]
     model = Attention()
-    model.fit(np.concatenate([features(parts[i : i + 2048]) for i in range(0, len(parts), 2048)]).astype(float), number, y)
+    model.fit(np.concatenate([features(parts[i : i + 2048]) for i in range(0, len(parts), 2048)]), np.array([len(bag) for bag in bags]), rows.column("quality").to_numpy().astype(float))
     return model
 
 
