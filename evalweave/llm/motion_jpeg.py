@@ -9,10 +9,12 @@ The file is RIFF: header list with stream header and format, an INFO comment wit
 an index, in which the reader finds the frames.
 
 Reading. Frames come from the index; each is parsed by its markers, its Huffman tables are built from what it says,
-and its words are decoded by table. Pixels are the inverse DCT in whole numbers, so equal files give equal pixels.
+and its words are decoded by table. This reads the files written here (10-bit words; any tables that give those), and
+refuses other JPEG frames with an error. Pixels are the inverse DCT in whole numbers, so equal files give equal pixels.
 
 Shots. Frames have histograms of 16 grey levels; a frame starts a new clip if the difference to the frame before is
-above the mean and two standard deviations of the differences in the WINDOW frames before it, and above FLOOR.
+above the mean and two standard deviations of the differences in the WINDOW frames before it, and above FLOOR. The
+second frame, with no differences before it, starts one above FIRST.
 
 Null and empty texts are one block of zero bytes. Repeated rows get the same values. An empty table gives an empty
 result. Other columns of the input are ignored. A task holds one Arrow batch and GROUP bytes (or one longer text).
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, task_batches
 
 BLOCK, FRAME_BLOCKS, WORD_BITS, RATE = 64, 64, 10, 25
-WINDOW, FLOOR, LEVELS = 12, 0.05, 16
+WINDOW, FLOOR, FIRST, LEVELS = 12, 0.05, 0.2, 16
 GROUP = 1 << 20
 #: The order in which JPEG lists the coefficients of a block: by diagonals, up and down in turn.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -240,9 +242,9 @@ def shot_starts(hist: np.ndarray) -> list[int]:
     share = hist / hist.sum(1, keepdims=True)
     steps = np.abs(np.diff(share, axis=0)).sum(1) / 2
     starts = [0]
-    for i in range(1, len(steps)):
+    for i in range(len(steps)):
         past = steps[max(0, i - WINDOW) : i]
-        if steps[i] > max(FLOOR, past.mean() + 2 * past.std()):
+        if steps[i] > (max(FLOOR, past.mean() + 2 * past.std()) if i else FIRST):
             starts.append(i + 1)
     return starts
 
@@ -250,19 +252,27 @@ def shot_starts(hist: np.ndarray) -> list[int]:
 def read_back(files: list[bytes]) -> list[tuple[bytes, int, list[tuple[int, int, int]], np.ndarray]]:
     """Of each file: payload, frames, clips (first frame, frames, microseconds a frame) and the histogram of all."""
     rows, plans = [], []
-    tables = None
+    of_frame: list[tuple[np.ndarray, np.ndarray]] = []
     for data in files:
         frames, pace, blocks = open_avi(data)
         per = 0
         for f in frames:
             width, height, scan, dc, ac = parse_frame(f)
-            per, tables = width * height // BLOCK, (dc, ac)
+            per = width * height // BLOCK
+            of_frame.append((dc, ac))
             if len(scan) != per * BLOCK * WORD_BITS // 8:
                 raise ValueError("a frame of another size")
             rows.append(scan)
         plans.append((len(frames), per, blocks, pace))
     first = np.concatenate([np.arange(n * per) % per == 0 for n, per, _, _ in plans])
-    coefs = coefficients(np.frombuffer(b"".join(rows), np.uint8), first, *tables)
+    # Frames in a row that share their tables are decoded together.
+    turns = [i for i, t in enumerate(of_frame) if not i or t[0] is not of_frame[i - 1][0] or t[1] is not of_frame[i - 1][1]]
+    begin = np.flatnonzero(first)
+    parts = []
+    for i, j in zip(turns, [*turns[1:], len(rows)], strict=True):
+        here = slice(begin[i], begin[j] if j < len(rows) else len(first))
+        parts.append(coefficients(np.frombuffer(b"".join(rows[i:j]), np.uint8), first[here], *of_frame[i]))
+    coefs = np.concatenate(parts) if len(parts) > 1 else parts[0]
     number = np.cumsum(first) - 1
     hist = histograms(coefs, number, int(number[-1]) + 1)
     coefs[:, 1:] -= 1
