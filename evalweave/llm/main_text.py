@@ -19,6 +19,7 @@ rows and joined by a shuffle otherwise.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from .common import map_arrow, settle, task_batches
 BROADCAST_HOSTS, VOTES = 50_000, 3
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object|math)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
     re.S | re.I,
 )
@@ -43,26 +44,29 @@ CONTAINER = frozenset("html body main article section div td center".split())
 #: An opening tag of the key closes an open element of the value, unless one of SCOPE lies between.
 CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 SCOPE = frozenset("ul ol dl table article section div body main".split())
-FURNITURE_TAGS = frozenset("head nav footer aside form button dialog menu fieldset".split())
+FURNITURE_TAGS = frozenset("head header nav footer aside form button dialog menu fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promos?|promotion\w*|banner|sidebar|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notices?|alerts?"
-    r"|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|reply|respond|widgets?|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])",
+    r"|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|reply|respond|widgets?|toolbar|header|pagination|pager|login|signup|search)(?:$|[\s_-])",
     re.I,
 )
-HEADERS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+#: Elements of running text: their classes don't make them furniture.
+TEXT_TAGS = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
+#: Characters of a path; the upper part of a longer one is replaced by its digest.
+PATH = 400
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 DIGITS = re.compile(r"\d+")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Page:
-    """Blocks in page order as (container, text, letters in links, furniture?) and containers as (parent, path)."""
+    """Blocks in page order as (container, text, letters in links, furniture?) and containers as (parent, path, depth, tag)."""
 
     def __init__(self, html: str):
-        self.nodes: list[tuple[int, str]] = [(-1, "")]
+        self.nodes: list[tuple[int, str, int, str]] = [(-1, "", 0, "")]
         self.blocks: list[tuple[int, str, int, bool]] = []
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, inside furniture
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, inside furniture, inside a link
         parts: list[str] = []
         link, at = 0, 0
 
@@ -78,7 +82,7 @@ class Page:
             link = 0
 
         def cut(depth: int) -> None:
-            if any(x[0] not in INLINE for x in stack[depth:]) or stack[depth - 1][1:] != stack[-1][1:]:
+            if any(x[0] not in INLINE for x in stack[depth:]) or stack[depth - 1][1:3] != stack[-1][1:3]:
                 flush()
             del stack[depth:]
 
@@ -93,7 +97,7 @@ class Page:
         for m in MARKUP.finditer(html):
             if m.start() > at:
                 parts.append(html[at : m.start()])
-                if any(x[0] == "a" for x in stack):
+                if stack[-1][3]:
                     link += m.start() - at
             at = m.end()
             if m[3] is None:
@@ -125,24 +129,26 @@ class Page:
         flush()
 
     def open(self, tag: str, attributes: str, stack: list, flush) -> None:
-        _, node, furniture = stack[-1]
+        _, node, furniture, linked = stack[-1]
         names = ""
         if not furniture:
-            furniture = tag in FURNITURE_TAGS or tag == "header" and not any(x[0] in ("article", "main") for x in stack)
+            furniture = tag in FURNITURE_TAGS
         if attributes and not attributes.isspace():
             got = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes)}
             names = got.get("class", "")
-            if not furniture and tag not in ("html", "body", "article", "main"):
+            if not furniture:
                 marks = f"{names} {got.get('id', '')}"
-                furniture = "hidden" in got or got.get("aria-hidden") == "true" or got.get("role") in FURNITURE_ROLES or bool(FURNITURE.search(marks)) or bool(HIDDEN.search(got.get("style", "")))
-                furniture = furniture or bool(HEADERS.search(marks)) and not any(x[0] in ("article", "main") for x in stack)
+                furniture = "hidden" in got or got.get("aria-hidden") == "true" or got.get("role") in FURNITURE_ROLES or bool(HIDDEN.search(got.get("style", ""))) or tag not in TEXT_TAGS and bool(FURNITURE.search(marks))
                 if furniture:
                     flush()
         if tag in CONTAINER:
             step = ".".join([tag, *sorted({DIGITS.sub("#", x) for x in names.split()})])
-            self.nodes.append((node, f"{self.nodes[node][1]}>{step}"))
+            _, above, depth, _ = self.nodes[node]
+            if len(above) > PATH:
+                above = "#" + hashlib.sha256(above.encode("utf-8", "surrogatepass")).hexdigest()
+            self.nodes.append((node, f"{above}>{step}", depth + 1, tag))
             node = len(self.nodes) - 1
-        stack.append((tag, node, furniture))
+        stack.append((tag, node, furniture, linked or tag == "a"))
 
     def scores(self) -> list[float]:
         own = [0.0] * len(self.nodes)
@@ -151,21 +157,20 @@ class Page:
         for i in range(len(own) - 1, 0, -1):
             own[self.nodes[i][0]] += own[i]
         out = []
-        for (_, path), score in zip(self.nodes, own, strict=True):
-            last = path.rpartition(">")[2].partition(".")[0]
-            out.append(score * (1 + 0.01 * path.count(">") + 0.1 * (last in ("article", "main"))) if score > 0 else score)
+        for (_, _, depth, last), score in zip(self.nodes, own, strict=True):
+            out.append(score * (1 + 0.01 * depth + 0.1 * (last in ("article", "main"))) if score > 0 else score)
         return out
 
     def votes(self) -> list[tuple[str, float]]:
         best: dict[str, float] = defaultdict(float)
-        for (_, path), score in zip(self.nodes, self.scores(), strict=True):
+        for (_, path, _, _), score in zip(self.nodes, self.scores(), strict=True):
             if path and score > best[path]:
                 best[path] = score
         top = sorted(((s, p) for p, s in best.items() if s > 0), key=lambda x: (-x[0], x[1]))[:VOTES]
         return [(p, 4.0**-k) for k, (_, p) in enumerate(top)]
 
     def text(self, path: str | None) -> str:
-        chosen = {i for i, (_, p) in enumerate(self.nodes) if p == path} if path else set()
+        chosen = {i for i, node in enumerate(self.nodes) if node[1] == path} if path else set()
         found = self.inside(chosen)
         if not found:
             scores = self.scores()
@@ -176,7 +181,7 @@ class Page:
 
     def inside(self, chosen: set[int]) -> list[str]:
         held = [False] * len(self.nodes)
-        for i, (parent, _) in enumerate(self.nodes):
+        for i, (parent, *_) in enumerate(self.nodes):
             held[i] = i in chosen or parent >= 0 and held[parent]
         return [text for node, text, _, furniture in self.blocks if held[node] and not furniture]
 
