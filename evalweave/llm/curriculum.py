@@ -15,7 +15,7 @@ target * (t + slope * (t^2 - t)); solving this for the copy's middle gives its p
 documents are sorted by position over ranges.
 
 Running sums go over 2^10 hash cells of each source first, then over the rows of a cell: no task holds a source.
-A null text has no words; a source without words has target 0; equal rows are counted before they are shuffled
+A null text has no words; ties of hashes go by id and size; a source without words has target 0; equal rows are counted before they are shuffled
 and written out again. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 

@@ -13,9 +13,10 @@ f AS (SELECT *, most::DOUBLE / weight AS fills_at, sum(source_size) OVER () * 1.
 l AS (SELECT *, (asked - coalesce(sum(most) OVER (ORDER BY fills_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
   / sum(weight) OVER (ORDER BY fills_at, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM f),
 e AS (SELECT level AS final FROM l WHERE level < fills_at ORDER BY fills_at, rank LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN final IS NULL OR fills_at <= final THEN most::DOUBLE ELSE weight * final END AS target FROM l LEFT JOIN e ON true),
+t AS (SELECT source, source_size, rank, CASE WHEN rank % 2 = 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS slope, CASE WHEN final IS NULL OR fills_at <= final THEN most::DOUBLE ELSE weight * final END AS target FROM l LEFT JOIN e ON true),
 m AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS middle FROM d)
-SELECT doc_id, size, source_size, target, (size * ((middle < target)::INT + (middle + source_size < target)::INT))::BIGINT AS taken
+SELECT doc_id, size, source_size, target, (size * ((middle < target)::INT + (middle + source_size < target)::INT))::BIGINT AS taken,
+  CASE WHEN size > 0 AND middle < target THEN (sqrt((1::DOUBLE - slope) * (1::DOUBLE - slope) + 4::DOUBLE * slope * (middle / target)) - (1::DOUBLE - slope)) / (2::DOUBLE * slope) END AS position
 FROM m JOIN t ON m.source IS NOT DISTINCT FROM t.source
 """
 

@@ -28,7 +28,7 @@ def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_media(store_media(table(spark, sf_dir, "documents")))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
