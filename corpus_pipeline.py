@@ -3,6 +3,10 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. A network, an attention model and repeated documents
 are beyond SQL, so ORACLE_SQL is None; tests/llm compares run() with a brute-force version on a small corpus.
+
+For all stages: null and empty texts are as the stage says; very long texts are read whole; rows that repeat, and null
+ids, are rows like any others but in near_dedup; an empty table gives an empty one; columns besides those of documents
+are dropped, whatever their names. No order of the input matters.
 """
 
 from __future__ import annotations
@@ -28,13 +32,19 @@ BROADCAST_IDS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of no clear language; names the language where it is null."""
+    """Rejects documents without a letter (so null and empty texts) and those of no clear language; names the language where it is null.
+
+    Ties between languages go to the first name.
+    """
     found = with_language(docs.select(*COLUMNS), fit_language(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier, learnt from the labels of documents that got here, scores low."""
+    """Rejects documents that the classifier, learnt from the labels of documents that got here, scores low.
+
+    Null and empty texts have a score too; a score equal to the least one stays. Without labels all stay.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return with_quality(docs.select(*COLUMNS), model).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
@@ -52,7 +62,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each group of near-duplicates, as one row.
 
-    Of rows that repeat an id, with equal or different texts, one stays; of equal texts without an id, one.
+    Of rows that repeat an id, with equal or different texts, one stays (the least by columns); of equal texts without
+    an id, one. Null and empty texts resemble nothing.
     """
     dropped = settle(near_components(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct())
     few = dropped.count() <= BROADCAST_IDS
@@ -61,15 +72,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents to their sources' targets, a document that is taken twice twice, in training order."""
-    taken = curriculum(docs).where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("of")).agg(F.min("positions").alias("positions"))
-    placed = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("of"))).withColumn("position", F.explode("positions"))
+    """Takes documents to their sources' targets, a row that is taken twice twice, in training order.
+
+    The curriculum knows a row by the digest of its columns: equal rows are copies with positions of their own, and
+    rows that share only an id are rows of their own. Rows without words are not taken. Ties of position go by id.
+    """
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in COLUMNS]))
+    rows = docs.select(*COLUMNS).withColumn("row", digest)
+    taken = curriculum(rows.select(F.col("row").alias("doc_id"), "text", "source")).where(F.col("taken") > 0).select(F.col("doc_id").alias("row"), F.explode("positions").alias("position"))
+    placed = rows.dropDuplicates(["row"]).join(taken, "row")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return placed.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and place."""
+    """Token pieces of all documents with their sequence and place; null and empty texts are an end id. Ties go by id and piece."""
     return pack(docs, tokenizer_path(), capacity=4096, end_id=1)
 
 
