@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, hash32, map_arrow, quiet_threads, task_batches
+from .common import by_hash, map_arrow, quiet_threads, task_batches
 
 PASSAGE, HIDDEN, AT_ONCE = 512, 16, 1 << 20
 KINDS = 16
@@ -133,7 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Atten
     """docs: doc_id, text. labels: doc_id, quality; only rows that may be learnt from."""
     quiet_threads()
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    chosen = by_hash(known.withColumn("h", hash32(F.col("doc_id"))), F.struct("h", "doc_id"), sample)
+    chosen = by_hash(known.withColumn("h", F.xxhash64("doc_id")), sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "h", F.md5(F.coalesce("text", F.lit(""))).alias("m"), "text").toArrow().sort_by([("h", "ascending"), ("m", "ascending")])  # `sample` ids at most
     if not rows.num_rows:
         return None

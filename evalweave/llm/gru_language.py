@@ -6,12 +6,12 @@ its score that mean. Texts are read whole, in segments of SEGMENT bytes that run
 direction reads the WARM bytes that lead to it, so that states don't start empty inside a text; memory and the number
 of steps don't depend on the length of a text.
 
-Training: ``sample`` labelled documents, those with the smallest hashes of id, at most, with their whole texts, cut into
+Training: ``sample`` labelled documents, those with the smallest hashes, at most (equal rows count once), with their whole texts, cut into
 pieces of PIECE bytes; ``epochs`` passes over all pieces, more if those are fewer than ``steps`` minibatches; cross-entropy
 at every position, backpropagation through time, Adam. All seeds are fixed, so reruns agree. The model has a few
 thousand numbers and is sent to the executors with the task.
 
-Null or empty texts and texts without a letter (Unicode category L) are ``und`` with score 0. Ties of hashes go by text. Null languages are never learnt from. With
+Null or empty texts and texts without a letter (Unicode category L) are ``und`` with score 0. Null languages are never learnt from. With
 nothing to learn from every document is ``und``. Repeated rows get the same answer each. An empty table gives an empty
 result. Other columns of the input are ignored.
 """
@@ -24,9 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, hash32, map_arrow, quiet_threads, task_batches
+from .common import by_hash, map_arrow, quiet_threads, task_batches
 
-SEGMENT, WARM, WIDTH, PIECE = 256, 64, 8, 64
+SEGMENT, WARM, WIDTH, PIECE = 512, 64, 8, 64
 AT_ONCE = 1 << 18
 GATES = ("z", "r", "c")
 
@@ -179,8 +179,8 @@ def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit_language(labelled: DataFrame, sample: int = 1500) -> Network | None:
     """From doc_id, text, lang; None if there is nothing to learn from."""
     quiet_threads()
-    known = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", hash32(F.col("doc_id")).alias("h"), F.md5("text").alias("m"), "text")
-    rows = by_hash(known, F.struct("h", "m", "lang"), sample).collect()  # `sample` rows
+    known = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id", "text", "lang").alias("h"), "text")
+    rows = by_hash(known, sample).collect()  # `sample` rows
     names = sorted({r["lang"] for r in rows})
     if not names:
         return None
