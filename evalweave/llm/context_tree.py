@@ -4,37 +4,37 @@ A text is its UTF-8 bytes and the end byte 255, which UTF-8 never uses. A byte i
 (1 to 255) of the byte's binary tree. For every context of 0 to DEPTH bytes and every node, training counts zeros and
 ones; a Krichevsky-Trofimov estimator turns them into a probability, and each context mixes its own estimate with its
 longer contexts', half and half a priori: the weight of its own is half its block probability over the mixed one. The
-trained tree is frozen, so a text's probability doesn't depend on other texts that are scored.
+trained tree is frozen, so a text's probability doesn't depend on other texts that are scored. A context that training
+hasn't seen is no node of the tree, and the mix ends at the context above it.
 
-Counting gathers every (DEPTH + 1)-gram of the whole training text; a task sums its own first, then Spark. The part of
-the tree below two bytes of context is computed for each such pair apart, with every node (text_scores), and the grams
-of the texts are looked up there; only nodes of contexts of 0 and 1 bytes are sent to the executors. A context that is
-not there is no node of the tree, and the mix ends at the context above it. Model is the same over hash tables of fixed
-size, in which a place keeps the node with the most counts and a tag.
+The tree hangs together at contexts of TOP bytes and less. Below each TOP bytes it is computed from the grams with these
+nearest bytes alone, and grams whose probability is asked for are laid among them with a count of 0, so that each level
+is one sorted list and nothing is searched for. All nodes are kept. Empty lists give empty lists.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
-from .shingles import U, mix
+from .shingles import U
 
-DEPTH = 5
+DEPTH, TOP = 6, 3
 END = 255
-#: log2 of the places in Model's tables for contexts of 2, 3, ... bytes; shorter ones are stored whole.
-SLOTS = {2: 18, 3: 20, 4: 21, 5: 22}
+LOG2 = np.log(2)
 _LOG = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 1 << 16) - 0.5))))
 _FACT = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1.0, 1 << 17)))))
 
 
 def log_rising(n: np.ndarray, table: np.ndarray, shift: float) -> np.ndarray:
     """log of Gamma(n + shift) / Gamma(shift), by table or Stirling's series."""
-    n = np.asarray(n, np.float64)
-    small = np.minimum(n, len(table) - 1).astype(np.int64)
-    x = np.maximum(n, 1) + shift
-    stirling = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
-    at_shift = 0.5 * np.log(np.pi) if shift == 0.5 else 0.0
-    return np.where(n < len(table), table[small], stirling - at_shift)
+    out = table[np.minimum(n, len(table) - 1)]
+    large = np.flatnonzero(n >= len(table))
+    if len(large):
+        x = n[large] + shift
+        out[large] = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) - (0.5 * np.log(np.pi) if shift == 0.5 else 0.0)
+    return out
 
 
 def log_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -57,170 +57,136 @@ def grams_of(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(lengths + DEPTH) - lengths - DEPTH
     keep = np.ones(n - DEPTH, bool)
     for d in range(DEPTH):  # keys that end in the next text's lead
-        at = starts[1:] - DEPTH + d
-        keep[at] = False
+        keep[starts[1:] - DEPTH + d] = False
     return key[keep], np.cumsum(lengths) - lengths
 
 
 def runs(key: np.ndarray) -> np.ndarray:
     """Where runs of equal values start."""
-    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
 
 
-def tree(keys: np.ndarray, counts: np.ndarray, top: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """Nodes of contexts of `top` to DEPTH bytes from sorted keys and their counts.
+def mixed_with(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log of the mixed block probability, and the weight of the own one."""
+    mixed = np.logaddexp(own, children) - LOG2
+    return mixed, np.exp(own - LOG2 - mixed)
 
-    depth -> sorted (context << 8 | node), zeros, ones, log of the mixed probability, weight of the own estimate.
-    """
-    out: dict[int, tuple[np.ndarray, ...]] = {}
-    below: tuple[np.ndarray, np.ndarray] | None = None
-    for depth in range(DEPTH, top - 1, -1):
-        shift = U(8 * (DEPTH - depth))
-        pair = ((keys >> U(8)) >> shift) << U(8) | (keys & U(255))
-        order = np.argsort(pair, kind="stable") if depth < DEPTH else slice(None)
-        pair, number = pair[order], counts[order]
-        at = runs(pair)
-        pair, number = pair[at], np.add.reduceat(number, at)
-        context, symbol = pair >> U(8), (pair & U(255)).astype(np.int64)
-        ids, zeros, ones = [], [], []
-        for j in range(8):
-            node = (1 << j) | (symbol >> (8 - j))
-            bit = (symbol >> (7 - j)) & 1
-            name = context << U(8) | node.astype(U)
-            at = runs(name)
-            ids.append(name[at])
-            ones.append(np.add.reduceat(number * bit, at))
-            zeros.append(np.add.reduceat(number * (1 - bit), at))
-        name = np.concatenate(ids)
-        order = np.argsort(name)
-        name, zeros, ones = name[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
-        own = log_block(zeros, ones)
-        if below is None:
-            mixed, weight = own, np.ones(len(own))
-        else:
-            parent = np.searchsorted(name, ((below[0] >> U(16)) << U(8)) | (below[0] & U(255)))
-            children = np.bincount(parent, weights=below[1], minlength=len(name))
-            mixed = np.logaddexp(own, children) - np.log(2)
-            weight = np.exp(own - np.log(2) - mixed)
-        out[depth] = (name, zeros, ones, mixed, weight)
-        below = (name, mixed)
-    return out
 
+@dataclass
+class Nodes:
+    """For one decision of a byte at one depth: each pair's node, and the nodes' estimates, weights and presence."""
 
-def place(name: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place in the table of that depth, and tag (1 to 255)."""
-    h = mix(name + U(depth << 56))
-    return (h >> U(64 - SLOTS[depth])).astype(np.int64), ((h & U(0xFF)) | U(1)).astype(np.uint8)
-
-
-def short_tree(name: np.ndarray, zeros: np.ndarray, ones: np.ndarray, mixed: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """One-probabilities and weights of all nodes for contexts of 1 and 0 bytes, from the nodes for 2 bytes."""
-    out = {}
-    for depth in (1, 0):
-        parent = ((name >> U(16)) << U(8)) | (name & U(255))
-        size = 256 ** (depth + 1)
-        sums = [np.bincount(parent.astype(np.int64), weights=x, minlength=size) for x in (zeros, ones, mixed)]
-        name = np.flatnonzero(sums[0] + sums[1]).astype(U)
-        zeros, ones, children = (x[name.astype(np.int64)] for x in sums)
-        own = log_block(zeros, ones)
-        mixed = np.logaddexp(own, children) - np.log(2)
-        p1, weight = np.full(size, 0.5, np.float32), np.full(size, 2, np.float32)
-        p1[name.astype(np.int64)] = (ones + 0.5) / (zeros + ones + 1)
-        weight[name.astype(np.int64)] = np.exp(own - np.log(2) - mixed)
-        out[depth] = (p1, weight)
-    return out
+    of: np.ndarray
+    one: np.ndarray
+    weight: np.ndarray
+    seen: np.ndarray
 
 
-#: A node packed for the tables: count, tag, one-probability and weight in 23, 8, 16 and 16 bits.
-def pack(zeros: np.ndarray, ones: np.ndarray, tag: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    n = zeros + ones
-    p1 = np.clip(np.rint((ones + 0.5) / (n + 1) * 65536), 1, 65535).astype(np.int64)
-    w = np.clip(np.rint(weight * 65535), 0, 65535).astype(np.int64)
-    return np.minimum(n, (1 << 23) - 1).astype(np.int64) << 40 | tag.astype(np.int64) << 32 | p1 << 16 | w
-
-
-def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One-probability, weight, tag."""
-    return ((packed >> 16 & 65535) / 65536).astype(np.float32), ((packed & 65535) / 65535).astype(np.float32), (packed >> 32 & 255).astype(np.uint8)
-
-
-class Model:
-    """Tables for scoring. short: for depth 0 and 1, one-probabilities and weights of all nodes (weight 2: no node)."""
-
-    def __init__(self, short: dict[int, tuple[np.ndarray, np.ndarray]], tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.short, self.tables = short, tables
-        self.known = np.zeros(0, U)
-        self.values = np.zeros(0)
-
-    def find(self, depth: int, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One-probability and weight of nodes, and whether they are there."""
-        if depth in self.short:
-            p1, weight = (x[name.astype(np.int64)] for x in self.short[depth])
-            return p1, weight, weight <= 1
-        at, tag = place(name, depth)
-        p1, weight, tags = (x[at] for x in self.tables[depth])
-        return p1, weight, tags == tag
-
-    def log2(self, keys: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each key's byte after its context."""
-        out = np.zeros(len(keys))
-        context, symbol = keys >> U(8), (keys & U(255)).astype(np.int64)
-        for j in range(8):
-            node = ((1 << j) | (symbol >> (8 - j))).astype(U)
-            one = ((symbol >> (7 - j)) & 1).astype(bool)
-            p, rest = np.zeros(len(keys)), np.ones(len(keys))
-            last = np.full(len(keys), 0.5)  # the estimate of the deepest context so far
-            open_ = np.ones(len(keys), bool)
-            for depth in range(DEPTH + 1):
-                name = (context >> U(8 * (DEPTH - depth))) << U(8) | node
-                p1, weight, found = self.find(depth, name)
-                found &= open_
-                # A context that is there takes its share of what the one above left to it.
-                p += np.where(found, 0, np.where(open_, rest * last, 0))
-                rest = np.where(open_ & ~found, 0, rest)
-                open_ = found
-                share = np.where(found, weight, 0)
-                last = np.where(found, p1, last)
-                p += rest * share * last
-                rest = rest * (1 - share)
-            p += rest * last
-            p = np.where(one, p, 1 - p)
-            out += np.log2(np.clip(p, 1e-12, 1.0))
+class Grams:
+    """Different grams in order, with their training counts (0: only asked for), and the tree down to TOP bytes."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        #: Pairs of context and byte, their counts by depth, and where a pair is among those one byte of context less.
+        self.pairs, self.counts, self.above = {DEPTH: keys}, {DEPTH: counts.astype(np.int64)}, {}
+        for depth in range(DEPTH - 1, TOP - 1, -1):
+            pair = self.pairs[depth + 1]
+            shorter = ((pair >> U(16)) << U(8)) | (pair & U(255))
+            self.pairs[depth], at = np.unique(shorter, return_inverse=True)
+            self.above[depth + 1] = at.ravel()
+            self.counts[depth] = np.bincount(self.above[depth + 1], weights=self.counts[depth + 1], minlength=len(self.pairs[depth])).astype(np.int64)
+
+    def nodes(self, bit: int):
+        """Nodes of decision `bit` by depth; and names, zeros, ones and mixed log probabilities at TOP bytes."""
+        out, below = {}, None
+        for depth in range(DEPTH, TOP - 1, -1):
+            name = self.pairs[depth] >> U(8 - bit)
+            at = runs(name)
+            of = np.zeros(len(name), np.int64)
+            of[at[1:]] = 1
+            of = np.cumsum(of)
+            n = self.counts[depth]
+            total = np.add.reduceat(n, at)
+            ones = np.add.reduceat(n * ((self.pairs[depth] >> U(7 - bit)) & U(1)).astype(np.int64), at)
+            own = log_block(total - ones, ones)
+            if below is None:
+                mixed, weight = own, np.ones(len(own))
+            else:
+                first, logs = below
+                mixed, weight = mixed_with(own, np.bincount(of[self.above[depth + 1][first]], weights=logs, minlength=len(own)))
+            out[depth] = Nodes(of, (ones + 0.5) / (total + 1), weight, total > 0)
+            below = at, mixed
+        node = ((U(1) << U(bit)) | ((self.pairs[TOP][at] & U(255)) >> U(8 - bit))).astype(U)
+        return out, (((self.pairs[TOP][at] >> U(8)) << U(8)) | node, total - ones, ones, mixed)
+
+    def partial(self) -> tuple[np.ndarray, ...]:
+        """Sums for the nodes of TOP - 1 bytes of context: names, zeros, ones, mixed log probabilities of their children."""
+        parts = [self.nodes(bit)[1] for bit in range(8)] if len(self.pairs[TOP]) else []
+        if not parts:
+            return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return shorter_sums(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+    def log2(self, short: Short) -> np.ndarray:
+        """log2 of the probability of each gram's byte after its context."""
+        out = np.zeros(len(self.pairs[DEPTH]))
+        if not len(out):
+            return out
+        top = self.pairs[TOP]
+        for bit in range(8):
+            nodes, _ = self.nodes(bit)
+            state = short.walk(top, bit)
+            for depth in range(TOP, DEPTH + 1):
+                here = nodes[depth]
+                if depth > TOP:
+                    state = [x[self.above[depth]] for x in state]
+                state = step(state, here.one[here.of], here.weight[here.of], here.seen[here.of])
+            p = state[0] + state[1] * state[2]
+            one = (self.pairs[DEPTH] >> U(7 - bit)) & U(1) > 0
+            out += np.log2(np.clip(np.where(one, p, 1 - p), 1e-12, 1.0))
         return out
 
-    def texts(self, group: list[bytes]) -> np.ndarray:
-        """log2 of the probability of each text."""
-        keys, starts = grams_of(group)
-        unique, inverse = np.unique(keys, return_inverse=True)
-        at = np.searchsorted(self.known, unique)
-        old = np.zeros(len(unique), bool)
-        inside = at < len(self.known)
-        old[inside] = self.known[at[inside]] == unique[inside]
-        values = np.empty(len(unique))
-        values[old] = self.values[at[old]]
-        values[~old] = self.log2(unique[~old])
-        if (~old).any():
-            if len(self.known) > 2_000_000:
-                self.known, self.values = unique, values
+
+def step(state: list[np.ndarray], one: np.ndarray, weight: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
+    """One byte of context more. state: probability so far, share left, estimate of the deepest context, whether the path goes on."""
+    p, rest, last, going = state
+    seen = seen & going
+    ends = going & ~seen
+    p = p + np.where(ends, rest * last, 0)  # the context above takes what is left
+    share = np.where(seen, weight, 0)
+    last = np.where(seen, one, last)
+    p += rest * share * last
+    return [p, np.where(ends, 0, rest * (1 - share)), last, seen]
+
+
+def shorter_sums(name: np.ndarray, zeros: np.ndarray, ones: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums over nodes by the node with one byte of context less."""
+    parent, at = np.unique(((name >> U(16)) << U(8)) | (name & U(255)), return_inverse=True)
+    sums = [np.bincount(at.ravel(), weights=x, minlength=len(parent)) for x in (zeros, ones, mixed)]
+    return parent, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2]
+
+
+class Short:
+    """Nodes for contexts of fewer than TOP bytes, from sums for those of TOP - 1 bytes (at most 256^TOP rows)."""
+
+    def __init__(self, name: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray):
+        self.nodes = {}
+        for depth in range(TOP - 1, -1, -1):
+            order = np.argsort(name)
+            name, zeros, ones, children = name[order], zeros[order], ones[order], children[order]
+            mixed, weight = mixed_with(log_block(zeros, ones), children)
+            self.nodes[depth] = name, (ones + 0.5) / (zeros + ones + 1), weight
+            name, zeros, ones, children = shorter_sums(name, zeros, ones, mixed)
+
+    def walk(self, pairs: np.ndarray, bit: int) -> list[np.ndarray]:
+        """The state after the nodes for contexts of fewer than TOP bytes; pairs of TOP bytes of context and a byte."""
+        n = len(pairs)
+        state = [np.zeros(n), np.ones(n), np.full(n, 0.5), np.ones(n, bool)]
+        node = (U(1) << U(bit)) | ((pairs & U(255)) >> U(8 - bit))
+        for depth in range(TOP):
+            names, one, weight = self.nodes[depth]
+            name = ((pairs >> U(8 * (TOP - depth + 1))) << U(8)) | node
+            if len(names):
+                at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+                state = step(state, one[at], weight[at], names[at] == name)
             else:
-                both = np.concatenate((self.known, unique[~old]))
-                order = np.argsort(both, kind="stable")
-                self.known, self.values = both[order], np.concatenate((self.values, values[~old]))[order]
-        return np.add.reduceat(values[inverse.ravel()], starts)
-
-
-class SubTree(Model):
-    """All nodes below two bytes of context, as tree() gives them, and the short tables."""
-
-    def __init__(self, short: dict[int, tuple[np.ndarray, np.ndarray]], nodes: dict[int, tuple[np.ndarray, ...]]):
-        super().__init__(short, {})
-        self.nodes = nodes
-
-    def find(self, depth: int, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if depth in self.short:
-            return super().find(depth, name)
-        if depth not in self.nodes:
-            return np.full(len(name), 0.5), np.ones(len(name)), np.zeros(len(name), bool)
-        names, zeros, ones, _, weight = self.nodes[depth]
-        at = np.minimum(np.searchsorted(names, name), len(names) - 1)
-        return (ones[at] + 0.5) / (zeros[at] + ones[at] + 1), weight[at], names[at] == name
+                state = step(state, np.zeros(n), np.zeros(n), np.zeros(n, bool))
+        return state

@@ -9,7 +9,7 @@ import numpy as np
 from .common import keeps
 
 #: Bytes of text that are hashed in one go (a longer text goes alone).
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
 BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)

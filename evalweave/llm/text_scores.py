@@ -1,17 +1,19 @@
 """Probabilities of texts under a context tree of the training documents, beside a word-count baseline.
 
-1. One pass over the training texts counts byte grams and words (lower case A-Z; an end token for each text). Each
-   task sums what it has before anything is shuffled.
-2. The context tree is computed from the grams, apart for every two bytes of context, with all its nodes. Texts are
-   dealt to chunks of about CHUNK bytes; the distinct grams of each chunk meet the part of the tree they need, and
-   their probabilities go back to the chunk, which adds them up by text.
-3. Word counts for the baseline are exact. Words that hold at least 1 / HEAVY of all tokens, which at most HEAVY words
-   can, are sent to the executors; for the others a row for each document and word meets their counts in a join.
-4. One pass over all texts scores them.
+Grams (context and byte) and words (lower case A-Z) travel as sorted lists of 64-bit keys with counts, packed into
+one binary value for each list and bucket, so that Spark moves lists and not a row for each gram. The bucket of a gram
+comes from its nearest TOP bytes, that of a word from its hash; there is one for every BUCKET bytes of text.
+
+1. Each task counts its training texts; each bucket sums the lists. Sums for the nodes of TOP - 1 bytes of context, of
+   which there are at most 256^TOP, go to the driver, which computes the short contexts from them.
+2. Texts are dealt to chunks of about CHUNK bytes. A chunk sends its different keys, with its training counts, to the
+   buckets. A bucket has then both the training counts of all chunks and the keys that chunks ask for; it computes its
+   part of the tree with all its nodes, and sends log probabilities and word counts back to each chunk, in order.
+3. The chunk, joined with its texts, adds up grams and words of each text. Word counts are exact.
 
 Null texts count as empty (an end token only); a null id counts as an empty string where ids decide what is learnt.
 Rows that repeat id and text get the same values each. With nothing to learn from, the model gives each decision one
-half. An empty table gives an empty result. Other columns of the input are ignored.
+half. A very long text is a chunk of its own. An empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,180 +26,201 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import context_tree as tree
-from .common import map_arrow, settle, task_batches
-from .shingles import U, groups_of, word_hashes
+from .common import map_arrow, tidy, task_batches
+from .shingles import U, groups_of, mix, word_hashes
+
+#: Different keys that a task or chunk holds before it packs them.
+HELD = 2_000_000
+#: Bytes of text that are looked up together, and for which there is a bucket.
+CHUNK, BUCKET = 16 << 20, 4 << 20
+#: Small corpora are dealt to as many chunks and buckets as Spark shuffles to, if each still has so many bytes.
+LEAST = 1 << 20
+WORDS, GRAMS = 0, 1
+LISTS = "bucket int, chunk int, kind int, keys binary, counts binary"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers by planes of bytes, which compress well; keys of a list as differences."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
 
-HEAVY = 1 << 20
-#: Different keys that a task sums before it passes them on.
-HELD = 1_500_000
-#: Bytes of text whose distinct grams are looked up together.
-CHUNK = 8 << 20
-WORD_KIND, GRAM_KIND = 0, 1
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=U(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, U), dtype=U)
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order and the sums of their counts."""
     key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
     at = tree.runs(key)
-    return key[at], np.add.reduceat(n, at)
+    return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def count_keys(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def keys_of(kind: int, group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a group of texts, and where each text starts (words: one more at the end)."""
+    return word_hashes(group) if kind == WORDS else tree.grams_of(group)
 
-    held: dict[int, list] = {WORD_KIND: [], GRAM_KIND: []}
 
-    def out(kind: int) -> Iterator:
-        if held[kind]:
-            key, n = summed(held[kind])
-            for i in range(0, len(key), 200_000):
-                part = key[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + 200_000].astype(np.int64))], names=["kind", "key", "n"])
-            held[kind] = []
+def by_bucket(kind: int, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its keys, in ascending order of bucket and then key; keys are sorted."""
+    part = keys if kind == WORDS else keys >> U(8 * (tree.DEPTH + 1 - tree.TOP))
+    bucket = (mix(part + U(kind)) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for at in np.split(order, tree.runs(bucket[order])[1:]) if len(order) else []:
+        yield int(bucket[at[0]]), at
 
-    for batch in task_batches(batches, "shingles"):
-        for group in groups_of(x.as_py() for x in batch.column("text")):
-            for kind, keys in ((WORD_KIND, word_hashes(group)[0]), (GRAM_KIND, tree.grams_of(group)[0])):
-                if len(keys):
-                    held[kind].append(np.unique(keys, return_counts=True))
-                if sum(len(x[0]) for x in held[kind]) > HELD:
-                    held[kind] = [summed(held[kind])]
-                    if len(held[kind][0][0]) > HELD:
-                        yield from out(kind)
-    for kind in held:
-        yield from out(kind)
-
-
-def nodes_of(table) -> dict[int, tuple[np.ndarray, ...]]:
-    """All nodes of two bytes of context and more; table: key, n."""
-    if not table.num_rows:
-        return {}
-    keys, n = table.column("key").to_numpy().view(U), table.column("n").to_numpy()
-    order = np.argsort(keys)
-    return tree.tree(keys[order], n[order], 2)
-
-
-def near_nodes(table):
-    """Nodes of the two bytes themselves."""
-    import pyarrow as pa
 
-    name, zeros, ones, mixed, _ = nodes_of(table)[2]
-    return pa.Table.from_arrays([pa.array(name.view(np.int64)), pa.array(zeros), pa.array(ones), pa.array(mixed)], names=["name", "zeros", "ones", "mixed"])
+def count_lists(buckets: int):
+    def count(batches: Iterator) -> Iterator:
+        held: dict[int, list] = {WORDS: [], GRAMS: []}
 
+        def out(kind: int) -> Iterator:
+            keys, n = summed(held[kind])
+            held[kind] = []
+            yield from lists(kind, 0, keys, n, buckets)
 
-def short_nodes(grams: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Probabilities and weights for contexts of 0 and 1 bytes; grams: near, key, n."""
-    nodes = grams.groupBy("near").applyInArrow(near_nodes, "name long, zeros long, ones long, mixed double")
-    two = nodes.toArrow().sort_by([("name", "ascending")])  # 2^24 rows at most
-    return tree.short_tree(two.column("name").to_numpy().astype(U), *[two.column(k).to_numpy().astype(float) for k in ("zeros", "ones", "mixed")])
+        for batch in task_batches(batches, "shingles"):
+            for group in groups_of(x.as_py() for x in batch.column("text")):
+                for kind in held:
+                    held[kind].append(np.unique(keys_of(kind, group)[0], return_counts=True))
+                    if sum(len(x[0]) for x in held[kind]) > HELD:
+                        held[kind] = [summed(held[kind])]
+                        if len(held[kind][0][0]) > HELD // 2:
+                            yield from out(kind)
+        for kind in held:
+            if held[kind]:
+                yield from out(kind)
 
+    return count
 
-def tree_scores(docs: DataFrame, grams: DataFrame, chunks: int) -> DataFrame:
-    """doc_id, h, held_out, score (log10) for each row of docs: doc_id, h, held_out, text. grams: near, key, n."""
-    short = docs.sparkSession.sparkContext.broadcast(short_nodes(grams))
-    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "h"), F.lit(chunks)).cast("int"))
 
-    def wanted(table):
-        import pyarrow as pa
+def lists(kind: int, chunk: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterator:
+    """Rows of LISTS for sorted keys and their counts."""
+    import pyarrow as pa
 
-        found = [np.zeros(0, U)]
-        for group in groups_of(x.as_py() for x in table.column("text")):
-            found = [np.union1d(found[0], tree.grams_of(group)[0])]
-        chunk = table.column("chunk")[0].as_py()
-        return pa.Table.from_arrays([pa.array(np.full(len(found[0]), chunk, np.int32)), pa.array(found[0].view(np.int64))], names=["chunk", "key"])
+    rows = [(bucket, chunk, kind, packed_keys(keys[at]), packed(n[at].astype(np.uint32))) for bucket, at in by_bucket(kind, keys, buckets)]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], names=["bucket", "chunk", "kind", "keys", "counts"])
 
-    def look_up(given, asked):
-        import pyarrow as pa
 
-        keys, at = np.unique(asked.column("key").to_numpy().view(U), return_inverse=True)
-        model = tree.SubTree(short.value, nodes_of(given))
-        step = 200_000
-        logs = np.concatenate([np.zeros(0), *[model.log2(keys[i : i + step]) for i in range(0, len(keys), step)]])
-        return pa.Table.from_arrays([asked.column("chunk"), asked.column("key"), pa.array(logs[at.ravel()])], names=["chunk", "key", "log2"])
+def lists_in(table, kind: int) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """Chunks and their keys and counts, of one kind."""
+    rows = [(c, unpacked_keys(k), unpacked(n, np.uint32).astype(np.int64)) for c, t, k, n in zip(*(table.column(x).to_pylist() for x in ("chunk", "kind", "keys", "counts")), strict=True) if t == kind]
+    return [r[0] for r in rows], [r[1:] for r in rows]
 
-    def add_up(texts, looked_up):
-        import pyarrow as pa
 
-        keys, logs = looked_up.column("key").to_numpy().view(U), looked_up.column("log2").to_numpy()
-        order = np.argsort(keys)
-        keys, logs = keys[order], logs[order]
-        scores = [np.zeros(0)]
-        for group in groups_of(x.as_py() for x in texts.column("text")):
-            of, starts = tree.grams_of(group)
-            scores.append(np.add.reduceat(logs[np.searchsorted(keys, of)], starts))
-        return texts.select(["doc_id", "h", "held_out"]).append_column("score", pa.array(np.concatenate(scores) * math.log10(2)))
+def bucket_sums(table):
+    """Sums for nodes of TOP - 1 bytes of context; under the name -1 the training words and the different ones."""
+    import pyarrow as pa
 
-    near = F.shiftrightunsigned("key", 8 * (tree.DEPTH - 1))
-    asked = chunked.groupBy("chunk").applyInArrow(wanted, "chunk int, key long").withColumn("near", near)
-    looked_up = grams.groupBy("near").cogroup(asked.groupBy("near")).applyInArrow(look_up, "chunk int, key long, log2 double")
-    return chunked.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(add_up, "doc_id long, h long, held_out boolean, score double")
+    tidy()
+    columns = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.float64)]
+    _, words = lists_in(table, WORDS)
+    if words:
+        keys, n = summed(words)
+        for c, x in zip(columns, (-1, n.sum(), len(keys), 0.0), strict=True):
+            c.append(np.array([x]))
+    _, grams = lists_in(table, GRAMS)
+    if grams:
+        name, *sums = tree.Grams(*summed(grams)).partial()
+        for c, x in zip(columns, (name.view(np.int64), *sums), strict=True):
+            c.append(x)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(columns, kinds, strict=True)], names=["name", "zeros", "ones", "mixed"])
 
 
 def text_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), held_out.alias("held_out"))
-    training = docs.where(~F.col("held_out"))
-    counts = settle(training.select("text").transform(map_arrow, count_keys, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words = counts.where(F.col("kind") == WORD_KIND).select("key", "n")
     found = docs.agg(F.count_if(~F.col("held_out")).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    texts, chunks = found["texts"], max(1, -(-found["bytes"] // CHUNK))
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, different = size["n"] + texts, size["v"] + (texts > 0)
-    least = max(1, -(-total // HEAVY))
-    heavy = words.where(F.col("n") >= least).toArrow().sort_by([("key", "ascending")])  # HEAVY rows at most
-    order = np.argsort(heavy.column("key").to_numpy().view(U))
-    heavy_keys, heavy_counts = heavy.column("key").to_numpy().view(U)[order], heavy.column("n").to_numpy()[order]
-    grams = counts.where(F.col("kind") == GRAM_KIND).select(F.shiftrightunsigned("key", 8 * (tree.DEPTH - 1)).alias("near"), "key", "n")
-    sent = sc.broadcast((heavy_keys, heavy_counts))
+    least = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), found["bytes"] // LEAST)
+    texts, (chunks, buckets) = found["texts"], (max(1, least, -(-found["bytes"] // size)) for size in (CHUNK, BUCKET))
+
+    counted = docs.where(~F.col("held_out")).select("text").transform(map_arrow, count_lists(buckets), LISTS)
+    sums = counted.groupBy("bucket").applyInArrow(bucket_sums, "name long, zeros long, ones long, mixed double")
+    top = sums.groupBy("name").agg(F.sum("zeros"), F.sum("ones"), F.sum("mixed")).toArrow().sort_by([("name", "ascending")])  # 256^TOP rows at most
+    name, zeros, ones, mixed = (top.column(i).to_numpy() for i in range(4))
+    of_words = name < 0
+    total, different = int(zeros[of_words].sum()) + texts, int(ones[of_words].sum()) + (texts > 0)
+    short = sc.broadcast(tree.Short(name[~of_words].astype(U), zeros[~of_words], ones[~of_words], mixed[~of_words]))
     scale, end = float(total + different + 1), math.log10((texts + 1) / (total + different + 1))
 
-    def score(batches: Iterator) -> Iterator:
+    def wanted(table):
         import pyarrow as pa
 
-        known, number = sent.value
-        logs = np.log10((number + 1) / scale)
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        names = ["doc_id", "h", "held_out", "own", "key", "k", "n_tokens", "n_known", "base"]
-        for batch in task_batches(batches, "shingles"):
-            ids, hashes, out_of = (batch.column(k).to_pylist() for k in ("doc_id", "h", "held_out"))
-            first = 0
-            for group in groups_of(x.as_py() for x in batch.column("text")):
-                words, at = word_hashes(group)
-                n = len(group)
-                unique, inverse = np.unique(words, return_inverse=True)
-                doc = np.repeat(np.arange(n), np.diff(at))
-                pair, k = np.unique(doc * max(1, len(unique)) + inverse.ravel(), return_counts=True)
-                doc, word = pair // max(1, len(unique)), pair % max(1, len(unique))
-                spot = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
-                is_heavy = known[spot] == unique if len(known) else np.zeros(len(unique), bool)
-                here = is_heavy[word]
-                base = np.bincount(doc[here], weights=k[here] * logs[spot[word[here]]], minlength=n) + end
-                found = np.bincount(doc[here], weights=k[here], minlength=n).astype(np.int64) + (texts > 0)
-                mine = [ids[first : first + n], hashes[first : first + n], out_of[first : first + n]]
-                own = [*mine, np.ones(n, bool), np.array(mine[1], np.int64), np.zeros(n, np.int64), np.diff(at) + 1, found, base]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, kinds, strict=True)], names=names)
-                rest = np.flatnonzero(~here)
-                for part in np.array_split(rest, max(1, len(rest) // 100_000)):
-                    of = doc[part].tolist()
-                    m = len(of)
-                    zero = np.zeros(m, np.int64)
-                    cols = [[mine[0][i] for i in of], [mine[1][i] for i in of], [mine[2][i] for i in of], np.zeros(m, bool), unique[word[part]].view(np.int64), k[part], zero, zero, zero.astype(float)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-                first += n
-
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "held_out", "text")
-    rows = hashed.transform(map_arrow, score, "doc_id long, h long, held_out boolean, own boolean, key long, k long, n_tokens long, n_known long, base double")
-    light = words.where(F.col("n") < least).select(F.col("key").alias("of"), F.col("n").alias("c"))
-    met = rows.join(light.hint("shuffle_hash"), (F.col("key") == F.col("of")) & ~F.col("own"), "left")
-    base = F.when(F.col("own"), F.col("base")).otherwise(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(scale)))
-    known = F.when(F.col("own"), F.col("n_known")).otherwise(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0))
-    counted = met.select("doc_id", "h", "held_out", F.col("own").cast("int").alias("copies"), "n_tokens", known.alias("n_known"), base.alias("base"), F.lit(None).cast("double").alias("score"))
-    scored = tree_scores(hashed, grams, chunks).select("doc_id", "h", "held_out", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "score")
-    by_doc = counted.unionByName(scored).groupBy("doc_id", "h", "held_out").agg(
-        F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score"),
-    )
-    run = 10_000
-    spread = by_doc.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {run}")))).withColumn("copy", F.explode(F.expr(f"sequence(run * {run}, least(copies, (run + 1) * {run}) - 1)")))
-    return spread.select("doc_id", "held_out", F.expr("n_tokens div copies").alias("n_tokens"), F.expr("n_known div copies").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("copies")).alias("base_score"), "score")
+        tidy()
+        chunk, out = table.column("chunk")[0].as_py(), []
+        learnt = np.array([not x.as_py() for x in table.column("held_out")], bool)
+        for kind in (WORDS, GRAMS):
+            parts, first = [], 0
+            for group in groups_of(x.as_py() for x in table.column("text")):
+                keys, at = keys_of(kind, group)
+                of = np.repeat(learnt[first : first + len(group)], np.diff(at if kind == WORDS else np.append(at, len(keys))))
+                unique, n = np.unique(keys[of], return_counts=True)
+                parts += [(unique, n), (other := np.unique(keys[~of]), np.zeros(len(other), np.int64))]
+                first += len(group)
+            out += lists(kind, chunk, *summed(parts), buckets)
+        return pa.Table.from_batches(out) if out else pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+
+    def look_up(table):
+        import pyarrow as pa
+
+        tidy()
+        bucket, rows = table.column("bucket")[0].as_py(), []
+        for kind in (WORDS, GRAMS):
+            of, held = lists_in(table, kind)
+            if not held:
+                continue
+            keys, n = summed(held)
+            values = n.astype(np.float64) if kind == WORDS else tree.Grams(keys, n).log2(short.value)
+            rows += [(chunk, kind, bucket, packed(values[np.searchsorted(keys, asked)].astype(np.float32 if kind == GRAMS else np.float64))) for chunk, (asked, _) in zip(of, held, strict=True)]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "kind", "bucket", "found"])
+
+    def add_up(table, answers):
+        import pyarrow as pa
+
+        tidy()
+        answered = sorted(zip(*(answers.column(k).to_pylist() for k in ("kind", "bucket", "found")), strict=True), key=lambda r: r[:2])
+        columns = []
+        for kind in (WORDS, GRAMS):
+            parts = []
+            for group in groups_of(x.as_py() for x in table.column("text")):
+                unique, at = np.unique((keys := keys_of(kind, group))[0], return_inverse=True)
+                parts.append((unique, at.ravel().astype(np.int32), keys[1]))
+            all_keys = np.unique(np.concatenate([p[0] for p in parts]))
+            given = np.zeros(len(all_keys))
+            found = [unpacked(data, np.float64 if kind == WORDS else np.float32) for k, _, data in answered if k == kind]
+            if len(all_keys):
+                given[np.concatenate([at for _, at in by_bucket(kind, all_keys, buckets)])] = np.concatenate(found)
+            done = []
+            for unique, at, starts in parts:
+                value = given[np.searchsorted(all_keys, unique)]
+                if kind == GRAMS:
+                    done.append((np.add.reduceat(value[at], starts),))
+                    continue
+                n = len(starts) - 1
+                doc = np.repeat(np.arange(n), np.diff(starts))
+                done.append((np.diff(starts) + 1, np.bincount(doc, weights=value[at] > 0, minlength=n).astype(np.int64) + (texts > 0), np.bincount(doc, weights=np.log10((value + 1) / scale)[at], minlength=n) + end))
+            columns += [np.concatenate(c) for c in zip(*done, strict=True)]
+        n_tokens, n_known, base, logs = columns
+        kept = [table.column(k) for k in ("doc_id", "held_out")]
+        return pa.Table.from_arrays([*kept, *[pa.array(c) for c in (n_tokens, n_known, np.full(len(base), total, np.int64), base, logs * math.log10(2))]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    asked = chunked.groupBy("chunk").applyInArrow(wanted, LISTS)
+    answers = asked.groupBy("bucket").applyInArrow(look_up, "chunk int, kind int, bucket int, found binary")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add_up, schema)
