@@ -1,23 +1,24 @@
 """Invertible Bloom lookup sketches of documents' paragraphs, in DataFrame operations only.
 
-A document is the set of its paragraphs' 64-bit digests: lines, cut again behind every sentence and table cell, so that
-an edit moves no other cuts. A sentence ends with marks of any script behind a word, and quotes or brackets that close. A
-sketch has 3 sub-tables of cells; each digest goes into one cell of each and changes its count, the xor of its digests
-and the xor of their checksums. Two sketches of one size subtract cell by cell: what both hold cancels. A cell with
-count 1 or -1 and a fitting checksum shows one digest; taking it out of its other cells shows more (peeling). If all
-cells end empty, the differing digests are known, and so is the likeness |A and B| / |A or B|.
-
-Every document's own sketch, its fingerprint, has 3 * CELLS cells. If peeling fails, the pair is tried again with a
-larger sketch: blocks of 3 * BLOCK_CELLS cells, one for every PER_BLOCK digests, so work grows with the length of the text.
-A block that still fails is tried again with LARGER times as many cells, twice; what is left after that (two digests
-that share all cells) is compared digest by digest.
+A document is the set of its paragraphs' digests: lines, cut again behind every sentence and table cell, so that an
+edit moves no other cuts. A digest is 39 bits of a hash and a checksum of those in the low 24 bits. A sketch is 2^level
+blocks of 3 sub-tables of CELLS cells. The top bits of a digest choose its block, other bits one cell of each sub-table;
+a cell is the xor of its digests. Two sketches of one size subtract cell by cell: what both hold cancels. A cell whose
+checksum fits shows one digest; taking it out of its other cells shows more (peeling). If all cells end empty, the
+differing digests are known, and so is the likeness |A and B| / |A or B|.
+
+A document's fingerprint is its sketch with a block for PER_BLOCK digests, so it grows with the text. The fingerprints
+of a pair are subtracted where they have one size; else, and for each block in which peeling fails, the sketch is drawn
+again twice as large (a block becomes two, by the next bit), until it peels. Blocks that peeled are done, so a retry
+costs what is left. Different digests differ in a bit that chooses a block or cell, so this ends. Work grows with n log n
+for a text of n paragraphs, in one task.
 
 Pairs here are a document with an edited version and with the next document, in descending order of id, the first
 following the last. Neighbours are found on narrow rows dealt by range; texts are shuffled once, and parts of next
 texts a second time.
 
 Null texts count as empty; a text without paragraphs has an empty sketch, and two of them are alike (1.0). Null ids
-come last; of rows with one id, the order is that of the MD5 of their texts; rows that repeat id and text are one
+come last; of rows with one id (a tie), the order is that of the MD5 of their texts; rows that repeat id and text are one
 document and get the same values. An empty table gives an empty result. Other columns of the input are ignored.
 """
 
@@ -30,11 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-CELLS, BLOCK_CELLS, PER_BLOCK, LARGER = 8, 4, 5, 2
+CELLS, PER_BLOCK = 4, 8
+CHECK_BITS = 24
+CHECK, KEY = (1 << CHECK_BITS) - 1, (1 << 63) - (1 << CHECK_BITS)
+#: The first bit that chooses a block; those below the last such bit choose cells.
+TOP_BIT, LEVELS = 62, 33
 #: End marks that a space follows, and those of scripts without spaces; what may close behind them.
-MARKS, WIDE, CLOSE = ".!?…؟۔।॥։።", "。！？｡", "\"'”’»)\\]」』）"
-#: A line ends a paragraph, and so does a table cell or a sentence. Marks without a word before them are no sentence.
-PARAGRAPH_END = rf"\n+|(?=\s)(?:(?<=\|)|(?<=[^\s{MARKS}][{MARKS}]{{1,9}}[{CLOSE}]{{0,2}})|(?<=[^\s{MARKS}][{MARKS}]\S{{3}}))\s+|(?:(?<=[{WIDE}])|(?<=[{WIDE}][{CLOSE}]))(?![{WIDE}{CLOSE}])\s*"
+MARKS, WIDE, CLOSE = ".!?…؟۔।॥։።|", "。！？｡", "\"'”’»)\\]」』）"
+#: A line ends a paragraph, and so does white space behind a table cell or sentence.
+PARAGRAPH_END = rf"\n+|(?=\s)(?:(?<=[{MARKS}])|(?<=[{MARKS}][{CLOSE}]))\s+|(?:(?<=[{WIDE}])|(?<=[{WIDE}][{CLOSE}]))(?![{WIDE}{CLOSE}])\s*"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -42,125 +47,126 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def digests(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH_END), lambda p: p != ""), lambda p: F.xxhash64(p)))
+def long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
-def checksum(digest: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(digest, F.lit(1)), 32)
+def check(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND(long(CHECK))
 
 
-def spot(digest: Column, sub_table: int, cells: int) -> Column:
-    """The digest's cell in one of the three sub-tables."""
-    return F.shiftrightunsigned(digest, 14 * sub_table).bitwiseAND(F.lit(cells - 1))
+def digests(text: Column) -> Column:
+    keys = F.transform(F.filter(F.split(text, PARAGRAPH_END), lambda p: p != ""), lambda p: F.xxhash64(p).bitwiseAND(long(KEY)))
+    return F.array_distinct(F.transform(keys, lambda k: k.bitwiseOR(check(k))))
 
 
-def cell_numbers(cells: int) -> Column:
-    return F.array(*[F.lit(i).cast("long") for i in range(cells)])
+def xor_of(members: Column) -> Column:
+    return F.aggregate(members, long(0), lambda x, y: x.bitwiseXOR(y))
 
 
-def sketch(members: Column, cells: int, counted: bool = True) -> Column:
-    """Cells as structs of count n (if counted), digest xor k and checksum xor c."""
-    zero = F.lit(0).cast("long")
-    empty = F.struct(*[F.lit(0).alias("n")] * counted, zero.alias("k"), zero.alias("c"))
+def places() -> list[tuple[int, int]]:
+    """For each cell of a block, the bits of a digest that choose it and their value."""
+    width = CELLS.bit_length() - 1
+    return [((CELLS - 1) << (CHECK_BITS + width * j), i << (CHECK_BITS + width * j)) for j in range(3) for i in range(CELLS)]
 
-    def add(cell: Column, digest: Column) -> Column:
-        count = [(cell["n"] + 1).alias("n")] if counted else []
-        return F.struct(*count, cell["k"].bitwiseXOR(digest).alias("k"), cell["c"].bitwiseXOR(checksum(digest)).alias("c"))
 
-    def sub_table(j: int) -> Column:
-        return F.transform(cell_numbers(cells), lambda i: F.aggregate(F.filter(members, lambda d: spot(d, j, cells) == i), empty, add))
+def in_cells(members: Column) -> list[Column]:
+    """The xor of the members of each cell; members is an attribute or a lambda's variable, as it is read for each."""
 
-    return F.concat(*[sub_table(j) for j in range(3)])
+    def one(bits: int, value: int) -> Column:
+        return xor_of(F.filter(members, lambda d: d.bitwiseAND(long(bits)) == long(value)))
 
+    return [one(bits, value) for bits, value in places()]
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
 
+def block(members: Column) -> Column:
+    return F.array(*in_cells(members))
 
-def peel(cells_column: Column, cells: int, counted: bool = True) -> Column:
-    """How many digests differ, from subtracted cells; null if peeling gets stuck."""
-    counts = lambda x, y: [(x["n"] - y["n"]).alias("n")] if counted else []
-    single = lambda x: ((F.abs(x["n"]) == 1) if counted else (x["k"] != 0)) & (x["c"] == checksum(x["k"]))
-    empty = lambda x: ((x["n"] == 0) & (x["k"] == 0)) if counted else ((x["k"] == 0) & (x["c"] == 0))
 
-    def without(cell: Column, i: Column, pure: Column) -> Column:
-        def take(x: Column, y: Column) -> Column:
-            return F.struct(*counts(x, y), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c"))
+def halves(members: Column, level: Column) -> list[Column]:
+    """The members by the bit that makes two blocks of one of this level."""
 
-        return F.aggregate(F.filter(pure, lambda y: (y["p0"] == i) | (y["p1"] == i) | (y["p2"] == i)), cell, take)
+    def half(bit: int) -> Column:
+        return F.filter(members, lambda d: F.getbit(d, F.lit(TOP_BIT) - level) == bit)
 
-    def shown(x: Column) -> Column:
-        places = [(spot(x["k"], j, cells) + j * cells).cast("int").alias(f"p{j}") for j in range(3)]
-        return F.struct(*[x["n"].alias("n")] * counted, x["k"].alias("k"), x["c"].alias("c"), *places)
+    return [half(0), half(1)]
 
-    def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], single), shown))
 
-        def taken(found: Column) -> Column:
-            return F.when(F.size(found) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("going"))).otherwise(
-                F.struct(F.transform(state["cells"], lambda x, i: without(x, i, found)).alias("cells"), (state["found"] + F.size(found)).alias("found"), F.lit(True).alias("going"))
-            )
+def level_of(number: Column) -> Column:
+    """The least level with a block for PER_BLOCK digests."""
+    return F.when(number <= PER_BLOCK, F.lit(0)).otherwise(F.ceil(F.log2(number / F.lit(float(PER_BLOCK)))).cast("int"))
 
-        return F.when(~state["going"], state).otherwise(let(pure, taken))
 
-    start = F.struct(cells_column.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("going"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(3 * cells)), start, step)
-    return let(done, lambda s: F.when(F.forall(s["cells"], empty), s["found"]))
+def blocks(members: Column, level: Column) -> Column:
+    """The members in their 2^level blocks."""
+    steps = F.when(level > 0, F.sequence(F.lit(0), level - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.array(members), lambda lists, at: F.flatten(F.transform(lists, lambda x: F.array(*halves(x, at)))))
 
 
-def apart(a: Column, b: Column) -> Column:
-    """Digests in one only, without a sketch."""
-    return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+def sketch(dealt: Column) -> Column:
+    return F.transform(dealt, block)
 
 
-def block_difference(a: Column, b: Column) -> Column:
-    """Differing digests of one block: sketches of growing size, at last the digests themselves.
+def peel(cells: Column) -> Column:
+    """How many digests differ, from the cells of a subtracted block; null if peeling gets stuck."""
 
-    Cells without counts are sums of their members under xor, so the sketch of both lists in a row is the difference
-    of their sketches: what both hold cancels.
-    """
-    tries = [peel(sketch(F.concat(a, b), n, False), n, False) for n in (BLOCK_CELLS, BLOCK_CELLS * LARGER, BLOCK_CELLS * LARGER * LARGER)]
-    return F.coalesce(*tries, apart(a, b))
+    def pure(x: Column) -> Column:
+        return (x != 0) & (x.bitwiseAND(long(CHECK)) == check(x.bitwiseAND(long(KEY))))
 
+    def step(state: Column, _: Column) -> Column:
+        def taken(shown: Column) -> Column:
+            left = F.array(*[F.get(state["cells"], F.lit(i)).bitwiseXOR(x) for i, x in enumerate(in_cells(shown))])
+            return F.when(F.size(shown) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("going"))).otherwise(
+                F.struct(left.alias("cells"), (state["found"] + F.size(shown)).alias("found"), F.lit(True).alias("going"))
+            )
+
+        return F.when(~state["going"], state).otherwise(let(F.array_distinct(F.filter(state["cells"], pure)), taken))
 
-def large_difference(a: Column, b: Column) -> Column:
-    """Differing digests by blocks. Digests are dealt to about sqrt(blocks) groups, then to blocks in each."""
-    blocks = F.ceil((F.size(a) + F.size(b)) / F.lit(PER_BLOCK)).cast("int")
-    side = F.ceil(F.sqrt(blocks)).cast("int")
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("going"))
+    done = F.aggregate(F.array(*[F.lit(i) for i in range(3 * CELLS)]), start, step)
+    return let(done, lambda s: F.when(F.forall(s["cells"], lambda x: x == 0), s["found"]))
 
-    def block_of(d: Column, n: Column) -> Column:
-        return F.pmod(F.shiftrightunsigned(d, 44), n).cast("int")
 
-    def group(a: Column, b: Column, g: Column, n: Column, width: Column) -> Column:
-        of = lambda x: F.filter(x, lambda d: F.call_function("div", block_of(d, n), width) == g)
-        inner = F.sequence(g * width, F.least(n, (g + 1) * width) - 1)
+def difference(a: str, b: str) -> Column:
+    """Struct of found, the digests in one of two lists only, and tries, the number of sizes that it took.
 
-        def total(p: Column, q: Column) -> Column:
-            def one(i: Column) -> Column:
-                pick = lambda x: F.filter(x, lambda d: block_of(d, n) == i)
-                return let(pick(p), lambda x: let(pick(q), lambda y: block_difference(x, y)))
+    Columns <a> and <b> are lists, <a>_level, <a>_dealt and <a>_sketch are its level, blocks and sketch.
+    """
+    level = F.greatest(f"{a}_level", f"{b}_level")
+    same = F.col(f"{a}_level") == F.col(f"{b}_level")
 
-            return F.aggregate(inner, F.lit(0), lambda s, i: s + one(i))
+    def opened(members: Column) -> Column:
+        return F.struct(members.alias("members"), block(members).alias("cells"))
+
+    subtracted = F.zip_with(
+        F.zip_with(f"{a}_dealt", f"{b}_dealt", lambda x, y: F.concat(x, y)),
+        F.zip_with(f"{a}_sketch", f"{b}_sketch", lambda x, y: F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w))),
+        lambda members, cells: F.struct(members.alias("members"), cells.alias("cells")),
+    )
+    drawn = F.transform(blocks(F.concat(a, b), level), opened)
+    start = F.struct(F.when(same, subtracted).otherwise(drawn).alias("open"), F.lit(0).alias("found"), F.when(same, F.lit(0)).otherwise(F.lit(1)).alias("tries"))
 
-        return let(of(a), lambda p: let(of(b), lambda q: total(p, q)))
+    def attempt(state: Column, step: Column) -> Column:
+        def after(tried: Column) -> Column:
+            stuck = F.filter(tried, lambda x: x["found"].isNull())
+            children = F.flatten(F.transform(stuck, lambda x: F.transform(F.array(*halves(x["members"], level + step)), opened)))
+            found = F.aggregate(tried, state["found"], lambda n, x: n + F.coalesce(x["found"], F.lit(0)))
+            return F.struct(children.alias("open"), found.alias("found"), (state["tries"] + 1).alias("tries"))
 
-    def over(n: Column) -> Column:
-        return let(side, lambda width: F.aggregate(F.sequence(F.lit(0), F.call_function("div", n - 1, width).cast("int")), F.lit(0), lambda s, g: s + group(a, b, g, n, width)))
+        tried = F.transform(state["open"], lambda x: F.struct(x["members"].alias("members"), peel(x["cells"]).alias("found")))
+        return F.when(F.size(state["open"]) == 0, state).otherwise(let(tried, after))
 
-    return let(blocks, over)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS) - level), start, attempt)
 
 
-def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
+def likeness(a: str, b: str, differ: Column) -> Column:
     held = F.size(a) + F.size(b)
-    differ = F.coalesce(peel(subtract(cells_a, cells_b), CELLS), large_difference(a, b))
-    return F.when(held == 0, F.lit(1.0)).otherwise(let(differ, lambda d: (held - d) / (held + d)))
+    return F.when(held == 0, F.lit(1.0)).otherwise((held - differ) / (held + differ))
 
 
 def written(cells: Column) -> Column:
-    """A sketch as text: count, digest xor and checksum xor of each cell in hexadecimal."""
-    byte = lambda x: F.substring(F.hex(x.cast("long") + 256), -2, 2)
-    return F.array_join(F.transform(cells, lambda x: F.concat(byte(x["n"]), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["c"]), 8, "0"))), "")
+    """A sketch as text: 16 hexadecimal digits for each cell."""
+    return F.array_join(F.transform(F.flatten(cells), lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -192,10 +198,12 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     pairs = docs.join(given, "k").withColumn("n_chars", F.length("text"))
     edited = pairs.select("doc_id", "next_id", "n_chars", "p", "q", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("take")), "head").alias("edited"))
     hashed = edited.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "p", digests(F.col("edited")).alias("e"), "q")
-    drawn = hashed.select("*", *[sketch(F.col(c), CELLS).alias(f"{c}_cells") for c in ("p", "e", "q")])
-    return drawn.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", written(F.col("p_cells")).alias("fingerprint"), written(F.col("e_cells")).alias("edited_fingerprint"),
-        likeness(F.col("p"), F.col("e"), F.col("p_cells"), F.col("e_cells")).alias("near_edited"),
-        likeness(F.col("p"), F.col("q"), F.col("p_cells"), F.col("q_cells")).alias("near_next"),
-        "next_id",
+    sized = hashed.withColumns({f"{c}_level": level_of(F.size(c)) for c in ("p", "e", "q")})
+    dealt = sized.withColumns({f"{c}_dealt": blocks(F.col(c), F.col(f"{c}_level")) for c in ("p", "e", "q")})
+    drawn = dealt.withColumns({f"{c}_sketch": sketch(F.col(f"{c}_dealt")) for c in ("p", "e", "q")})
+    compared = drawn.withColumns({"edited": difference("p", "e"), "next": difference("p", "q")})
+    return compared.select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", written(F.col("p_sketch")).alias("fingerprint"), written(F.col("e_sketch")).alias("edited_fingerprint"),
+        likeness("p", "e", F.col("edited.found")).alias("near_edited"), likeness("p", "q", F.col("next.found")).alias("near_next"),
+        F.col("edited.tries").alias("edited_tries"), F.col("next.tries").alias("next_tries"), "next_id",
     )
