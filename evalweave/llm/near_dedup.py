@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, settle, task_batches
 from .components import components
-from .shingles import U, mix, shingle_sets
+from .shingles import U, distinct, mix, shingle_sets
 
 K = 256
 #: A value that this many documents retain is ordered behind all others.
@@ -181,7 +181,7 @@ def full_sets(docs: DataFrame, width: int, wanted) -> DataFrame:
 
 def far_off(x: np.ndarray, y: np.ndarray, k: int, percent: int) -> bool:
     """Whether the union sketch of k values puts a pair five standard deviations below the threshold."""
-    union = np.union1d(x[:k], y[:k])[:k]
+    union = distinct(np.concatenate((x[:k], y[:k])))[:k]
     both = len(np.intersect1d(np.intersect1d(union, x[:k]), y[:k]))
     t = percent / 100
     return both < len(union) * t - 5 * math.sqrt(len(union) * t * (1 - t))

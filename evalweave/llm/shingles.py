@@ -27,6 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Different values in order, by sorting (np.unique without counts hashes, which is slower for these)."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 class Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, U)
@@ -81,7 +87,7 @@ def shingle_sets(texts: Iterable[str | None], width: int = 3) -> Iterator[np.nda
             shingles = mix(shingles + words[k : k + n])
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= width:
-                yield np.unique(shingles[a : b - width + 1])
+                yield distinct(shingles[a : b - width + 1])
             elif b > a:
                 one = np.full(1, U(b - a))
                 for k in range(a, b):
