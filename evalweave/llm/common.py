@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -104,6 +105,18 @@ def trim() -> None:
         pass
 
 
+@contextlib.contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run here remove their shuffle files when they end, and not when the driver's heap is full."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def map_arrow(df: DataFrame, task: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """mapInArrow with batches of at most 1,024 rows, unless the session asks for another number: texts are long."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import context_tree as tree
-from .common import map_arrow, tidy, task_batches
-from .shingles import U, groups_of, mix, word_hashes
+from .common import dropping_shuffles, map_arrow, task_batches, tidy
+from .shingles import U, distinct, groups_of, mix, word_hashes
 
 #: Different keys that a task or chunk holds before it packs them.
 HELD = 2_000_000
 #: Bytes of text that are looked up together, and for which there is a bucket.
-CHUNK, BUCKET = 16 << 20, 4 << 20
+CHUNK, BUCKET = 8 << 20, 4 << 20
 #: Small corpora are dealt to as many chunks and buckets as Spark shuffles to, if each still has so many bytes.
 LEAST = 1 << 20
 WORDS, GRAMS = 0, 1
@@ -140,6 +140,14 @@ def bucket_sums(table):
     return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(columns, kinds, strict=True)], names=["name", "zeros", "ones", "mixed"])
 
 
+def top_sums(docs: DataFrame, buckets: int) -> list[np.ndarray]:
+    """What all buckets say of the training texts (bucket_sums): 256^TOP rows at most."""
+    counted = docs.select("text").transform(map_arrow, count_lists(buckets), LISTS)
+    sums = counted.groupBy("bucket").applyInArrow(bucket_sums, "name long, zeros long, ones long, mixed double")
+    top = sums.groupBy("name").agg(F.sum("zeros"), F.sum("ones"), F.sum("mixed")).toArrow().sort_by([("name", "ascending")])
+    return [top.column(i).to_numpy() for i in range(4)]
+
+
 def text_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     sc = docs.sparkSession.sparkContext
@@ -148,10 +156,8 @@ def text_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     least = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), found["bytes"] // LEAST)
     texts, (chunks, buckets) = found["texts"], (max(1, least, -(-found["bytes"] // size)) for size in (CHUNK, BUCKET))
 
-    counted = docs.where(~F.col("held_out")).select("text").transform(map_arrow, count_lists(buckets), LISTS)
-    sums = counted.groupBy("bucket").applyInArrow(bucket_sums, "name long, zeros long, ones long, mixed double")
-    top = sums.groupBy("name").agg(F.sum("zeros"), F.sum("ones"), F.sum("mixed")).toArrow().sort_by([("name", "ascending")])  # 256^TOP rows at most
-    name, zeros, ones, mixed = (top.column(i).to_numpy() for i in range(4))
+    with dropping_shuffles(docs.sparkSession):
+        name, zeros, ones, mixed = top_sums(docs.where(~F.col("held_out")), buckets)
     of_words = name < 0
     total, different = int(zeros[of_words].sum()) + texts, int(ones[of_words].sum()) + (texts > 0)
     short = sc.broadcast(tree.Short(name[~of_words].astype(U), zeros[~of_words], ones[~of_words], mixed[~of_words]))
@@ -169,8 +175,10 @@ def text_scores(docs: DataFrame, held_out: Column) -> DataFrame:
                 keys, at = keys_of(kind, group)
                 of = np.repeat(learnt[first : first + len(group)], np.diff(at if kind == WORDS else np.append(at, len(keys))))
                 unique, n = np.unique(keys[of], return_counts=True)
-                parts += [(unique, n), (other := np.unique(keys[~of]), np.zeros(len(other), np.int64))]
+                parts += [(unique, n), (other := distinct(keys[~of]), np.zeros(len(other), np.int64))]
                 first += len(group)
+                if sum(len(p[0]) for p in parts[1:]) > HELD // 2:
+                    parts = [summed(parts)]
             out += lists(kind, chunk, *summed(parts), buckets)
         return pa.Table.from_batches(out) if out else pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
 
@@ -200,7 +208,9 @@ def text_scores(docs: DataFrame, held_out: Column) -> DataFrame:
             for group in groups_of(x.as_py() for x in table.column("text")):
                 unique, at = np.unique((keys := keys_of(kind, group))[0], return_inverse=True)
                 parts.append((unique, at.ravel().astype(np.int32), keys[1]))
-            all_keys = np.unique(np.concatenate([p[0] for p in parts]))
+            all_keys = np.zeros(0, U)
+            for i in range(0, len(parts), 4):
+                all_keys = distinct(np.concatenate([all_keys, *[p[0] for p in parts[i : i + 4]]]))
             given = np.zeros(len(all_keys))
             found = [unpacked(data, np.float64 if kind == WORDS else np.float32) for k, _, data in answered if k == kind]
             if len(all_keys):
