@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evalweave.llm.curriculum import curriculum
@@ -107,7 +108,45 @@ def test_shards_hot_row(spark):
     check_shards(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
-PARAGRAPH = re.compile(r"\n+|(?:(?<=[a-m][.!?])|(?<=[a-m] \|)|(?<=[a-m][.!?]\S{3}))\s+")
+PARAGRAPH = re.compile(r"\n+|(?:(?<=[.!?…|])|(?<=[.!?…|][\"'”’»)\]]))[ \t\n\x0b\f\r]+")
+
+
+CHECK, KEY = (1 << 24) - 1, (1 << 63) - (1 << 24)
+
+
+def checked(key):
+    return key | xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42) & CHECK
+
+
+def places(digest):
+    return [4 * j + (digest >> (24 + 2 * j) & 3) for j in range(3)]
+
+
+def drawn(text):
+    """The fingerprint by hand."""
+    members = {checked(xxhash.xxh64_intdigest(p.encode(), 42) & KEY) for p in paragraphs(text)}
+    level = 0
+    while 8 << level < len(members):
+        level += 1
+    cells = [0] * (12 << level)
+    for d in members:
+        for at in places(d):
+            cells[12 * (d >> (63 - level)) + at] ^= d
+    return "".join(f"{x:016X}" for x in cells)
+
+
+def shown(written):
+    """The digests that a fingerprint shows when it is peeled; None if that gets stuck."""
+    cells, found = [int(written[i : i + 16], 16) for i in range(0, len(written), 16)], set()
+    for start in range(0, len(cells), 12):
+        block = cells[start : start + 12]
+        while pure := next((x for x in block if x and x == checked(x & KEY)), None):
+            found.add(pure)
+            for at in places(pure):
+                block[at] ^= pure
+        if any(block):
+            return None
+    return found
 
 
 def paragraphs(text):
@@ -121,16 +160,23 @@ def alike(a, b):
 def check_versions(df):
     docs = {(r["doc_id"], r["text"] or "") for r in df.collect()}
     order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), hashlib.md5(f"{'' if d[0] is None else d[0]}:{d[1]}".encode()).hexdigest()))
-    want = {}
+    want, prints = {}, {}
     for i, (k, text) in enumerate(order):
         after, third = order[(i + 1) % len(order)][1], len(text) // 3
         edited = text[: len(text) - third] + after[:third]
+        prints[k, len(text)] = (drawn(text), drawn(edited))
         want[k, len(text), hashlib.sha256(edited.encode()).hexdigest()] = (alike(paragraphs(text), paragraphs(edited)), alike(paragraphs(text), paragraphs(after)))
     got = compare_versions(df).collect()
     assert len(got) == df.count()
     for r in got:
         near = want[r["doc_id"], r["n_chars"], r["edited_sha256"]]
         assert near == pytest.approx((r["near_edited"], r["near_next"]), abs=1e-12)
+        assert r["edited_tries"] >= 1 and r["next_tries"] >= 1
+        if sum(k == (r["doc_id"], r["n_chars"]) for k in ((i, len(t)) for i, t in docs)) == 1:
+            assert prints[r["doc_id"], r["n_chars"]] == (r["fingerprint"], r["edited_fingerprint"])
+        a, b = shown(r["fingerprint"]), shown(r["edited_fingerprint"])
+        if a is not None and b is not None:
+            assert r["near_edited"] == pytest.approx(alike(a, b), abs=1e-12)
     return got
 
 
