@@ -368,3 +368,6 @@ def incremental_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not seen:
         return spark.createDataFrame([], "qid long, ord long, status string, event_type string, value double")
     return newest_state(spark, f"{base}/state", seen[-1])
+
+
+from . import file_queries, rule_queries  # noqa: E402, F401  they register theirs above

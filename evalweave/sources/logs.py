@@ -33,10 +33,11 @@ def first_path(spark: SparkSession, *paths: str) -> str:
 
 
 def ends_torn(spark: SparkSession, path: str) -> bool:
-    """Whether a file's last byte is no line feed."""
+    """Whether a file's last byte is no line feed. In a folder of appends every file is whole."""
     fs, at = _file(spark, path)
-    size = fs.getFileStatus(at).getLen()
-    if not size:
+    status = fs.getFileStatus(at)
+    size = status.getLen()
+    if status.isDirectory() or not size:
         return False
     stream = fs.open(at)
     try:
