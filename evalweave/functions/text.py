@@ -1,7 +1,7 @@
 """Text rules: time requests, notes, questions, and answers read from free text.
 
-Patterns run on the JVM with the flags U (Unicode classes) and d (only a line feed ends a line). Rules that need case
-folding, or look at what stands around each match in turn, are one Arrow UDF (parse_answer, parse_declared).
+Patterns run on the JVM with the flags U (Unicode classes) and d (only a line feed ends a line). Case folding alone is
+an Arrow UDF (casefold).
 """
 
 from __future__ import annotations
@@ -112,71 +112,95 @@ def strict_answer(text: Column) -> Column:
     return F.when(bare != "", bare).when((F.size(letters) == 1) & ~F.rlike(inner, F.lit(STRICT_CONFLICT)), F.get(letters, F.lit(0)))
 
 
-class AnswerRules:
-    """Reads one answer from a text: exact option text, else declarations in order, the first doubtful one deciding."""
-
-    def __init__(self) -> None:
-        self.leading = re.compile(LEADING)
-        self.declarations = [(name, re.compile(p)) for name, p in (("declaration", DECLARATION), ("pronoun_declaration", PRONOUN), ("first_person_selection", SELECTION))]
-        self.other, self.hedge = re.compile(OTHER_LETTER), re.compile(HEDGE)
-        self.declared, self.loose, self.other_loose = re.compile(DECLARED_AT_LINE), re.compile(LEADING_LOOSE), re.compile(OTHER_LETTER_LOOSE)
-        self.blank, self.fence, self.clause = re.compile(r"\s+"), re.compile(CODE_FENCE), re.compile(r"[.!?;\n]")
-
-    def folded(self, text: str) -> str:
-        return self.blank.sub(" ", text.strip().strip("\"'").rstrip(".")).casefold()
-
-    def plain(self, text: str) -> str:
-        return self.fence.sub("", text.strip()).strip().replace("**", "")
-
-    def exact(self, text: str, options: dict[str, str]) -> str | None:
-        wanted = self.folded(text)
-        same = [letter for letter, option in options.items() if self.folded(option) == wanted]
-        return same[0] if len(same) == 1 else None
-
-    def doubt(self, name: str, text: str, start: int, end: int) -> str | None:
-        if self.other.match(text, end):
-            return "ambiguous_alternatives"
-        if name != "leading_letter" and self.hedge.search(self.clause.split(text[:start])[-1]):
-            return "qualified_or_negated_declaration"
-        return None
-
-    def __call__(self, text: str | None, options: dict[str, str]) -> tuple[str | None, str]:
-        text = self.plain("None" if text is None else text)
-        if letter := self.exact(text, options):
-            return letter, "exact_option_text"
-        spans = [("leading_letter", m) for m in [self.leading.match(text)] if m]
-        spans += [(name, m) for name, pattern in self.declarations for m in pattern.finditer(text)]
-        doubts = (self.doubt(name, text, *m.span()) for name, m in spans)
-        if reason := next(filter(None, doubts), None):
-            return None, reason
-        letters = {m[1] for _, m in spans}
-        if len(letters) > 1:
-            return None, "conflicting_declarations"
-        if not letters:
-            return None, "no_unambiguous_answer"
-        return letters.pop(), "+".join(sorted({name for name, _ in spans}))
-
-    def at_lines(self, text: str | None, options: dict[str, str]) -> str | None:
-        """The older rules: declarations at the start of a line, a leading letter, else exact option text."""
-        text = self.plain("None" if text is None else text)
-        first = self.loose.match(text)
-        letters = {*self.declared.findall(text), *([first[1]] if first else [])}
-        if len(letters) > 1 or first and self.other_loose.match(text, first.end()):
-            return None
-        return letters.pop() if letters else self.exact(text, options)
-
-
-@F.pandas_udf(T.StructType([T.StructField("answer", T.StringType()), T.StructField("rule", T.StringType())]))
-def parse_answer(texts: pd.Series, options: pd.Series) -> pd.DataFrame:
-    """Answer and rule; options: map<string,string> from letter to text."""
-    rules = AnswerRules()
-    return pd.DataFrame([rules(t, dict(o or {})) for t, o in zip(texts, options, strict=True)], columns=["answer", "rule"])
-
-
-@F.pandas_udf(T.StringType())
-def parse_declared(texts: pd.Series, options: pd.Series) -> pd.Series:
-    rules = AnswerRules()
-    return pd.Series([rules.at_lines(t, dict(o or {})) for t, o in zip(texts, options, strict=True)], dtype=object)
+#: A character of a word as the answer rules see it: marks that combine and connectors other than _ don't count.
+WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
+def on_jvm(*parts: str) -> str:
+    """One Java pattern of several parts; what a part has matched isn't tried again in another way for the next."""
+    behind = WORD_CHAR + "{1,2}"  # what stands before is looked for in UTF-16 units, and a character may take two
+    classes = {r"\s": BLANK, r"\W": r"[^\p{L}\p{N}_]", r"\b": rf"(?:(?<={behind})(?!{WORD_CHAR})|(?<!{behind})(?={WORD_CHAR}))"}
+    return "(?dU)" + "".join(re.sub(r"\\[sWb]", lambda m: classes[m[0]], f"(?>{part})") for part in parts)
+
+
+def named(text: Column, pattern: str) -> Column:
+    """The letters that the matches of a pattern name, in order."""
+    return F.regexp_extract_all(text, F.lit(on_jvm(pattern)), F.lit(1))
+
+
+def unwrapped(text: Column) -> Column:
+    """A text without code fence and bold marks; a null text is the word None, as the rules take whatever they get as text."""
+    inner = F.regexp_replace(strip(F.coalesce(text, F.lit("None"))), on_jvm(CODE_FENCE), "")
+    return F.replace(strip(inner), F.lit("**"), F.lit(""))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def casefold(lists: pd.Series) -> pd.Series:
+    """Full case folding (German sharp s becomes ss), which the JVM doesn't offer."""
+    return lists.map(lambda texts: [t if t is None else t.casefold() for t in texts])
+
+
+def option_said(text: Column, options: Column) -> Column:
+    """The letter of the only option whose text this is but for case, spaces, outer quotes and dots at the end."""
+
+    def bare(c: Column) -> Column:
+        unquoted = F.regexp_replace(strip(c), "\\A[\"']+|[\"']+\\z", "")
+        return F.regexp_replace(F.regexp_replace(unquoted, r"\.+\z", ""), rf"(?U){BLANK}+", " ")
+
+    options = F.coalesce(options, F.create_map().cast("map<string,string>"))
+    folded = casefold(F.concat(F.array(bare(text)), F.transform(F.map_values(options), bare)))
+    rows = F.arrays_zip(F.map_keys(options).alias("letter"), F.slice(folded, 2, F.size(options)).alias("option"), F.array_repeat(F.get(folded, F.lit(0)), F.size(options)).alias("said"))
+    same = F.filter(rows, lambda r: r["option"] == r["said"])
+    return F.when(F.size(same) == 1, F.get(same, F.lit(0))["letter"])
+
+
+def doubt(text: Column, pattern: str) -> Column:
+    """Why the first doubtful match of a pattern is doubtful: an alternative behind it, or else a hedge before it in its clause."""
+    hedged = rf"(?:{HEDGE})[^.!?;\n]*?"
+
+    def before(lead: str, *rest: str) -> Column:
+        """Characters before the first match that has this lead, which a group takes in."""
+        found = on_jvm(*rest)
+        taken = r"\A((?s:.*?)" + on_jvm(lead).removeprefix("(?dU)(?>")
+        whole = "(?dU)" + taken + found.removeprefix("(?dU)")
+        return F.when(F.rlike(text, F.lit(whole)), F.length(F.regexp_extract(text, whole, 1)))
+
+    alternative, hedge = before("", pattern, OTHER_LETTER), before(hedged, pattern)
+    return F.when(alternative <= F.coalesce(hedge, alternative), F.lit("ambiguous_alternatives")).when(hedge.isNotNull(), F.lit("qualified_or_negated_declaration"))
+
+
+#: Kinds of declarations; doubts count in this order.
+DECLARATIONS = {"declaration": DECLARATION, "pronoun_declaration": PRONOUN, "first_person_selection": SELECTION}
+
+
+def parse_answer(text: Column, options: Column) -> Column:
+    """struct<answer,rule>: the option that a text repeats; else the one letter that it declares without doubt.
+
+    options: map<string,string> from letter to text. Without an answer, the rule says why.
+    """
+    said = unwrapped(text)
+    option = option_said(said, options)
+    letters = {"leading_letter": named(said, LEADING)} | {kind: named(said, pattern) for kind, pattern in DECLARATIONS.items()}
+    kinds = F.filter(F.array(*[F.when(F.size(letters[kind]) > 0, F.lit(kind)) for kind in sorted(letters)]), lambda k: k.isNotNull())
+    found = F.array_distinct(F.concat(*letters.values()))
+    after_leading = F.when(F.rlike(said, F.lit(on_jvm(LEADING, OTHER_LETTER))), F.lit("ambiguous_alternatives"))
+    reason = F.coalesce(
+        after_leading,
+        *[doubt(said, pattern) for pattern in DECLARATIONS.values()],
+        F.when(F.size(found) > 1, F.lit("conflicting_declarations")),
+        F.when(F.size(found) == 0, F.lit("no_unambiguous_answer")),
+    )
+    answer = F.coalesce(option, F.when(reason.isNull(), F.get(found, F.lit(0))))
+    rule = F.when(option.isNotNull(), F.lit("exact_option_text")).otherwise(F.coalesce(reason, F.array_join(kinds, "+")))
+    return F.struct(answer.alias("answer"), rule.alias("rule"))
+
+
+def parse_declared(text: Column, options: Column) -> Column:
+    """The older rules: one letter, declared at the start of a line or leading the text; else the option that it repeats."""
+    said = unwrapped(text)
+    letters = F.array_distinct(F.concat(named(said, DECLARED_AT_LINE), named(said, LEADING_LOOSE)))
+    doubtful = (F.size(letters) > 1) | F.rlike(said, F.lit(on_jvm(LEADING_LOOSE, OTHER_LETTER_LOOSE)))
+    return F.when(~doubtful, F.coalesce(F.get(letters, F.lit(0)), option_said(said, options)))
 
 
 def read_answer(dataset: Column, text: Column, options: Column) -> tuple[Column, Column]:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,15 +11,24 @@ from pyspark.sql import functions as F
 REPEATS, SEED, LOW, HIGH = 2000, 42, 49, 1949
 
 
-def draw_interval(clusters: list[tuple[int, int]]) -> tuple[float, float]:
-    """Bounds of 100 * sum of differences / sum of rows over resampled clusters, in the order given."""
-    source = random.Random(SEED)
-    draws = []
-    for _ in range(REPEATS):
-        picked = source.choices(clusters, k=len(clusters))
-        draws.append(100 * sum(d for d, _ in picked) / sum(n for _, n in picked))
-    draws.sort()
-    return draws[LOW], draws[HIGH]
+#: Drawn indices held at a time.
+BLOCK = 1 << 20
+
+
+def draw_interval(difference: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Bounds of 100 * sum of differences / sum of rows over resampled clusters, in the order given.
+
+    A repeat takes as many clusters as there are, each by the next number of the seeded Mersenne twister. Repeats are
+    drawn in blocks, so memory is bounded at any number of clusters.
+    """
+    size, twister = len(n), np.random.RandomState([SEED])
+    at_once = max(1, BLOCK // size)
+    shares = np.empty(REPEATS)
+    for start in range(0, REPEATS, at_once):
+        picked = (twister.random_sample((min(at_once, REPEATS - start), size)) * size).astype(np.int64)
+        shares[start : start + len(picked)] = 100 * difference[picked].sum(axis=1) / n[picked].sum(axis=1)
+    low, high = np.partition(shares, (LOW, HIGH))[[LOW, HIGH]].tolist()
+    return low, high
 
 
 def bootstrap_interval(partials: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -37,7 +45,7 @@ def bootstrap_interval(partials: DataFrame, keys: list[str] | None = None) -> Da
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.iloc[sorted(range(len(rows)), key=[place(x) for x in rows["first_ord"]].__getitem__)]
-        low, high = draw_interval(list(zip(rows["difference"].tolist(), rows["n"].tolist(), strict=True)))
+        low, high = draw_interval(rows["difference"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
         return pd.DataFrame([[*key, low, high, len(rows), REPEATS]])
 
     kinds = ", ".join(f"`{k}` {table.schema[k].dataType.simpleString()}" for k in names)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import asdict, dataclass, replace
+from itertools import product, starmap
 
 from pyspark.sql import DataFrame
 
@@ -13,28 +15,51 @@ ATTEMPTS, AGAIN = 3, 42
 PHASES, DATASETS = ("pilot", "dev20"), ("avspeaker", "joint")
 
 
+@dataclass(frozen=True)
+class Step:
+    """One phase of one dataset: waiting, running, complete, or in need of diagnosis, which ends the lane."""
+
+    phase: str
+    dataset: str
+    attempt: int = 0
+    status: str = "waiting"
+
+    def begun(self) -> Step:
+        return replace(self, attempt=self.attempt + 1, status="running")
+
+    def after(self, code: int) -> Step:
+        """What an exit code makes of a running step: only lacking memory is tried again, as long as attempts are left."""
+        if code == AGAIN and self.attempt < ATTEMPTS:
+            return self.begun()
+        return replace(self, status="needs_diagnosis" if code else "complete")
+
+
+def carried_out(step: Step, work: Callable[[str, str], int], report: Callable[[dict], None]) -> Step:
+    """A step from its first attempt to its end; every state on the way is reported, but for completion."""
+    step = step.begun()
+    while step.status == "running":
+        report(asdict(step))
+        code = work(step.phase, step.dataset)
+        step = step.after(code)
+    if step.status != "complete":
+        report(asdict(step))
+        raise RuntimeError(f"{step.phase}/{step.dataset} failed with code {code}")
+    return step
+
+
 def lane(work: Callable[[str, str], int], gate: Callable[[str], None], complete: Callable[[str, str], bool], report: Callable[[dict], None] = lambda state: None) -> list[tuple[str, str, int]]:
-    """Runs work(phase, dataset) for all, at most three times each and again only if memory ran out.
+    """Carries out all steps that aren't complete. (phase, dataset, attempts) of what ran.
 
-    The pilot's gate is checked after it, also if it was complete before. (phase, dataset, attempts) of what ran.
+    The pilot's gate is checked behind it, also if it was complete before.
     """
     ran = []
-    for phase in PHASES:
-        for dataset in DATASETS:
-            if not complete(phase, dataset):
-                for attempt in range(1, ATTEMPTS + 1):
-                    report({"phase": phase, "dataset": dataset, "attempt": attempt, "status": "running"})
-                    code = work(phase, dataset)
-                    if code == 0:
-                        break
-                    if code != AGAIN or attempt == ATTEMPTS:
-                        report({"phase": phase, "dataset": dataset, "attempt": attempt, "status": "needs_diagnosis"})
-                        raise RuntimeError(f"{phase}/{dataset} failed with code {code}")
-                ran.append((phase, dataset, attempt))
-            if phase == "pilot":
-                gate(dataset)
+    for step in starmap(Step, product(PHASES, DATASETS)):
+        if not complete(step.phase, step.dataset):
+            ran.append(carried_out(step, work, report))
+        if step.phase == PHASES[0]:
+            gate(step.dataset)
     report({"status": "complete"})
-    return ran
+    return [(step.phase, step.dataset, step.attempt) for step in ran]
 
 
 def resume(rows: DataFrame, records: DataFrame, config: dict, before: dict | None) -> DataFrame:

@@ -36,6 +36,29 @@ def test_parse_answer(spark):
     assert rules["The answer is A. The final answer is B."] == "conflicting_declarations"
 
 
+def test_doubts_in_order(spark):
+    """Positions decide within a kind, kinds in their order decide between kinds; options are compared with full case folding."""
+    options = F.create_map(*[F.lit(x) for x in ("A", "Stra\u00dfe", "B", "b", "C", "b", "D", "x")])
+    cases = [
+        ("Not the answer is A. The answer is B or C", None, "qualified_or_negated_declaration"),
+        ("The answer is B or C. Not the answer is A", None, "ambiguous_alternatives"),
+        ("If so, the answer is A or B", None, "ambiguous_alternatives"),
+        ("It's A or B. Not the answer is C", None, "qualified_or_negated_declaration"),
+        ("Not so.\nThe answer is A", "A", "declaration"),
+        ("A. It is A. I'd pick A, the answer is A", "A", "declaration+first_person_selection+leading_letter+pronoun_declaration"),
+        ("\U0001d49canswer is A", None, "no_unambiguous_answer"),
+        ("\U0001f600 if the answer is A or B", None, "ambiguous_alternatives"),
+        ("'STRASSE.'", "A", "exact_option_text"),
+        ("B", "B", "leading_letter"),
+        ("", None, "no_unambiguous_answer"),
+        (None, None, "no_unambiguous_answer"),
+    ]
+    got = values(spark, [t for t, _, _ in cases], text.parse_answer(F.col("text"), options))
+    assert [(g["answer"], g["rule"]) for g in got] == [(a, r) for _, a, r in cases]
+    nothing = values(spark, ["The answer is A", "x"], text.parse_answer(F.col("text"), F.lit(None).cast("map<string,string>")))
+    assert [g["answer"] for g in nothing] == ["A", None]
+
+
 def test_parse_declared(spark):
     options = F.create_map(*[F.lit(x) for kv in OPTIONS.items() for x in kv])
     cases = [("Answer: B", "B"), ("(C) yes", "C"), ("A or B", None), ("I say the answer is B", None), ("calm", "C"), ("Answer: A\nAnswer: B", None)]
