@@ -249,6 +249,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = sc.broadcast(bit_table(counts, "value", SHARED_BITS))
     hot = sc.broadcast(bit_table(counts.where(F.col("held") >= HOT), "value", HOT_BITS))
     posts = settle(postings(docs, width, percent, shared, hot))
+    for table in (shared, hot):
+        table.unpersist()
 
     hubs = posts.groupBy("value").agg(F.min_by(F.struct("id", "n", "place"), F.struct("place", "id")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     met = posts.join(hubs, "value").select(F.col("hub.id").alias("u"), F.col("hub.n").alias("m"), F.col("hub.place").alias("p"), F.col("id").alias("v"), "n", F.col("place").alias("q")).where("u <> v").where(room(percent))
@@ -258,7 +260,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         pairs = settle(likely(pairs, classes, percent))
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = sc.broadcast(bit_table(ids, "id", ID_BITS))
-        return settle(confirm(pairs, full_sets(docs, width, wanted), percent))
+        found = settle(confirm(pairs, full_sets(docs, width, wanted), percent))
+        wanted.unpersist()
+        return found
 
     links = confirmed(first)
     parts = settle(components(links))
