@@ -5,16 +5,18 @@ one hash function makes the sketch, the sketch of a union is the k smallest of b
 union sketch that both hold estimates the Jaccard similarity.
 
 1. Signatures: documents with equal sets form a class, whose smallest id stands for it from here on.
-2. Retained values are counted over all documents. Two bit tables of fixed size record values held twice or more and
-   values held HOT times or more. A wrong bit costs time, never a link.
-3. Inverted lists. Values of a sketch are put in one order for all documents: not hot first, then by hash. If two
+2. Retained values are counted over all documents. Bit tables of fixed size record values held twice or more and
+   values held as often as each step of HOT says. A wrong bit costs time, never a link.
+3. Inverted lists. Values of a sketch are put in one order for all documents: rare before hot, step by step, then by
+   hash, so that a value that many hold is listed only by texts that have little else. If two
    sketches must share at least ``need`` values, their first ``size - need + 1`` values in that order share one, so
    only those are listed. For a set of at most k shingles the sketch is the set and the bound is exact; beyond that
    ``need`` is k * similarity less five standard deviations (a miss has a chance below 1 in 10^6 at the threshold), and
    never more than for whole sets.
 4. Links in two phases. First each list is paired with one hub, the member with the earliest place, which is linear in
    the lists. Confirmed pairs give components. Then pairs of list members that are still in different components are
-   compared, if sizes (and places, for whole sets) leave room for enough overlap. A pair inside one component can't change the result,
+   compared, list by list and size class by size class, if sizes (and places, for whole sets) leave room for enough
+   overlap; sets of classes further apart can't link. A pair inside one component can't change the result,
    so nothing is lost and a group of thousands of copies doesn't make its square of pairs.
 5. A pair is confirmed on the full sets, once the union-sketch estimate has thrown out pairs that are far off: first
    on the SMALL smallest values, which every document's signature carries, then on the whole sketches. Only documents
@@ -39,8 +41,8 @@ from .components import components
 from .shingles import U, distinct, mix, shingle_sets
 
 K = 256
-#: A value that this many documents retain is ordered behind all others.
-HOT = 8
+#: Values that this many documents retain are ordered behind those that fewer do, step by step.
+HOT = (8, 64, 512, 4096, 32768, 262144)
 #: Values, cut to 32 bits, of the sketch that goes with a signature.
 SMALL = 128
 SHARED_BITS, HOT_BITS, ID_BITS = 26, 24, 24
@@ -60,6 +62,16 @@ def bit_at(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return (table[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
 
 
+def steps_of(tables: list[np.ndarray], values: np.ndarray, bits: int) -> np.ndarray:
+    """For each value the number of tables that hold it."""
+    at = mix(values) >> U(64 - bits)
+    word, bit = (at >> U(3)).astype(np.int64), (at & U(7)).astype(np.uint8)
+    found = np.zeros(len(values), np.uint8)
+    for table in tables:
+        found += (table[word] >> bit) & 1
+    return found
+
+
 def bit_table(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """A table of 2^bits bits with the place of each value set: at most 2^bits / 64 rows reach the driver."""
 
@@ -136,8 +148,7 @@ def postings(docs: DataFrame, width: int, percent: int, shared, hot) -> DataFram
                 if not len(s) or doc is None:
                     continue
                 sketch = s[:K]
-                last = bit_at(hot.value, sketch, HOT_BITS)
-                order = np.concatenate((sketch[~last], sketch[last]))[: len(sketch) - need_of(len(s), percent) + 1]
+                order = sketch[np.argsort(steps_of(hot.value, sketch, HOT_BITS), kind="stable")][: len(sketch) - need_of(len(s), percent) + 1]
                 at = np.flatnonzero(bit_at(shared.value, order, SHARED_BITS))
                 if len(at):
                     fill = np.full(len(at), 0, np.int64)
@@ -239,6 +250,14 @@ def room(percent: int):
     return (small * 100 >= large * percent) & ((large > K) | (left * (100 + percent) >= (F.col("m") + F.col("n")) * percent))
 
 
+def size_class(percent: int):
+    """Class of a set's size n: sets that may link are in the same class or in neighbouring ones.
+
+    A class spans a little more than the ratio of sizes that the threshold allows, so rounding can't put two apart.
+    """
+    return F.floor(F.log("n") / max(math.log(100 / percent) * (1 + 1e-9), 0.01)).cast("int")
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links (confirmed links of its class that were needed or met)."""
     sc = docs.sparkSession.sparkContext
@@ -247,7 +266,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     counts = settle(retained(docs, width).groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
     shared = sc.broadcast(bit_table(counts, "value", SHARED_BITS))
-    hot = sc.broadcast(bit_table(counts.where(F.col("held") >= HOT), "value", HOT_BITS))
+    often = settle(counts.where(F.col("held") >= HOT[0]))
+    hot = sc.broadcast([bit_table(often.where(F.col("held") >= least), "value", HOT_BITS) for least in HOT])
     posts = settle(postings(docs, width, percent, shared, hot))
     for table in (shared, hot):
         table.unpersist()
@@ -270,11 +290,12 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = labelled.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value")
     # Each document's open lists in the common order; a pair is made in the first list that both are in, and no other.
     held = labelled.join(mixed, "value").groupBy("id", "n", "part").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("lists"))
-    members = held.select("id", "n", "part", F.col("lists.value").alias("values"), F.posexplode("lists").alias("at", "list")).select("id", "n", "part", "list.place", "list.value", F.slice("values", 1, F.col("at")).alias("before"))
-    x = members.select("value", F.col("id").alias("u"), F.col("n").alias("m"), F.col("place").alias("p"), F.col("part").alias("part_u"), F.col("before").alias("before_u"))
-    y = members.select("value", F.col("id").alias("v"), "n", F.col("place").alias("q"), F.col("part").alias("part_v"), F.col("before").alias("before_v"))
-    apart = (F.col("u") < F.col("v")) & (F.col("part_u") != F.col("part_v")) & room(percent) & ~F.arrays_overlap("before_u", "before_v")
-    rest = x.join(y, "value").where(apart).select(F.col("u").alias("a"), F.col("v").alias("b")).join(first, ["a", "b"], "left_anti")
+    members = held.select("id", "n", "part", F.col("lists.value").alias("values"), F.posexplode("lists").alias("at", "list")).select("id", "n", "part", size_class(percent).alias("sizes"), "list.place", "list.value", F.slice("values", 1, F.col("at")).alias("before"))
+    # A set meets its own class (each pair once, by id) and the next larger one, which also splits a long list.
+    x = members.select("value", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"), "sizes", F.col("id").alias("u"), F.col("n").alias("m"), F.col("place").alias("p"), F.col("part").alias("part_u"), F.col("before").alias("before_u")).withColumn("sizes", F.col("sizes") + F.col("up"))
+    y = members.select("value", "sizes", F.col("id").alias("v"), "n", F.col("place").alias("q"), F.col("part").alias("part_v"), F.col("before").alias("before_v"))
+    apart = ((F.col("up") == 1) | (F.col("u") < F.col("v"))) & (F.col("part_u") != F.col("part_v")) & room(percent) & ~F.arrays_overlap("before_u", "before_v")
+    rest = x.join(y, ["value", "sizes"]).where(apart).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).join(first, ["a", "b"], "left_anti")
     more = confirmed(rest)
     links = links.unionByName(more)
     parts = settle(components(links))

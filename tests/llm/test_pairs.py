@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from conftest import words
 from evalweave.llm.components import components
-from evalweave.llm.near_dedup import near_components
+from evalweave.llm.near_dedup import near_components, size_class
 from evalweave.llm.packing import WordIds, pack, place, plan_bins
 from evalweave.llm.queries import tokenizer_path
 from evalweave.llm.shingles import shingle_sets
@@ -100,6 +100,25 @@ def test_near_long_texts_that_contain_each_other(spark, width, percent, common):
     check_near(spark, rows, width, percent)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80), (3, 100)])
+def test_near_texts_of_common_passages(spark, width, percent):
+    """Texts that are all passages which others hold too, some many times over: lists of hot values, sets of many sizes."""
+    source = random.Random(7 * percent + width)
+    passages = [words(source, source.randint(6, 14)) for _ in range(30)]
+    often = [1 / (1 + i) for i in range(len(passages))]
+    rows = [(i, " ".join(source.choices(passages, often, k=source.randint(2, 30)))) for i in range(240)]
+    rows += [(1000 + i, f"{t} {words(source, source.randint(0, 6))}") for i, t in rows[:60]]
+    check_near(spark, rows, width, percent)
+
+
+def test_size_classes_of_sets_that_may_link(spark):
+    """Largest and smallest sizes that the threshold lets link are at most one class apart."""
+    for percent in (50, 80, 85, 99, 100):
+        n = [x for small in range(1, 3000) for x in (small, small * 100 // percent)]
+        found = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(n)], "i long, n int").orderBy("i").select(size_class(percent)).collect()]
+        assert all(0 <= found[i + 1] - found[i] <= 1 for i in range(0, len(n), 2))
+
+
 def test_near_odd_and_empty(spark, odd, empty):
     check_near(spark, [(r["doc_id"], r["text"]) for r in odd.collect()])
     assert near_components(odd, 3, 85).count() == odd.count()
