@@ -343,11 +343,11 @@ def unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.unfinished(questions(spark, sf_dir).select("qid", "task"), done)
 
 
-@query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS observations FROM conversations WHERE turn < 4 GROUP BY conv_id""")
+@query("""SELECT conv_id, (turn // 4)::BIGINT AS arm, string_agg(text, chr(10) ORDER BY turn) AS observations FROM conversations GROUP BY ALL""")
 def joined_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "conversations").where("turn < 4")
-    held = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
-    return held.select("conv_id", F.array_join("l.text", "\n").alias("observations"))
+    """The notes of each arm, as call_costs divides a conversation."""
+    held = table(spark, sf_dir, "conversations").groupBy("conv_id", F.expr("turn div 4").alias("arm")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    return held.select("conv_id", "arm", F.array_join("l.text", "\n").alias("observations"))
 
 
 @query(LATEST_SQL + "SELECT qid, ord, status, event_type, value FROM latest")
