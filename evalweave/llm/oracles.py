@@ -58,4 +58,40 @@ c(id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT c.id, e.b FROM c JOIN
 SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN c ON c.id = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-ORACLES = {"op3_curriculum": OP3, "op4_ring_shards": OP4, "op8_near_dedup": OP8}
+OP11 = OP8.replace(">= 85 *", ">= 90 *").replace(", n.doc_id = min(root) AS kept", "")
+
+ROUND = """m{r} AS MATERIALIZED (SELECT vec_id, p.part, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 16 + entry) AS k FROM p JOIN c{r} c ON p.part = c.part GROUP BY ALL),
+"""
+MOVE = """n{r} AS (SELECT part, k % 16 AS entry, i, floor(sum(x[i + 1])::DOUBLE / count(*))::BIGINT AS y FROM m{q} JOIN p USING (vec_id, part), unnest(range(len(x))) u(i) GROUP BY ALL),
+c{r} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(any_value(l.y), any_value(c.c)) AS c FROM c{q} c LEFT JOIN (SELECT part, entry, list(y ORDER BY i) AS y FROM n{r} GROUP BY ALL) l USING (part, entry) GROUP BY c.part, c.entry),
+"""
+OP12 = (
+    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, r.part, q[r.part * (len(q) // 8) + 1:(r.part + 1) * (len(q) // 8)] AS x FROM v, range(8) r(part)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 16),
+c0 AS MATERIALIZED (SELECT part, entry, x AS c FROM p JOIN s USING (vec_id)),
+"""
+    + "".join(ROUND.format(r=r - 1) + MOVE.format(r=r, q=r - 1) for r in range(1, 7))
+    + ROUND.format(r=6)
+    + """o AS (SELECT vec_id, string_agg(printf('%02x', (k % 16)::INT), '' ORDER BY part) AS code, sum(k // 16)::BIGINT AS error FROM m6 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c6) AS codebooks_sha256 FROM o JOIN v USING (vec_id)
+"""
+)
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t), regexp_matches(t, '[#$%&*|]'),
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM d),
+c AS (SELECT part, f, count(*) AS n, count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic, len(list_filter(f, lambda x: x)) AS fails FROM m LEFT JOIN labels USING (doc_id) GROUP BY part, f),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+z AS (SELECT c.*, filter_order, step, f[strpos('ABCDE', filter_order[step])] AS x, len(list_filter(range(1, step), lambda j: f[strpos('ABCDE', filter_order[j])])) > 0 AS earlier FROM c, o, range(1, 6) s(step))
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT x AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (x AND NOT earlier), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (x AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (x AND fails = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (x AND NOT earlier), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (x AND NOT earlier), 0)::BIGINT AS toxic_lost, coalesce(sum(n * 120 // greatest(fails, 1)) FILTER (x), 0)::BIGINT AS shapley
+FROM z GROUP BY part, filter_order, step
+"""
+
+ORACLES = {"op3_curriculum": OP3, "op4_ring_shards": OP4, "op8_near_dedup": OP8, "op11_fragment_join": OP11, "op12_vector_codes": OP12, "op13_filter_audit": OP13}

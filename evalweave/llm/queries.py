@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .attention_quality import fit_quality, with_quality
 from .common import crc_of_id, table
 from .curriculum import curriculum
+from .filter_audit import audit
+from .fragment_join import ngram_components
 from .gru_language import fit_language, with_language
 from .iblt_versions import compare_versions
 from .main_text import main_text
@@ -17,6 +19,7 @@ from .oracles import ORACLES
 from .packing import pack
 from .ring_shards import ring_shards
 from .text_scores import text_scores
+from .vector_codes import compress
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +79,26 @@ def op10_iblt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_versions(table(spark, sf_dir, "documents"))
 
 
+def op11_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = (
+    op1_main_text, op2_context_tree, op3_curriculum, op4_ring_shards, op5_attention_quality, op6_motion_jpeg, op7_packing, op8_near_dedup,
+    op9_gru_language, op10_iblt_versions, op11_fragment_join, op12_vector_codes, op13_filter_audit,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_context_tree, op3_curriculum, op4_ring_shards, op5_attention_quality, op6_motion_jpeg, op7_packing, op8_near_dedup, op9_gru_language, op10_iblt_versions)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
