@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,7 @@ NOTE_CHARS = 1600
 QUESTION_MARK, WRAPPER_START, WRAPPER_END = "\nQuestion: ", "Select the best answer", "\nThe best answer is:"
 # Patterns of answer declarations; the letter keeps its case in the first group of rules.
 LETTER = r"\(?([A-D])\)?(?=\s|[.,:;!)]|$)"
+LETTER_ONLY = r"\(?([A-D])"
 DECLARATION = r"(?i:\b(?:the\s+)?(?:(?:correct|final|best|most\s+likely)\s+)?(?:answer|option|choice|order)\s*(?:is\s+|would\s+be\s+|[:：]\s*))" + LETTER
 PRONOUN = r"(?i:\b(?:it['’]s|it\s+is)\s+)" + LETTER
 SELECTION = r"(?i:\bI(?:['’]d|\s+would)?\s+(?:choose|select|pick|go\s+with|say)\s+)" + LETTER
@@ -62,7 +64,8 @@ BLANK = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+    """A text without white space at its ends; a run of white space inside it is looked at once, whatever its length."""
+    return F.regexp_replace(text, rf"(?U)\A{BLANK}+|(?<!{BLANK}){BLANK}+\z", "")
 
 
 def seek(output: Column, duration: Column, fallback: Column, pattern: str = SEEK) -> Column:
@@ -116,11 +119,15 @@ def strict_answer(text: Column) -> Column:
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
-def on_jvm(*parts: str) -> str:
-    """One Java pattern of several parts; what a part has matched isn't tried again in another way for the next."""
+def java(pattern: str) -> str:
+    """A part of a Java pattern; what it has matched isn't tried again in another way for what follows."""
     behind = WORD_CHAR + "{1,2}"  # what stands before is looked for in UTF-16 units, and a character may take two
     classes = {r"\s": BLANK, r"\W": r"[^\p{L}\p{N}_]", r"\b": rf"(?:(?<={behind})(?!{WORD_CHAR})|(?<!{behind})(?={WORD_CHAR}))"}
-    return "(?dU)" + "".join(re.sub(r"\\[sWb]", lambda m: classes[m[0]], f"(?>{part})") for part in parts)
+    return re.sub(r"\\[sWb]", lambda m: classes[m[0]], f"(?>{pattern})")
+
+
+def on_jvm(*parts: str) -> str:
+    return "(?dU)" + "".join(map(java, parts))
 
 
 def named(text: Column, pattern: str) -> Column:
@@ -130,43 +137,61 @@ def named(text: Column, pattern: str) -> Column:
 
 def unwrapped(text: Column) -> Column:
     """A text without code fence and bold marks; a null text is the word None, as the rules take whatever they get as text."""
-    inner = F.regexp_replace(strip(F.coalesce(text, F.lit("None"))), on_jvm(CODE_FENCE), "")
+    inner = F.regexp_replace(strip(F.coalesce(text, F.lit("None"))), on_jvm(rf"(?:\G|(?<!{BLANK}))(?:{CODE_FENCE})"), "")
     return F.replace(strip(inner), F.lit("**"), F.lit(""))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def casefold(lists: pd.Series) -> pd.Series:
     """Full case folding (German sharp s becomes ss), which the JVM doesn't offer."""
-    return lists.map(lambda texts: [t if t is None else t.casefold() for t in texts])
+    return lists.map(lambda texts: texts if texts is None else [t if t is None else t.casefold() for t in texts])
 
 
 def option_said(text: Column, options: Column) -> Column:
     """The letter of the only option whose text this is but for case, spaces, outer quotes and dots at the end."""
 
     def bare(c: Column) -> Column:
-        unquoted = F.regexp_replace(strip(c), "\\A[\"']+|[\"']+\\z", "")
-        return F.regexp_replace(F.regexp_replace(unquoted, r"\.+\z", ""), rf"(?U){BLANK}+", " ")
+        unquoted = F.regexp_replace(strip(c), "\\A[\"']+|(?<![\"'])[\"']+\\z", "")
+        return F.regexp_replace(F.regexp_replace(unquoted, r"(?<!\.)\.+\z", ""), rf"(?U){BLANK}+", " ")
 
     options = F.coalesce(options, F.create_map().cast("map<string,string>"))
-    folded = casefold(F.concat(F.array(bare(text)), F.transform(F.map_values(options), bare)))
+    # Folding makes one to three characters of one, so a text of more than three times an option's length isn't folded.
+    longest = F.aggregate(F.map_values(options), F.lit(0), lambda n, v: F.greatest(n, F.length(v)))
+    said = held(bare(text), lambda t: F.when(F.length(t) <= 3 * longest, t))
+    folded = casefold(F.when(said.isNotNull(), F.concat(F.array(said), F.transform(F.map_values(options), bare))))
     rows = F.arrays_zip(F.map_keys(options).alias("letter"), F.slice(folded, 2, F.size(options)).alias("option"), F.array_repeat(F.get(folded, F.lit(0)), F.size(options)).alias("said"))
     same = F.filter(rows, lambda r: r["option"] == r["said"])
     return F.when(F.size(same) == 1, F.get(same, F.lit(0))["letter"])
 
 
-def doubt(text: Column, pattern: str) -> Column:
-    """Why the first doubtful match of a pattern is doubtful: an alternative behind it, or else a hedge before it in its clause."""
-    hedged = rf"(?:{HEDGE})[^.!?;\n]*?"
+def marks(text: Column, pattern: str) -> Column:
+    """What decides about the matches of a pattern, in order of the text: matches (with an alternative behind them), hedges, ends of clauses.
+
+    One scan finds them all: no match begins inside a hedge or an end, and both begin where a word does. An alternative is
+    taken in with its match, for behind the first one nothing counts any more.
+    """
+    start = rf"(?<![A-Za-z0-9])(?<!{WORD_CHAR}{{1,2}})"  # the first condition only spares the second at most places
+    match, hedge = (java(p.replace(r"\b", "", 1)) for p in (pattern, f"(?:{HEDGE})"))
+    return F.regexp_extract_all(text, F.lit(f"(?dU)(?:{start}(?:{match}(?:{java(OTHER_LETTER)})?|{hedge})|[.!?;\n])"), F.lit(0))
+
+
+def is_match(mark: Column) -> Column:
+    """Whether a mark is a match: those end with a letter from A to D or a sign, which hedges don't, and aren't one character long."""
+    return (F.length(mark) > 1) & ~F.rlike(mark, F.lit(r"[fertFERT]\z"))
+
+
+def doubt(found: Column, pattern: str) -> Column:
+    """Why the first doubtful match among marks is doubtful: an alternative behind it, or else a hedge before it in its clause."""
 
-    def before(lead: str, *rest: str) -> Column:
-        """Characters before the first match that has this lead, which a group takes in."""
-        found = on_jvm(*rest)
-        taken = r"\A((?s:.*?)" + on_jvm(lead).removeprefix("(?dU)(?>")
-        whole = "(?dU)" + taken + found.removeprefix("(?dU)")
-        return F.when(F.rlike(text, F.lit(whole)), F.length(F.regexp_extract(text, whole, 1)))
+    def step(state: Column, mark: Column) -> Column:
+        match = is_match(mark)
+        why = F.when(match & F.rlike(mark, F.lit(on_jvm(rf"\A(?:{pattern})", OTHER_LETTER))), F.lit("ambiguous_alternatives")).when(match & state["hedged"], F.lit("qualified_or_negated_declaration"))
+        # A match may run over the end of a line.
+        hedged = F.when(match, state["hedged"] & ~F.contains(mark, F.lit("\n"))).otherwise(F.length(mark) > 1)
+        return F.struct(hedged.alias("hedged"), F.coalesce(state["why"], why).alias("why"))
 
-    alternative, hedge = before("", pattern, OTHER_LETTER), before(hedged, pattern)
-    return F.when(alternative <= F.coalesce(hedge, alternative), F.lit("ambiguous_alternatives")).when(hedge.isNotNull(), F.lit("qualified_or_negated_declaration"))
+    start = F.struct(F.lit(False).alias("hedged"), F.lit(None).cast("string").alias("why"))
+    return F.aggregate(found, start, step, lambda state: state["why"])
 
 
 #: Kinds of declarations; doubts count in this order.
@@ -178,21 +203,34 @@ def parse_answer(text: Column, options: Column) -> Column:
 
     options: map<string,string> from letter to text. Without an answer, the rule says why.
     """
-    said = unwrapped(text)
-    option = option_said(said, options)
-    letters = {"leading_letter": named(said, LEADING)} | {kind: named(said, pattern) for kind, pattern in DECLARATIONS.items()}
-    kinds = F.filter(F.array(*[F.when(F.size(letters[kind]) > 0, F.lit(kind)) for kind in sorted(letters)]), lambda k: k.isNotNull())
-    found = F.array_distinct(F.concat(*letters.values()))
-    after_leading = F.when(F.rlike(said, F.lit(on_jvm(LEADING, OTHER_LETTER))), F.lit("ambiguous_alternatives"))
-    reason = F.coalesce(
-        after_leading,
-        *[doubt(said, pattern) for pattern in DECLARATIONS.values()],
-        F.when(F.size(found) > 1, F.lit("conflicting_declarations")),
-        F.when(F.size(found) == 0, F.lit("no_unambiguous_answer")),
-    )
-    answer = F.coalesce(option, F.when(reason.isNull(), F.get(found, F.lit(0))))
-    rule = F.when(option.isNotNull(), F.lit("exact_option_text")).otherwise(F.coalesce(reason, F.array_join(kinds, "+")))
-    return F.struct(answer.alias("answer"), rule.alias("rule"))
+    option = option_said(unwrapped(text), options)
+    read = held(unwrapped(text), lambda said: held(F.struct(said.alias("said"), *[marks(said, pattern).alias(kind) for kind, pattern in DECLARATIONS.items()]), judged))
+    return held(F.struct(option.alias("option"), read.alias("read")), lambda v: F.struct(F.coalesce(v["option"], v["read"]["answer"]).alias("answer"), F.when(v["option"].isNotNull(), F.lit("exact_option_text")).otherwise(v["read"]["rule"]).alias("rule")))
+
+
+def held(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def letters_of(found: Column, pattern: str) -> Column:
+    """The letters that the matches among marks name."""
+    return F.transform(F.filter(found, is_match), lambda m: F.regexp_extract(m, on_jvm(rf"\A(?:{pattern.replace(LETTER, LETTER_ONLY)})"), 1))
+
+
+def judged(read: Column) -> Column:
+    """struct<answer,rule> of a text (said) and its marks by kind."""
+    letters = {"leading_letter": named(read["said"], LEADING)} | {kind: letters_of(read[kind], pattern) for kind, pattern in DECLARATIONS.items()}
+    alternative = F.when(F.rlike(read["said"], F.lit(on_jvm(LEADING, OTHER_LETTER))), F.lit("ambiguous_alternatives"))
+    reason = F.coalesce(alternative, *[doubt(read[kind], pattern) for kind, pattern in DECLARATIONS.items()])
+
+    def of(v: Column) -> Column:
+        kinds = F.filter(F.array(*[F.when(F.size(v[kind]) > 0, F.lit(kind)) for kind in sorted(letters)]), lambda k: k.isNotNull())
+        different = F.array_distinct(F.concat(*[v[kind] for kind in letters]))
+        why = F.coalesce(v["reason"], F.when(F.size(different) > 1, F.lit("conflicting_declarations")).when(F.size(different) == 0, F.lit("no_unambiguous_answer")))
+        return F.struct(F.when(why.isNull(), F.get(different, F.lit(0))).alias("answer"), F.coalesce(why, F.array_join(kinds, "+")).alias("rule"))
+
+    return held(F.struct(reason.alias("reason"), *[found.alias(kind) for kind, found in letters.items()]), of)
 
 
 def parse_declared(text: Column, options: Column) -> Column:

@@ -228,12 +228,6 @@ def strict_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said(spark, sf_dir).select("conv_id", "turn", text.strict_answer(F.col("said")).alias("answer"))
 
 
-@query()
-def parse_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = F.create_map(*[x for i, k in enumerate("ABCD") for x in (F.lit(k), F.lit(f"choice {i}"))])
-    return said(spark, sf_dir).select("conv_id", "turn", text.parse_answer(F.col("said"), options).alias("a")).select("conv_id", "turn", "a.answer", "a.rule")
-
-
 PROMPT = """CASE WHEN turn % 3 = 0 THEN 'Options below.' || chr(10) || 'Question: ' || text WHEN turn % 3 = 1
 THEN 'Select the best answer to this.' || chr(10) || text || chr(10) || 'The best answer is:' ELSE text END"""
 
@@ -370,4 +364,4 @@ def incremental_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_state(spark, f"{base}/state", seen[-1])
 
 
-from . import file_queries, rule_queries  # noqa: E402, F401  they register theirs above
+from . import answer_queries, file_queries, rule_queries  # noqa: E402, F401  they register theirs above

@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from evalweave import file_queries, queries, rule_queries
+from evalweave import answer_queries, file_queries, queries, rule_queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n, f in queries.QUERIES.items() if f.__module__ in (rule_queries.__name__, file_queries.__name__)]
+NAMES = [n for n, f in queries.QUERIES.items() if f.__module__ in (answer_queries.__name__, rule_queries.__name__, file_queries.__name__)]
 
 
 def plain(row):

@@ -59,6 +59,59 @@ def test_doubts_in_order(spark):
     assert [g["answer"] for g in nothing] == ["A", None]
 
 
+def plainly(said, options):
+    """The ordered rules over positions of Python's own matches."""
+    said = re.sub(text.CODE_FENCE, "", said.strip()).strip().replace("**", "")
+    bare = lambda t: re.sub(r"\s+", " ", t.strip().strip("\"'").rstrip(".")).casefold()
+    same = [k for k, v in options.items() if bare(v) == bare(said)]
+    if len(same) == 1:
+        return same[0], "exact_option_text"
+    lead = re.match(text.LEADING, said)
+    spots = [("leading_letter", lead)] if lead else []
+    for kind, pattern in text.DECLARATIONS.items():
+        spots += [(kind, m) for m in re.finditer(pattern, said)]
+    for kind, m in spots:
+        if re.compile(text.OTHER_LETTER).match(said, m.end()):
+            return None, "ambiguous_alternatives"
+        begin = 1 + max(said.rfind(end, 0, m.start()) for end in ".!?;\n")
+        if kind != "leading_letter" and re.search(text.HEDGE, said[begin : m.start()]):
+            return None, "qualified_or_negated_declaration"
+    letters = {m[1] for _, m in spots}
+    if len(letters) == 1:
+        return letters.pop(), "+".join(sorted({kind for kind, _ in spots}))
+    return None, "conflicting_declarations" if letters else "no_unambiguous_answer"
+
+
+def test_answers_of_random_texts(spark):
+    """One scan and a fold give what the rules give one after the other."""
+    source = random.Random(11)
+    parts = [
+        "The answer is", "the best option:", "choice would be", "It's", "it is", "I'd say", "I choose", "I would go with", "answer", "A", "B", "(C)", "D.", " A", " B)", "C,", " or ", "/", " and ", "->", "\u2192", ", ",
+        "if ", "not ", "Never ", "don\u2019t ", "isn't", "example", "suppose", "ifs", "knot", ". ", "!", "?", ";", "\n", "\n\n", " ", "  ", "\t", "```text\n", "```", "**", "\u00e9", "\U0001f600", "word ", "ORDER IS\nD", "\uff1a", "'", "x",
+    ]
+    texts = ["".join(source.choice(parts) for _ in range(source.randint(1, 14))) for _ in range(4000)]
+    options = F.create_map(*[F.lit(x) for kv in OPTIONS.items() for x in kv])
+    got = values(spark, texts, text.parse_answer(F.col("text"), options))
+    wrong = [(t, (g["answer"], g["rule"]), plainly(t, OPTIONS)) for t, g in zip(texts, got, strict=True) if (g["answer"], g["rule"]) != plainly(t, OPTIONS)]
+    assert not wrong, wrong[:3]
+    assert len({g["rule"] for g in got}) >= 9
+
+
+@pytest.mark.parametrize("unit", ["if not the word ", "the ", "answer ", "   ", "The answer is A. ", "If the answer is A or so, ", "`` ` ", "\n", "'.", "it is not "])
+def test_answers_of_long_texts(spark, unit):
+    """The time for a text of a million characters is a small multiple of that for its reading: no part is read again and again."""
+    import time
+
+    options = F.create_map(*[F.lit(x) for kv in OPTIONS.items() for x in kv])
+    seconds = {}
+    for size in (1_000, 1_000_000):
+        rows = [f"x {unit * (size // len(unit))} y"]
+        began = time.time()
+        values(spark, rows, text.parse_answer(F.col("text"), options))
+        seconds[size] = time.time() - began
+    assert seconds[1_000_000] < 12 + seconds[1_000]
+
+
 def test_parse_declared(spark):
     options = F.create_map(*[F.lit(x) for kv in OPTIONS.items() for x in kv])
     cases = [("Answer: B", "B"), ("(C) yes", "C"), ("A or B", None), ("I say the answer is B", None), ("calm", "C"), ("Answer: A\nAnswer: B", None)]
