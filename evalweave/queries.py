@@ -364,4 +364,4 @@ def incremental_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_state(spark, f"{base}/state", seen[-1])
 
 
-from . import answer_queries, file_queries, rule_queries  # noqa: E402, F401  they register theirs above
+from . import answer_queries, file_queries, rule_queries, stream_queries  # noqa: E402, F401  they register theirs above

@@ -1,7 +1,7 @@
 """Scores that follow a growing log.
 
-The file source sees new files, not bytes added to old ones, so a log is a folder to which every batch adds files.
-State is one row for each question, its newest record, merged by order; a batch reads the state and the new rows only.
+A log is a folder to which every batch adds files, or one followed by bytes (sources/growing_log). State is one row for
+each question, its newest record, kept by the state store; a batch costs its own rows.
 Partial summaries have no intervals: those come once every planned question is complete.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.records import latest
 from ..sources.logs import _file, exists
+from .keyed_state import follow_newest
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -27,30 +28,24 @@ def stream_files(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return reader.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
 
 
-def merge_latest(old: DataFrame | None, new: DataFrame, key: str = "qid", order: str = "ord") -> DataFrame:
-    return latest(new if old is None else old.unionByName(new), key, order)
-
-
 def follow_log(stream: DataFrame, state: str, report: Callable[[DataFrame, int], None], checkpoint: str, key: str = "qid", order: str = "ord", every: str | None = None) -> StreamingQuery:
-    """Keeps the newest record of each key under state/<batch> and calls report with it after each batch.
+    """Keeps the newest record of each key in the state store and calls report with all of them after each batch.
 
-    A batch that runs again after a failure starts from the state before it and writes the same. every: a pause such as
-    "300 seconds"; without it, all that is there is read once.
+    A batch writes the states that it changed under state/<batch> and no others; one that runs again after a failure
+    writes the same. every: a pause such as "300 seconds"; without it, all that is there is read once.
     """
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = next((p for n in range(number - 1, -1, -1) if exists(spark, f"{(p := f'{state}/{n}')}/_SUCCESS")), None)
-        old = spark.read.parquet(before) if before else None
-        merge_latest(old, batch, key, order).write.mode("overwrite").parquet(f"{state}/{number}")
-        report(spark.read.parquet(f"{state}/{number}"), number)
+    def step(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{state}/{number}")
+        report(newest_state(changed.sparkSession, state, number, key, order), number)
 
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    return follow_newest(stream, step, checkpoint, key, order, every)
 
 
-def newest_state(spark: SparkSession, state: str, batch: int) -> DataFrame:
-    return spark.read.parquet(f"{state}/{batch}")
+def newest_state(spark: SparkSession, state: str, batch: int, key: str = "qid", order: str = "ord") -> DataFrame:
+    """The newest record of each key as of a batch."""
+    folders = [f"{state}/{n}" for n in range(batch + 1) if exists(spark, f"{state}/{n}/_SUCCESS")]
+    return latest(spark.read.parquet(*folders), key, order)
 
 
 def partial_counts(state: DataFrame, planned: DataFrame, key: str = "qid") -> DataFrame:
