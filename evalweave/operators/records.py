@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import running_sums
+from .staging import settle
 
 
 def latest(records: DataFrame, key: str = "qid", order: str = "ord") -> DataFrame:
@@ -23,8 +24,21 @@ def latest_strict(records: DataFrame, key: str = "qid", order: str = "ord") -> D
 
 
 def with_previous(records: DataFrame, column: str = "status", key: str = "qid", order: str = "ord") -> DataFrame:
-    """The value of the record before, in each key."""
-    return records.withColumn(f"previous_{column}", F.lag(column).over(Window.partitionBy(key).orderBy(order)))
+    """The value of the record before, in each key.
+
+    Rows are dealt by ranges of key and order, so a key that holds most of them is split; a range's first row takes what
+    the range before ends with. Orders differ within a key. Null keys are one key.
+    """
+    n = max(1, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = settle(records.repartitionByRange(n, key, order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(key, order)
+    mine = F.struct(F.col(key).alias("key"), F.col(column).alias("value"))
+    # A row for each range.
+    ends = dealt.groupBy("_part").agg(F.max_by(mine, F.struct(key, order)).alias("_end"))
+    before = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_before"))
+    found = dealt.withColumn("_last", F.lag(mine).over(inside)).withColumn("_first", F.row_number().over(inside) == 1).join(F.broadcast(before), "_part")
+    last = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_last"))
+    return found.withColumn(f"previous_{column}", F.when(last["key"].eqNullSafe(F.col(key)), last["value"])).select(*records.columns, f"previous_{column}")
 
 
 def running_errors(records: DataFrame, wrong, order: list[str]) -> DataFrame:

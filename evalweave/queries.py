@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .functions import numeric, text
 from .operators import checks, records, sampling, scoring
-from .operators.bootstrap import bootstrap_interval
+from .functions.twister import seeded
+from .operators.bootstrap import HIGH, LOW, REPEATS, SEED, bootstrap_interval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,7 +167,29 @@ def cluster_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.cluster_partials(scored(spark, sf_dir), "agent", "baseline")
 
 
-@query()
+def twister_sql(state: list[int], words: str, shares: str) -> str:
+    """Tables t (pos, w: tempered words of the Mersenne twister in order) and what is made of them, from the seeded state."""
+    twisted = "xor(((({0}) & 2147483648) | (({1}) & 2147483647)) >> 1, ({1} & 1) * 2567483615)"
+    return f""",
+s0(k, s) AS (SELECT 0, {state}::BIGINT[] UNION ALL SELECT k + 1, list_concat(list_concat(a, b), list_transform(range(454, 624), lambda i: xor(b[i - 453], {twisted.format("s[i + 1]", "(CASE WHEN i = 623 THEN a[1] ELSE s[i + 2] END)")})))
+  FROM (SELECT *, list_transform(range(227, 454), lambda i: xor(a[i - 226], {twisted.format("s[i + 1]", "s[i + 2]")})) AS b
+    FROM (SELECT *, list_transform(range(227), lambda i: xor(s[i + 398], {twisted.format("s[i + 1]", "s[i + 2]")})) AS a FROM s0 WHERE k * 624 < ({words}))))
+, t1 AS (SELECT (k - 1) * 624 + i AS pos, xor(s[i + 1], s[i + 1] >> 11) AS w FROM s0, range(624) r(i) WHERE k > 0),
+t2 AS (SELECT pos, xor(w, (w << 7) & 2636928640) AS w FROM t1), t3 AS (SELECT pos, xor(w, (w << 15) & 4022730752) AS w FROM t2), t AS (SELECT pos, xor(w, w >> 18) AS w FROM t3),
+{shares}"""
+
+
+BOOTSTRAP_SQL = PAIR_SQL.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """, c AS (SELECT sum(a::INT - b::INT)::BIGINT AS difference, count(*) AS n, min(qid) AS first_ord FROM p GROUP BY cluster),
+o AS (SELECT list(difference ORDER BY first_ord) AS ds, list(n ORDER BY first_ord) AS ns, count(*) AS size FROM c)""" + twister_sql(
+    seeded(SEED).get_state()[1].tolist(), f"SELECT {2 * REPEATS} * size FROM o",
+    f"""u AS (SELECT x.pos // 2 AS pos, ((x.w >> 5) * 67108864.0::DOUBLE + (y.w >> 6)) / 9007199254740992.0::DOUBLE AS u FROM t x JOIN t y ON x.pos % 2 = 0 AND y.pos = x.pos + 1),
+i AS (SELECT pos // size AS r, 1 + floor(u * size)::BIGINT AS i FROM u, o WHERE pos < {REPEATS} * size),
+h AS (SELECT r, 100.0::DOUBLE * sum(ds[i]) / sum(ns[i]) AS share FROM i, o GROUP BY r), l AS (SELECT list(share ORDER BY share) AS l FROM h)
+SELECT l[{LOW + 1}] AS low, l[{HIGH + 1}] AS high, size AS clusters, {REPEATS}::INT AS bootstrap_repeats FROM l, o WHERE size > 0""",
+)
+
+
+@query(BOOTSTRAP_SQL)
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap_interval(cluster_partials(spark, sf_dir))
 
@@ -263,12 +286,12 @@ def snippet_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", starts.alias("s")).select("doc_id", F.get("s", F.lit(1)).alias("second"), F.get("s", F.lit(7)).alias("eighth"))
 
 
-@query("""WITH d AS (SELECT doc_id, n_chars / 3.0::DOUBLE AS center, n_chars / 2.0::DOUBLE AS duration FROM documents WHERE n_chars > 0),
+@query("""WITH d AS (SELECT doc_id, n_chars / 3.0::DOUBLE AS center, n_chars / 2.0::DOUBLE AS duration FROM documents),
 w AS (SELECT doc_id, least(12.0::DOUBLE, duration) AS width, center, duration FROM d),
 s AS (SELECT doc_id, width, least(greatest(center - width / 2, 0.0), duration - width) AS start FROM w) SELECT doc_id, start, start + width AS stop FROM s""")
 def window_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = numeric.window_bounds(F.col("n_chars") / F.lit(3.0), F.col("n_chars") / F.lit(2.0))
-    return table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", start.alias("start"), end.alias("stop"))
+    return table(spark, sf_dir, "documents").select("doc_id", start.alias("start"), end.alias("stop"))
 
 
 @query("""WITH p AS (SELECT p_partkey, (100 + p_size * 20)::DOUBLE AS h, floor(p_retailprice)::DOUBLE AS w FROM part),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.checks import QUESTION_COUNTS, required, stays_inside, unique, valid_options
+from .growing_log import read_log
 
 ORD = "struct<file:int,block:bigint,line:bigint>"
 
@@ -55,12 +56,12 @@ def read_lines(spark: SparkSession, paths: list[str], torn: str = "ignore") -> D
     for k, path in enumerate(paths):
         if not exists(spark, path):
             continue
-        lines = spark.read.text(path, lineSep="\n").select("value", F.struct(F.lit(k).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"))
         if torn == "ignore" and ends_torn(spark, path):
-            last = lines.agg(F.max("ord").alias("last"))  # one row
-            # The value itself depends on its place, so that no later predicate is computed on the torn line.
-            lines = lines.crossJoin(F.broadcast(last)).select(F.when(F.col("ord") < F.col("last"), F.col("value")).alias("value"), "ord")
-        parts.append(lines)
+            # Read by bytes up to the last line feed, in one pass.
+            lines, block, line = read_log(spark, [path]), F.col("at"), F.lit(0).cast("long")
+        else:
+            lines, block, line = spark.read.text(path, lineSep="\n"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+        parts.append(lines.select("value", F.struct(F.lit(k).alias("file"), block.alias("block"), line.alias("line")).alias("ord")))
     if not parts:
         return spark.createDataFrame([], f"value string, ord {ORD}")
     out = parts[0]
