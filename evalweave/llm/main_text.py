@@ -11,7 +11,9 @@
    container, or without text in it, uses its own best container.
 
 Furniture inside the winning container (menus, asides, forms, adverts, notices, reader comments, hidden parts) is left
-out. Null or empty html gives an empty text. A null url, or one without a host, belongs to the host ''. Repeated rows
+out. Tags and roles tell it; a class name or id only makes an element a suspect, by its words and not if it tells of a
+state (``has-sidebar``, ``comments-off``). A suspect that holds the article, a heading of the first order or nearly all text
+of the page isn't furniture, and one under an ambiguous name (``social``, ``share``) only if it is short or mostly links. Null or empty html gives an empty text. A null url, or one without a host, belongs to the host ''. Repeated rows
 are pages like any others (they vote each). An empty table gives an empty result. Other columns are ignored. No page
 is cut; memory is one batch of pages. The table of winning paths is broadcast if it has at most ``BROADCAST_HOSTS``
 rows and joined by a shuffle otherwise.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, settle, task_batches
 
-BROADCAST_HOSTS, VOTES = 50_000, 3
+BROADCAST_HOSTS = 50_000
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -46,11 +48,17 @@ CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th"
 SCOPE = frozenset("ul ol dl table article section div body main".split())
 FURNITURE_TAGS = frozenset("head header nav footer aside form button dialog menu fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promos?|promotion\w*|banner|sidebar|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notices?|alerts?"
-    r"|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|reply|respond|widgets?|toolbar|header|pagination|pager|login|signup|search)(?:$|[\s_-])",
-    re.I,
+#: Words of class names and ids that name furniture by themselves, and those that articles are about as well.
+NAMED = re.compile(
+    r"ads?|adverts?|advertis\w*|sponsor\w*|promos?|banner|sidebar|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notices?"
+    r"|popup|newsletter|subscribe|comments?|commentlist|disqus|widgets?|toolbar|pagination|pager|login|signup", re.I,
 )
+AMBIGUOUS = re.compile(r"promotions?|alerts?|modal|overlay|subscription|share|sharing|social|related|recommend\w*|replies|reply|respond|header|search", re.I)
+#: Words that make a name tell of a state ("has-sidebar", "comments-off") or a subject ("share-of-income"), not of a part.
+STATES = frozenset("has have no not non with without off on of is are and or the for free open opened closed enabled disabled hidden collapsed active".split())
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+#: An element under an ambiguous name is furniture if its text is shorter than this or a third of it is links.
+SHORT = 140
 #: Elements of running text: their classes don't make them furniture.
 TEXT_TAGS = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
 #: Characters of a path; the upper part of a longer one is replaced by its digest.
@@ -60,13 +68,33 @@ DIGITS = re.compile(r"\d+")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+SURE = -1
+
+
+def suspicion(names: str) -> int:
+    """2 if a class name or id names furniture, 1 if one may, 0 if none does."""
+    found = 0
+    for name in names.split():
+        words = WORDS.findall(name)
+        if not any(w.lower() in STATES for w in words):
+            # "side-bar" and "nav-bar" are their words together.
+            some = [*words, *[a + b for a, b in zip(words, words[1:], strict=False)]]
+            found = max(found, 2 if any(map(NAMED.fullmatch, some)) else 1 if any(map(AMBIGUOUS.fullmatch, some)) else 0)
+    return found
+
+
 class Page:
-    """Blocks in page order as (container, text, letters in links, furniture?) and containers as (parent, path, depth, tag)."""
+    """Blocks in page order as (container, text, letters in links, furniture?) and containers as (parent, path, depth, tag).
+
+    While it is read, a block's last field is SURE, 0, or the number of the innermost suspect (an element whose names
+    sound like furniture) that it is in; what a suspect holds decides about it once the page is known.
+    """
 
     def __init__(self, html: str):
         self.nodes: list[tuple[int, str, int, str]] = [(-1, "", 0, "")]
-        self.blocks: list[tuple[int, str, int, bool]] = []
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, inside furniture, inside a link
+        self.blocks: list[tuple[int, str, int, int]] = []
+        self.suspects: list[list] = [[0, 2, False]]  # the suspect around, its suspicion, whether it holds an article
+        stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, container, furniture, inside a link
         parts: list[str] = []
         link, at = 0, 0
 
@@ -127,19 +155,44 @@ class Page:
         if at < len(html):
             parts.append(html[at:])
         flush()
+        self.judge()
+
+    def judge(self) -> None:
+        """Decides about suspects: never one that holds an article or nearly all text; an ambiguous one by its length and links."""
+        size, links = [0] * len(self.suspects), [0] * len(self.suspects)
+        for _, text, link, mark in self.blocks:
+            if mark != SURE:
+                size[mark] += len(text)
+                links[mark] += link
+        for k in range(len(size) - 1, 0, -1):
+            size[self.suspects[k][0]] += size[k]
+            links[self.suspects[k][0]] += links[k]
+        guilty = [False] * len(size)
+        for k, (around, suspected, article) in enumerate(self.suspects):
+            own = k > 0 and not article and 10 * size[k] <= 9 * size[0] and (suspected == 2 or size[k] < SHORT or 3 * links[k] >= size[k])
+            guilty[k] = own or guilty[around]
+        self.blocks = [(node, text, link, mark == SURE or guilty[mark]) for node, text, link, mark in self.blocks]
 
     def open(self, tag: str, attributes: str, stack: list, flush) -> None:
         _, node, furniture, linked = stack[-1]
         names = ""
-        if not furniture:
-            furniture = tag in FURNITURE_TAGS
+        if furniture != SURE and tag in FURNITURE_TAGS:
+            furniture = SURE
+        elif furniture > 0 and tag in ("article", "main", "h1"):
+            k = furniture
+            while k:
+                self.suspects[k][2] = True
+                k = self.suspects[k][0]
         if attributes and not attributes.isspace():
             got = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes)}
             names = got.get("class", "")
-            if not furniture:
-                marks = f"{names} {got.get('id', '')}"
-                furniture = "hidden" in got or got.get("aria-hidden") == "true" or got.get("role") in FURNITURE_ROLES or bool(HIDDEN.search(got.get("style", ""))) or tag not in TEXT_TAGS and bool(FURNITURE.search(marks))
-                if furniture:
+            if furniture != SURE:
+                if "hidden" in got or got.get("aria-hidden") == "true" or got.get("role") in FURNITURE_ROLES or HIDDEN.search(got.get("style", "")):
+                    furniture = SURE
+                    flush()
+                elif tag not in TEXT_TAGS and (suspected := suspicion(f"{names} {got.get('id', '')}")):
+                    self.suspects.append([furniture, suspected, False])
+                    furniture = len(self.suspects) - 1
                     flush()
         if tag in CONTAINER:
             step = ".".join([tag, *sorted({DIGITS.sub("#", x) for x in names.split()})])
@@ -161,13 +214,14 @@ class Page:
             out.append(score * (1 + 0.01 * depth + 0.1 * (last in ("article", "main"))) if score > 0 else score)
         return out
 
-    def votes(self) -> list[tuple[str, float]]:
+    def votes(self) -> list[tuple[str, int]]:
+        """Paths with their votes in millionths, as far as there is a whole millionth."""
         best: dict[str, float] = defaultdict(float)
         for (_, path, _, _), score in zip(self.nodes, self.scores(), strict=True):
             if path and score > best[path]:
                 best[path] = score
-        top = sorted(((s, p) for p, s in best.items() if s > 0), key=lambda x: (-x[0], x[1]))[:VOTES]
-        return [(p, 4.0**-k) for k, (_, p) in enumerate(top)]
+        top = sorted(((s, p) for p, s in best.items() if s > 0), key=lambda x: (-x[0], x[1]))
+        return [(p, vote) for k, (_, p) in enumerate(top) if (vote := 1_000_000 >> 2 * k)]
 
     def text(self, path: str | None) -> str:
         chosen = {i for i, node in enumerate(self.nodes) if node[1] == path} if path else set()
@@ -190,11 +244,11 @@ def count_votes(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in task_batches(batches, "main_text"):
-        sums: dict[tuple[str, str], float] = defaultdict(float)
+        sums: dict[tuple[str, str], int] = defaultdict(int)
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
             for path, vote in Page(html.as_py() or "").votes():
-                sums[host, path] += round(vote * 1e6)  # whole numbers: sums don't depend on order
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([int(v) for v in sums.values()], pa.int64())], names=["host", "path", "votes"])
+                sums[host, path] += vote
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], names=["host", "path", "votes"])
 
 
 def extract(batches: Iterator) -> Iterator:

@@ -41,6 +41,27 @@ def test_page_blocks():
     assert Page("a < b & c &#x41;").text(None) == "a < b & c A"
 
 
+@pytest.mark.parametrize("wrap", [
+    '<div class="content has-sidebar">%s</div><p>foot of page</p>', '<div class="layout no-sidebar">%s</div><p>foot</p>', '<div id="post-comments-off">%s</div><p>foot</p>', '<main><div class="no-comments post">%s</div></main>',
+    '<div class="pageWithSidebar">%s</div>', '<div class="widget"><h1>Head</h1>%s</div>', '<div class="menu-open"><div class="post">%s</div></div>',
+])
+def test_states_of_a_layout_are_no_furniture(wrap):
+    article = "<p>" + "The article goes on for a while. " * 8 + "</p><p>It ends here.</p>"
+    text = Page(wrap % article).text(None)
+    assert "The article goes on" in text and "It ends here." in text
+
+
+def test_names_of_parts_and_subjects():
+    prose = "Long words about a subject that people study, and nothing else at all. " * 4
+    around = "<article><h1>Head</h1><p>" + "Running text of the article. " * 30 + "</p>%s<p>The end.</p></article>"
+    for kept in ("social science", "share-of-income", "related-rates", "search-theory", "reply"):
+        assert prose.strip() in Page(around % f'<div class="{kept}"><p>{prose}</p></div>').text(None)
+    for gone in ("comments", "comment-list", "post-comments", "siteFooter", "cookie-notice", "notice", "side-bar", "newsletter-signup", "ad", "ad-slot main-ad", "sidebar-left", "advertisement"):
+        assert prose.strip() not in Page(around % f'<div class="{gone}"><p>{prose}</p></div>').text(None)
+    for gone in ('<div class="share"><a href="x">Send this to all of your friends</a></div>', '<div class="related-posts"><a href="x">' + prose + "</a></div>", '<ul class="social"><li>Follow us</ul>'):
+        assert Page(around % gone).text(None) == Page(around % "").text(None)
+
+
 def test_hosts_vote(spark):
     odd = '<html><body><div class="main">Short but right.</div><div class="other">%s</div></body></html>' % ("long words here " * 40)
     rows = [(i, f"http://a.example/{i}", (PAGE % i), "x") for i in range(4)] + [(9, "https://A.example:80/y", '<html><body><div class="post-1"><p>Little.</p></div><div><p>%s</p></div></body></html>' % ("much more text " * 9), "x")]
