@@ -42,8 +42,9 @@ def with_previous(records: DataFrame, column: str = "status", key: str = "qid",
 
 
 def running_errors(records: DataFrame, wrong, order: list[str]) -> DataFrame:
-    """Rows with wrong and seen counts so far, in order over all rows."""
-    return running_sums(records, order, {"wrong_so_far": wrong.cast("long"), "seen_so_far": F.lit(1).cast("long")})
+    """Rows with wrong and seen counts and the rate of wrong ones so far, in order over all rows."""
+    summed = running_sums(records, order, {"wrong_so_far": wrong.cast("long"), "seen_so_far": F.lit(1).cast("long")})
+    return summed.withColumn("error_rate", F.col("wrong_so_far") / F.col("seen_so_far"))
 
 
 def progress(rows: DataFrame, records: DataFrame, key: str = "qid", order: str = "ord") -> DataFrame:

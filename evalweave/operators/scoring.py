@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import percent, percent_required
+from ..functions.numeric import percent, percent_required, round_decimals
 
 METHODS = ("baseline", "fixed", "agent")
 #: Logical calls of a method for a question.
@@ -137,6 +137,7 @@ def call_costs(arms: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def level_rollup(rows: DataFrame, levels: list[str], correct: Column) -> DataFrame:
-    """level, name, matched, total: each level on its own, not nested."""
+    """level, name, matched, total, accuracy (percent, two decimals): each level on its own, not nested."""
     each = rows.withColumn("_ok", correct.cast("int")).select("_ok", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("level"), F.col(c).cast("string").alias("name")) for i, c in enumerate(levels)])).alias("l"))
-    return each.groupBy("l.level", "l.name").agg(F.sum("_ok").alias("matched"), F.count(F.lit(1)).alias("total"))
+    counted = each.groupBy("l.level", "l.name").agg(F.sum("_ok").alias("matched"), F.count(F.lit(1)).alias("total"))
+    return counted.withColumn("accuracy", round_decimals(F.col("matched") / F.col("total") * 100, 2))

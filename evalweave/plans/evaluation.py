@@ -12,9 +12,8 @@ from ..operators.checks import parity
 from ..operators.records import latest
 from ..operators.staging import settle
 
-#: What must agree between a direct call and its historical record, and between a call and its repeat.
+#: What must agree between a direct call and its historical record.
 MEDIA_KEYS = ["frames", "audio_sha256", "video_tensor_sha256", "raw_frames_sha256", "input_tokens", "audio_tokens", "video_tokens"]
-REPEAT_KEYS = ["model_output", "generated_tokens", "audio_sha256", "video_tensor_sha256", "raw_frames_sha256", "input_tokens"]
 #: The contrasts that a complete run reports.
 CONTRASTS = (("agent", "baseline"), ("agent", "fixed"), ("fixed", "baseline"))
 
@@ -103,9 +102,9 @@ def pilot_gate(predictions: DataFrame, history: DataFrame) -> DataFrame:
     return checks
 
 
-def evaluate_files(spark: SparkSession, questions: str, labels: str, history: list[str], predictions: str, dataset: str, model: str) -> dict:
-    """The same from files."""
+def evaluate_files(spark: SparkSession, questions: str, labels: str, history: list[str], predictions: str, dataset: str, model: str, digest: str | None = None, count: int | None = None) -> dict:
+    """The same from files. The questions must be as many as the dataset has, or `count`, and their file have the digest, if one is given."""
     from ..sources.logs import read_history, read_labels, read_questions, read_records
 
-    rows = read_questions(spark, questions, dataset, count=spark.read.text(questions).count())
+    rows = read_questions(spark, questions, dataset, digest, count)
     return evaluate(rows, read_labels(spark, labels, dataset), read_history(spark, history), read_records(spark, predictions), dataset, model)

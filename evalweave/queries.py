@@ -321,17 +321,18 @@ def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.select(F.col("n").alias("calls"), "questions", "mean_end_to_end_call_seconds", "mean_generated_tokens", "intermediate_token_limits", "final_token_limits", "tool_fallbacks")
 
 
-@query("""SELECT level, name, matched, total FROM (SELECT CASE WHEN grouping(p_brand) = 0 THEN 1 WHEN grouping(p_type) = 0 THEN 2 ELSE 3 END AS level, coalesce(p_brand, p_type, p_size::VARCHAR) AS name,
+@query("""SELECT level, name, matched, total, round_even(matched::DOUBLE / total * 100, 2) AS accuracy FROM (SELECT CASE WHEN grouping(p_brand) = 0 THEN 1 WHEN grouping(p_type) = 0 THEN 2 ELSE 3 END AS level, coalesce(p_brand, p_type, p_size::VARCHAR) AS name,
 sum(CASE WHEN p_retailprice > 1000 THEN 1 ELSE 0 END)::BIGINT AS matched, count(*) AS total FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), (p_size)))""")
 def level_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.level_rollup(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"], F.col("p_retailprice") > 1000)
 
 
-@query("""SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS wrong_so_far, count(*) OVER w AS seen_so_far FROM events
+@query("""SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS wrong_so_far, count(*) OVER w AS seen_so_far,
+sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w / (count(*) OVER w)::DOUBLE AS error_rate FROM events
 WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def running_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return records.running_errors(rows, F.col("event_type") == "error", ["event_id"]).select("event_id", "wrong_so_far", "seen_so_far")
+    return records.running_errors(rows, F.col("event_type") == "error", ["event_id"]).select("event_id", "wrong_so_far", "seen_so_far", "error_rate")
 
 
 @query("""WITH h AS (SELECT c_custkey, strpos('0123456789abcdef', right(sha256(c_custkey::VARCHAR), 1)) - 1 AS x FROM customer)
@@ -387,4 +388,4 @@ def incremental_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_state(spark, f"{base}/state", seen[-1])
 
 
-from . import answer_queries, file_queries, rule_queries, stream_queries  # noqa: E402, F401  they register theirs above
+from . import answer_queries, file_queries, plan_queries, rule_queries, stream_queries  # noqa: E402, F401  they register theirs above

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalweave.plans import campaign, inference, prompts
 from evalweave.plans.evaluation import evaluate, evaluate_files, pilot_gate
+from evalweave.plans.ledger import Ledger
 from evalweave.sources import logs, media, sinks
 from evalweave.streaming.rescore import follow_log, partial_counts
 
@@ -43,6 +44,43 @@ def test_prompts_are_filled(spark):
     assert "[1.000, 13.000]" in got["l"] and "before" in got["l"] and got["f"].endswith("Q <<duration>>")
 
 
+def test_a_run_that_goes_on_asks_nothing_twice(spark, tmp_path):
+    """A model that fails in the second look; what it had answered by then is kept, also in the task that failed."""
+    asked = str(tmp_path / "asked")
+
+    def counting(fails):
+        def infer(batches):
+            import os
+            import uuid
+
+            os.makedirs(asked, exist_ok=True)
+            for rows in batches:
+                for i in range(len(rows)):
+                    one = rows.iloc[i : i + 1]
+                    if fails and one["stage"].iloc[0] == "agent_inspect_2" and one["qid"].iloc[0] == "q3":
+                        raise RuntimeError("gone")
+                    with open(f"{asked}/{one['qid'].iloc[0]}.{one['stage'].iloc[0]}.{uuid.uuid4().hex}", "w"):
+                        pass
+                    yield from stub([one])
+
+        return infer
+
+    rows = spark.createDataFrame([(f"q{i}", *QUESTION.values(), 30.0) for i in range(6)], "qid string, question_prompt string, clip_path string, task string, duration double").coalesce(2)
+    policy, ledger = prompts.audio_policy(F.lit("joint"), F.lit("omni")), Ledger(spark, str(tmp_path / "ledger"))
+    with pytest.raises(ValueError, match="agent_inspect_2: RuntimeError: gone"):
+        inference.run_questions(rows, policy, counting(True), ledger=ledger)
+    before = len(list((tmp_path / "asked").iterdir()))
+    assert 6 + 6 <= before < 6 + 6 + 6
+    out = inference.run_questions(rows, policy, counting(False), ledger=ledger)
+    assert out.count() == 6
+    names = [f.name.rsplit(".", 1)[0] for f in (tmp_path / "asked").iterdir()]
+    assert len(names) == len(set(names)) == 6 * 7
+    again = inference.run_questions(rows, policy, counting(True), ledger=ledger)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect())) and len(list((tmp_path / "asked").iterdir())) == 42
+    inference.run_questions(rows.withColumn("question_prompt", F.lit("Another? A. 1 B. 2 C. 3 D. 4")), policy, counting(False), ledger=ledger)
+    assert len(list((tmp_path / "asked").iterdir())) == 84
+
+
 def test_bad_model_output_fails(spark):
     def silent(batches):
         for rows in batches:
@@ -70,7 +108,7 @@ def files(tmp_path):
 
 def test_evaluation_from_files(spark, files):
     f = str(files)
-    out = evaluate_files(spark, f"{f}/questions.jsonl", f"{f}/labels.json", [f"{f}/old0.jsonl", f"{f}/old3.jsonl"], f"{f}/new.jsonl", "joint", "omni")
+    out = evaluate_files(spark, f"{f}/questions.jsonl", f"{f}/labels.json", [f"{f}/old0.jsonl", f"{f}/old3.jsonl"], f"{f}/new.jsonl", "joint", "omni", count=4)
     methods = {r["method"]: r for r in out["methods"].collect()}
     assert {m: (r["planned_n"], r["observed_n"], r["correct"]) for m, r in methods.items()} == {"baseline": (4, 4, 2), "agent": (4, 4, 3), "fixed": (4, 4, 2)}
     assert methods["agent"]["mean_end_to_end_call_seconds"] == 3.0 and methods["baseline"]["mean_end_to_end_call_seconds"] == 2.0
@@ -87,7 +125,7 @@ def test_partial_run_has_no_contrasts(spark, files):
     lines = (files / "new.jsonl").read_text().splitlines(keepends=True)
     (files / "new.jsonl").write_text("".join(lines[:3]) + lines[3][:20])  # a writer is in the middle of a line
     f = str(files)
-    out = evaluate_files(spark, f"{f}/questions.jsonl", f"{f}/labels.json", [f"{f}/old0.jsonl", f"{f}/old3.jsonl"], f"{f}/new.jsonl", "joint", "omni")
+    out = evaluate_files(spark, f"{f}/questions.jsonl", f"{f}/labels.json", [f"{f}/old0.jsonl", f"{f}/old3.jsonl"], f"{f}/new.jsonl", "joint", "omni", count=4)
     assert out["pairs"]["observed"] == 2 and out["pairs"]["agent_vs_fixed"] is None
     with pytest.raises(Exception):
         logs.read_records(spark, f"{f}/new.jsonl", torn="fail").collect()
