@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .operators.ordering import running_sums
 from .operators.staging import settle, shared_dir
 from .queries import query, table
-from .sources import logs, sinks
+from .sources import logs, shards, sinks
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -19,8 +20,8 @@ def place(spark: SparkSession, name: str) -> str:
 
 def one_file(df: DataFrame, path: str, end: str = "\n") -> str:
     """Writes a table of one text column as one file, lines ended by `end`, and says which."""
-    df.coalesce(1).write.option("lineSep", end).text(path)
-    return df.sparkSession.read.text(path).inputFiles()[0]
+    sinks.write_lines(df, path, df.columns, df.columns[0], end)
+    return path
 
 
 NATIONS = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -143,6 +144,38 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.report_lines(rows)
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders")
+def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that is one JSON array of rows in order, put together from the parts of many tasks, read as text and as a document."""
+    path = place(spark, "array")
+    sinks.write_json_array(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), path, ["o_orderkey"])
+    lines = logs.read_log(spark, [path], block=1 << 20).where("value not in ('[', ']')")
+    rows = lines.select("at", F.from_json(F.rtrim(F.col("value"), F.lit(",")), "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderstatus string", {"mode": "FAILFAST"}).alias("r"))
+    if logs.read_document(spark, path, "o_orderkey bigint").count() != rows.count():
+        raise ValueError("the array has other rows")
+    ranked = running_sums(rows.select("r.*", "at"), ["at"], {"place": F.lit(1).cast("long")})
+    return ranked.drop("at").withColumn("place", F.col("place") - 1)
+
+
+@query("SELECT vec_id::VARCHAR AS key, len(embedding)::INT AS size, embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last, 4 * len(embedding)::BIGINT AS bytes FROM embeddings WHERE label = 3")
+def shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wanted vectors out of shards of all, by the ranges that the shards' headers tell: only their bytes are read."""
+    path, rows = place(spark, "shards"), table(spark, sf_dir, "embeddings")
+    shards.write_shards(rows.select(F.col("vec_id").alias("key"), F.col("embedding").alias("values")), path, 8)
+    found = shards.look_up(rows.where("label = 3").select(F.col("vec_id").alias("key")), shards.shard_index(spark, path))
+    return found.select("key", F.size("values").alias("size"), F.get("values", F.lit(0)).cast("double").alias("first"), F.element_at("values", -1).cast("double").alias("last"), "bytes")
+
+
+@query("SELECT c_custkey::VARCHAR AS qid, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+def large_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON object with an entry for every row, read entry by entry."""
+    path = place(spark, "object")
+    entry = F.concat(F.to_json(F.struct(F.col("c_custkey").cast("string").alias("k"))), F.lit(""), F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")).alias("v"))))
+    lines = table(spark, sf_dir, "customer").select("c_custkey", F.regexp_replace(F.regexp_replace(entry, r'^\{"k":', ""), r'\}\{"v":(.*)\}$', ": $1").alias("value"))
+    sinks.write_lines(lines, path, ["c_custkey"], "value", ",\n", "{", "}", between=True)
+    return logs.read_keyed(spark, path, "struct<name:string,balance:double,segment:string>").select("qid", "value.*")
+
+
 @query("SELECT p_partkey, p_name FROM part")
 def settled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An intermediate table in the shared folder."""

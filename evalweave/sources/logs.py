@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.checks import QUESTION_COUNTS, required, stays_inside, unique, valid_options
 from .growing_log import read_log
+from .large_files import keyed_entries, with_digests
 
 ORD = "struct<file:int,block:bigint,line:bigint>"
 
@@ -86,9 +87,11 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_keyed(spark: SparkSession, path: str, value: str, key: str = "qid", name: str = "value") -> DataFrame:
-    """A file that is one JSON object: a row for each key."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", f"map<string,{value}>", {"mode": "FAILFAST"})).alias(key, name))
+    """A file that is one JSON object, of any size: a row for each key."""
+    entries = keyed_entries(spark, [path])
+    # Values of other types than objects and arrays are read as those of an object of one.
+    read = F.from_json(F.concat(F.lit('{"v":'), "json", F.lit("}")), f"v {value}", {"mode": "FAILFAST"})
+    return entries.select(F.col("key").alias(key), read["v"].alias(name))
 
 
 def read_labels(spark: SparkSession, path: str, dataset: str) -> DataFrame:
@@ -120,8 +123,9 @@ def digests(spark: SparkSession, path: str, suffix: str = "", without: tuple[str
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    files = reader.load(path).select("path", F.sha2("content", 256).alias("digest"))
-    return files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, without)))) if without else files
+    files = reader.load(path).select("path")  # names alone; the content is read in blocks
+    kept = files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, without)))) if without else files
+    return with_digests(kept)
 
 
 def digest_map(files: DataFrame) -> DataFrame:
