@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .queries import SAID, query, said, table
+from .queries import ORACLES, SAID, query, said, table
 
 # What leads a letter in each kind of declaration, hedges, and alternatives, in the dialect of the SQL.
 LEADS = {
@@ -70,3 +70,37 @@ def answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer rules over declarations, alternatives, hedges, conflicts and repeated options."""
     rows = table(spark, sf_dir, "conversations").selectExpr("*", "(conv_id + turn) % 16 AS k", "chr(65 + conv_id % 4) AS x", "chr(65 + (conv_id + 1) % 4) AS y")
     return parsed(rows.select("conv_id", "turn", F.expr(FORMS).alias("said")))
+
+
+LINE_LEAD = r"^\s*(?:the\s+)?(?:correct\s+|final\s+)?(?:answer|option|choice)\s*(?:is\s*|[:：]\s*)"
+LOOSE_END = r"(?:[\s.,:;!)]|$)"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, {FORMS} AS said FROM (SELECT *, {LETTERS} FROM conversations)), n AS (SELECT conv_id, turn, replace(regexp_replace(said, '^\s+|\s+$', '', 'g'), '**', '') AS s FROM t),
+e AS (SELECT conv_id, turn, s, lower(regexp_replace(s, '\.+$', '')) AS bare, list_distinct(list_concat(list_transform(regexp_extract_all(s, '(?im){LINE_LEAD}\(?([A-D])\)?{LOOSE_END}', 1), lambda x: x), regexp_extract_all(s, '^\(?([A-D])\)?{LOOSE_END}', 1))) AS l,
+  regexp_matches(s, '^\(?[A-D]\)?\s*(?:/|or\b|and\b|,)\s*\(?[A-D]\)?(?:\W|$)') AS other FROM n)
+SELECT conv_id, turn, CASE WHEN len(l) > 1 OR other THEN NULL WHEN len(l) = 1 THEN l[1] WHEN regexp_matches(bare, '^choice [0-3]$') THEN chr(65 + right(bare, 1)::INT) END AS answer FROM e""")
+def declared_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older rules over answers of every form."""
+    rows = table(spark, sf_dir, "conversations").selectExpr("*", "(conv_id + turn) % 16 AS k", "chr(65 + conv_id % 4) AS x", "chr(65 + (conv_id + 1) % 4) AS y")
+    options = F.create_map(*[x for i, k in enumerate("ABCD") for x in (F.lit(k), F.lit(f"choice {i}"))])
+    return rows.select("conv_id", "turn", text.parse_declared(F.expr(FORMS), options).alias("answer"))
+
+
+@query(f"""WITH j AS ({answers_sql(f"SELECT conv_id, turn, {SAID} AS said FROM conversations")}), u AS ({ORACLES["upstream_answer"]}), s AS ({ORACLES["strict_answer"]})
+SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN j.answer ELSE u.answer END AS answer, CASE WHEN conv_id % 2 = 0 THEN j.answer ELSE s.answer END AS strict FROM j JOIN u USING (conv_id, turn) JOIN s USING (conv_id, turn)""")
+def dispatched_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each dataset's rules, chosen row by row."""
+    options = F.create_map(*[x for i, k in enumerate("ABCD") for x in (F.lit(k), F.lit(f"choice {i}"))])
+    dataset = F.when(F.col("conv_id") % 2 == 0, "joint").otherwise("avspeaker")
+    answer, strict = text.read_answer(dataset, F.col("said"), options)
+    return said(spark, sf_dir).select("conv_id", "turn", answer.alias("answer"), strict.alias("strict"))
+
+
+@query(r"""SELECT c_custkey, [c_name, 'it''s "' || c_mktsegment || '"', 'é' || chr(10) || c_nationkey, c_nationkey::VARCHAR, 'None'] AS choices FROM customer""")
+def choice_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists written as source text, with both quotes, escapes and bare numbers; broken ones are null and left out here."""
+    rows = table(spark, sf_dir, "customer")
+    source = F.concat(F.lit("['"), "c_name", F.lit("', 'it\\'s \"' '"), "c_mktsegment", F.lit("\"', \"\\u00e9\\n"), F.col("c_nationkey").cast("string"), F.lit("\", "), F.col("c_nationkey").cast("string"), F.lit(", None,]"))
+    both = F.explode(F.array(source, F.concat(source, F.lit("]"))))
+    return rows.select("c_custkey", both.alias("source")).select("c_custkey", text.choices_list(F.col("source")).alias("choices")).where("choices is not null")

@@ -6,7 +6,6 @@ an Arrow UDF (casefold).
 
 from __future__ import annotations
 
-import ast
 import re
 from collections.abc import Callable
 
@@ -252,20 +251,47 @@ def cluster_key(video_name: Column, clip_path: Column) -> Column:
     return F.coalesce(video_name, F.regexp_replace(F.substring_index(clip_path, "/", -1), r"(?:_[^_]*){1,2}$", ""))
 
 
+# Literals of lists of strings, whole numbers and names of constants, as source text.
+SINGLE = r"""'(?:'(?!')|(?:[^'\\\n]|\\.)++')"""
+QUOTED = f"(?:{SINGLE}|{SINGLE.replace(chr(39), chr(34))})"
+GAP = r"(?:[ \t\n\r\f]|\\\n)*+"
+ITEM = f"(?:(?:{QUOTED}{GAP})++|-?[0-9]++|None|True|False)"
+LIST = rf"(?s)\A[ \t]*+\[{GAP}(?:{ITEM}{GAP}(?:,{GAP}{ITEM}{GAP})*+(?:,{GAP})?+)?+\]{GAP}\z"
+PIECE = r"(?s)\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|.)|[^\\]++"
+#: What a backslash and one character stand for; any other stays as it is, and x, u, U and N need more behind them.
+ESCAPES = {"\n": "", "\\": "\\", "'": "'", '"': '"', "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+
+
+def unescaped(body: Column) -> Column:
+    """What the inside of a quoted string stands for; null if an escape isn't whole."""
+    known = F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv])
+    of_code = lambda digits: F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+    def meant(p: Column) -> Column:
+        kind, rest = F.substring(p, 2, 1), F.substring(p, 3, 8)
+        coded = F.when(kind.isin("x", "u", "U"), F.when(F.length(p) > 2, of_code(rest))).when(F.rlike(kind, F.lit("[0-7]")), of_code(F.conv(F.substring(p, 2, 3), 8, 16)))
+        plain = F.coalesce(F.try_element_at(known, kind), p)
+        return F.when(~F.startswith(p, F.lit("\\")), p).when(kind.isin("x", "u", "U", "0", "1", "2", "3", "4", "5", "6", "7"), coded).when(kind != "N", plain)
+
+    pieces = F.transform(F.regexp_extract_all(body, F.lit(PIECE), F.lit(0)), meant)
+    return F.when(~F.contains(body, F.lit("\\")), body).when(F.forall(pieces, lambda p: p.isNotNull()), F.array_join(pieces, ""))
+
+
 def choices_list(text: Column) -> Column:
-    """Options from a list written as source text; null if it isn't one."""
+    """Options from a list written as source text: strings of either quotes (several in a row are one), whole numbers, None, True, False.
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def read(values: pd.Series) -> pd.Series:
-        def one(value: str | None) -> list[str] | None:
-            try:
-                return [str(x) for x in ast.literal_eval(value)] if value is not None else None
-            except (SyntaxError, ValueError, TypeError):
-                return None
+    Null for anything else, names of characters (\\N) and prefixes of strings included.
+    """
+    items = F.regexp_extract_all(text, F.lit(f"(?s){ITEM}"), F.lit(0))
 
-        return values.map(one)
+    def read(item: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(item, F.lit(f"(?s){QUOTED}"), F.lit(0)), lambda q: unescaped(q.substr(F.lit(2), F.length(q) - 2)))
+        whole = F.when(F.forall(parts, lambda p: p.isNotNull()), F.array_join(parts, ""))
+        number = F.regexp_replace(item, r"\A(-?)0+(?=0)", "$1")
+        return F.when(F.rlike(item, F.lit("\\A['\"]")), whole).when(item == "-0", "0").when(~F.rlike(number, F.lit(r"\A-?0[0-9]")), number)
 
-    return read(text)
+    found = F.transform(items, read)
+    return F.when(F.rlike(text, F.lit(LIST)) & F.forall(found, lambda x: x.isNotNull()), found)
 
 
 def out_of_memory(error: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numeric, text
-from .operators import checks, records, scoring
+from .operators import checks, records, sampling, scoring
+from .plans import prompts
 from .queries import log, query, questions, table
 
 
@@ -103,3 +104,67 @@ def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "CUDA Out of Memory: tried").otherwise("other"))
     status = F.when(F.col("event_type") == "error", "error").otherwise("ok")
     return table(spark, sf_dir, "events").select("event_id", text.exit_code(status, error).alias("code"), F.coalesce(text.out_of_memory(error), F.lit(False)).alias("memory"))
+
+
+def sql_text(template: str, **values: str) -> str:
+    """A SQL expression of a prompt's text with values in place of its names."""
+    parts = []
+    while "<<" in template:
+        before, _, rest = template.partition("<<")
+        name, _, template = rest.partition(">>")
+        parts += ["'" + before.replace("'", "''") + "'", values[name]]
+    return "(" + " || ".join([*parts, "'" + template.replace("'", "''") + "'"]) + ")"
+
+
+SECONDS, START, END = "format('{:.3f}', n_chars / 7::DOUBLE)", "format('{:.3f}', n_chars / 21::DOUBLE)", "format('{:.3f}', n_chars / 21::DOUBLE + 0.0625)"
+POLICY = f"""CASE WHEN doc_id % 2 = 0 THEN '{prompts.SPARSE_VIDEO}' ELSE '{prompts.NATIVE_VIDEO}' END || CASE WHEN doc_id % 3 > 0 THEN '{prompts.SPARSE_AUDIO}' WHEN doc_id % 2 = 0 THEN '{prompts.FIRST_AUDIO}' ELSE '{prompts.FULL_AUDIO}' END"""
+LOOK = f"CASE WHEN doc_id % 2 = 0 THEN {sql_text(prompts.NEXT_LOOK, duration=SECONDS)} ELSE '{prompts.NO_LOOK}' END"
+
+
+@query(f"""SELECT doc_id, sha256({sql_text(prompts.GLOBAL, duration=SECONDS, policy=POLICY, question="text")}) AS global_digest,
+sha256({sql_text(prompts.LOCAL, start=START, end=END, look=LOOK, previous="coalesce(source, 'none')", question="text", output=f"CASE WHEN doc_id % 2 = 0 THEN '{prompts.NEXT_OUTPUT}' ELSE '{prompts.NO_OUTPUT}' END")}) AS local_digest,
+sha256({sql_text(prompts.FINAL, evidence="coalesce(lang, 'none')", question="text")}) AS final_digest FROM documents""")
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three prompts of every document, with times to three decimals and the policy of its dataset and model."""
+    size = F.col("n_chars")
+    seconds, start, end = size / F.lit(7.0), size / F.lit(21.0), size / F.lit(21.0) + F.lit(0.0625)
+    policy = prompts.audio_policy(F.when(F.col("doc_id") % 2 == 0, "joint").otherwise("avspeaker"), F.when(F.col("doc_id") % 3 == 0, "omni").otherwise("other"))
+    asked = F.concat(F.lit("Options.\nQuestion: "), "text")
+    local = [prompts.local_prompt(asked, seconds, start, end, F.coalesce("source", F.lit("none")), again) for again in (True, False)]
+    digest = lambda c: F.sha2(c, 256)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", digest(prompts.global_prompt(asked, seconds, policy)).alias("global_digest"), digest(F.when(F.col("doc_id") % 2 == 0, local[0]).otherwise(local[1])).alias("local_digest"),
+        digest(prompts.final_prompt(asked, F.coalesce("lang", F.lit("none")))).alias("final_digest"),
+    )
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn // 4 AS arm, role, CASE WHEN turn % 3 = 0 THEN length(text) / 4.0::DOUBLE WHEN turn % 3 = 1 THEN greatest(0, length(text) % 7 - 3) / 2.0::DOUBLE ELSE 0 END AS s, length(text) >= 200 AS long FROM conversations)
+SELECT conv_id, arm, sum(s) AS encoded, bool_and(long) AS every, bool_or(long) AS some, arg_max(role, turn) AS last_role, count_if(role = 'user')::INT AS users FROM c GROUP BY conv_id, arm""")
+def arm_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked of an arm's calls: encoded audio (said, else summed over clips), all and any, the last one, those of a kind."""
+    size = F.length("text")
+    clips = F.when(F.col("turn") % 3 == 1, F.array(F.array(F.lit(1.5), F.lit(1.5) + (size % 7 - 3) / F.lit(2.0))))
+    call = F.struct("turn", F.col("role").alias("role"), F.when(F.col("turn") % 3 == 0, size / F.lit(4.0)).alias("audio_seconds_encoded"), clips.alias("native_audio_clip_timepoints"), (size >= 200).alias("long"))
+    arms = table(spark, sf_dir, "conversations").groupBy("conv_id", F.expr("turn div 4").alias("arm")).agg(F.array_sort(F.collect_list(call)).alias("calls"))
+    held = arms.select("conv_id", F.create_map(F.col("arm").cast("string"), "calls").alias("arms"), "arm").select("conv_id", "arm", F.col("arms")[F.col("arm").cast("string")].alias("calls"))
+    return held.select(
+        "conv_id", "arm", scoring.total(F.col("calls"), scoring.encoded_audio_seconds).alias("encoded"), F.forall("calls", lambda c: c["long"]).alias("every"), F.exists("calls", lambda c: c["long"]).alias("some"),
+        F.element_at("calls", -1)["role"].alias("last_role"), F.size(F.filter("calls", lambda c: c["role"] == "user")).alias("users"),
+    )
+
+
+@query("""WITH f AS (SELECT lang, max(doc_id) AS i FROM documents GROUP BY lang) SELECT row_number() OVER (ORDER BY i DESC) - 1 AS pos, doc_id AS qid, d.lang AS task FROM documents d JOIN f ON doc_id = i""")
+def pilot_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a short list of ids, one for each task, in the order of the list."""
+    rows = questions(spark, sf_dir).select("qid", "task")
+    listed = [r["i"] for r in rows.groupBy("task").agg(F.max("qid").alias("i")).orderBy(F.desc("i")).collect()]
+    return sampling.in_given_order(rows, listed).select(F.col("pos").cast("long").alias("pos"), "qid", "task")
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END, CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice / 2 END, 0) AS seconds, o_orderkey % 2 = 0 AS joint, CASE WHEN o_orderkey % 2 = 0 THEN 'clip-' || o_custkey END AS clip FROM orders""")
+def default_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of two fields that a record has, else nothing; and columns overridden in some rows."""
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    seconds = F.coalesce(F.when(key % 3 == 0, price), F.when(key % 3 == 1, price / 2), F.lit(0.0))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", seconds.alias("seconds"), F.lit(False).alias("joint"), F.concat(F.lit("clip-"), F.col("o_custkey").cast("string")).alias("clip"))
+    return rows.withColumns({"joint": key % 2 == 0, "clip": F.when(key % 2 == 0, F.col("clip"))})

@@ -157,3 +157,26 @@ def test_cluster_key_and_choices(spark):
     assert values(spark, paths, text.cluster_key(F.lit(None).cast("string"), F.col("text"))) == [p.rsplit("/", 1)[-1].rsplit("_", 2)[0] for p in paths]
     assert values(spark, ["['a', 'b']", "nonsense(", None], text.choices_list(F.col("text"))) == [["a", "b"], None, None]
     assert values(spark, ["CUDA Out Of Memory", "other"], text.exit_code(F.lit("error"), F.col("text"))) == [42, 1]
+
+
+def test_lists_of_source_text(spark):
+    """Whatever of these is a list is read as it is; all else is null."""
+    import ast
+    import warnings
+
+    warnings.simplefilter("ignore")
+    source = random.Random(12)
+    parts = ["'", '"', "a", "é", "\\", "\\n", "\\'", '\\"', "\\x41", "\\u00e9", "\\U0001f600", "\\101", "\\0", "\\d", "\\xZ", "\\u12", "'a'", '"b c"', "''", ", ", ",", " ", "1", "-20", "None", "True", "[", "]", "\n", "'it\\'s'", "0", "00"]
+    texts = ["[" + "".join(source.choice(parts) for _ in range(source.randint(0, 6))) + "]" for _ in range(6000)]
+    texts += ["['a', 'b', \"c's\", 'd']", "  ['x']  ", "nonsense(", "['a'", "[a]", "['a' 'b' \"c\"]", "['a',]", "[,]", "[]", "", "['line\nbreak']", "['a\\\nb']", "['" + "x" * 100_000 + "']", "[" + "'a'," * 5_000 + "'b']", None]
+
+    def plain(t):
+        try:
+            return [str(x) for x in ast.literal_eval(t)]
+        except (SyntaxError, ValueError, TypeError):
+            return None
+
+    got = values(spark, texts, text.choices_list(F.col("text")))
+    wrong = [(t[:80], g, plain(t)) for t, g in zip(texts, got, strict=True) if t is not None and g != plain(t)]
+    assert not wrong, wrong[:5]
+    assert got[-1] is None and sum(g is not None for g in got) > 300
