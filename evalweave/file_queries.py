@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .operators import checks
 from .operators.ordering import running_sums
 from .operators.staging import settle, shared_dir
 from .queries import query, table
@@ -15,7 +16,13 @@ from .sources import logs, shards, sinks
 
 
 def place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new name in the shared folder. What is under it goes when the application ends, as results are read lazily."""
+    base = f"{shared_dir(spark).rstrip('/')}/queries-{spark.sparkContext.applicationId}"
+    fs, at = logs._file(spark, base)
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def one_file(df: DataFrame, path: str, end: str = "\n") -> str:
@@ -176,6 +183,19 @@ def large_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_keyed(spark, path, "struct<name:string,balance:double,segment:string>").select("qid", "value.*")
 
 
+@query("SELECT n_nationkey, 'n_nationkey=' || n_nationkey || '/clip.txt' AS clip_path FROM nation")
+def existing_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that stay inside a root and name files there."""
+    root, rows = place(spark, "clips"), nations(spark, sf_dir)
+    made = rows.select("n_nationkey", F.col("n_name").alias("value")).repartition("n_nationkey")
+    made.write.partitionBy("n_nationkey").text(root)
+    name = F.regexp_extract(F.input_file_name(), r"[^/]*$", 0)
+    names = spark.read.text(root).select("n_nationkey", name.alias("file"))
+    asked = names.select("n_nationkey", F.concat(F.lit("n_nationkey="), "n_nationkey", F.lit("/./"), "file").alias("clip_path"))
+    found = checks.existing(asked, "clip_path", logs.file_names(spark, root))
+    return found.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.regexp_replace(F.regexp_replace("clip_path", r"/\./", "/"), r"[^/]+$", "clip.txt").alias("clip_path"))
+
+
 @query("SELECT p_partkey, p_name FROM part")
 def settled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An intermediate table in the shared folder."""

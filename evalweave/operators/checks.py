@@ -62,6 +62,14 @@ def stays_inside(path: Column) -> Column:
     return ~F.startswith(path, F.lit("/")) & (depth["low"] >= 0)
 
 
+def existing(rows: DataFrame, path: str, files: DataFrame) -> DataFrame:
+    """rows, with an error for a path that leaves the root or names no file there. files: file, relative to the root."""
+    plain = F.regexp_replace(F.regexp_replace(path, r"(^|/)(?:\./+)+", "$1"), r"/{2,}", "/")
+    asked = rows.withColumn("_file", required(plain, F.coalesce(stays_inside(F.col(path)), F.lit(False)), "a path leaves its root"))
+    found = asked.join(files.select(F.col("file").alias("_file"), F.lit(True).alias("_there")).distinct(), "_file", "left")
+    return found.withColumn(path, required(F.col(path), F.col("_there"), "a file is not there")).select(*rows.columns)
+
+
 def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 

@@ -15,12 +15,16 @@ def latest(records: DataFrame, key: str = "qid", order: str = "ord") -> DataFram
     return records.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r")).select(key, "r.*").select(*records.columns)
 
 
+def followed(records: DataFrame, key: str = "qid", order: str = "ord") -> DataFrame:
+    """key, first_good, last, broken: whether any record of a key follows a good one."""
+    state = records.groupBy(key).agg(F.min(F.when(F.col("status") == "ok", F.col(order))).alias("first_good"), F.max(order).alias("last"))
+    return state.withColumn("broken", F.coalesce(F.col("first_good") != F.col("last"), F.lit(False)))
+
+
 def latest_strict(records: DataFrame, key: str = "qid", order: str = "ord") -> DataFrame:
     """The same; an error if any record follows a good one."""
-    state = records.groupBy(key).agg(F.min(F.when(F.col("status") == "ok", F.col(order))).alias("_good"), F.max(order).alias("_last"))
-    fine = F.col("_good").isNull() | (F.col("_good") == F.col("_last"))
-    checked = state.select(F.when(fine, F.col(key)).otherwise(F.raise_error(F.lit("a record follows a good one")).cast(records.schema[key].dataType)).alias(key))
-    return latest(records, key, order).join(checked, key)
+    fine = F.when(~F.col("broken"), F.col(key)).otherwise(F.raise_error(F.lit("a record follows a good one")).cast(records.schema[key].dataType))
+    return latest(records, key, order).join(followed(records, key, order).select(fine.alias(key)), key)
 
 
 def with_previous(records: DataFrame, column: str = "status", key: str = "qid", order: str = "ord") -> DataFrame:

@@ -371,12 +371,10 @@ def joined_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LATEST_SQL + "SELECT qid, ord, status, event_type, value FROM latest")
 def incremental_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest records after the log's files went through a stream."""
-    import uuid
-
-    from .operators.staging import shared_dir
+    from .file_queries import place
     from .streaming.rescore import follow_log, newest_state, stream_files
 
-    base = f"{shared_dir(spark).rstrip('/')}/rescore-{uuid.uuid4().hex}"
+    base = place(spark, "rescore")
     path = f"{sf_dir}/events.parquet"
     stream = stream_files(spark, path, spark.read.parquet(path).schema)
     status = F.when(F.col("event_type") == "error", "error").otherwise("ok")

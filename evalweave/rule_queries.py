@@ -168,3 +168,20 @@ def default_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.coalesce(F.when(key % 3 == 0, price), F.when(key % 3 == 1, price / 2), F.lit(0.0))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", seconds.alias("seconds"), F.lit(False).alias("joint"), F.concat(F.lit("clip-"), F.col("o_custkey").cast("string")).alias("clip"))
     return rows.withColumns({"joint": key % 2 == 0, "clip": F.when(key % 2 == 0, F.col("clip"))})
+
+
+@query("""SELECT user_id AS qid, min(event_id) FILTER (event_type <> 'error') AS first_good, max(event_id) AS last, coalesce(min(event_id) FILTER (event_type <> 'error') <> max(event_id), false) AS broken FROM events GROUP BY user_id""")
+def followed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which questions have records behind a good one, over the whole log."""
+    return records.followed(log(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT doc_id, n_chars + 2 AS total, least(greatest(n_chars / 25.0::DOUBLE * 2, 4), 32, n_chars + 2)::DOUBLE AS w, greatest(0.0::DOUBLE, n_chars / 100.0::DOUBLE - 2.0) AS last FROM documents),
+k AS (SELECT *, (floor(floor(w) / 2) * 2)::INT AS frames FROM c)
+SELECT doc_id, array_to_string(list_transform(range(frames), lambda i: round_even(0.0::DOUBLE + i * ((total::DOUBLE - 1 - 0.0) / (frames - 1)), 0)::BIGINT), ',') AS frames,
+list_transform(range(8), lambda i: 0.0::DOUBLE + i * ((last - 0.0) / 7)) AS starts FROM k""")
+def sample_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frame numbers and all starts of snippets of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") + 2).alias("total"), (F.col("n_chars") / F.lit(25.0)).alias("duration"), numeric.snippet_starts(F.col("n_chars") / F.lit(100.0)).alias("starts"))
+    frames = numeric.frame_indices(numeric.frame_count(F.col("duration"), F.col("total")), F.col("total"))
+    return docs.select("doc_id", F.array_join(frames.cast("array<string>"), ",").alias("frames"), "starts")

@@ -128,6 +128,15 @@ def digests(spark: SparkSession, path: str, suffix: str = "", without: tuple[str
     return with_digests(kept)
 
 
+def file_names(spark: SparkSession, root: str) -> DataFrame:
+    """file: names of all files below a root, relative to it."""
+    fs, at = _file(spark, root)
+    top = fs.makeQualified(at).toUri().getPath()
+    path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(path.alias("path"))
+    return files.select(F.split_part("path", F.lit(f"{top}/"), F.lit(2)).alias("file"))
+
+
 def digest_map(files: DataFrame) -> DataFrame:
     """One row: map from path to digest, sorted by path (a manifest of source files)."""
     return files.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "digest")))).alias("digests"))

@@ -111,3 +111,18 @@ def test_shards(spark, tmp_path):
     assert got == {f"tower.{i}": ([float(i)] * (i % 5), 4 * (i % 5)) for i in range(1, 100, 2)}
     with pytest.raises(Exception, match="no shard holds lost"):
         shards.look_up(spark.createDataFrame([("lost",)], "key string"), index).collect()
+
+
+def test_paths_that_must_be_there(spark, tmp_path):
+    from evalweave.operators import checks
+
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b/x+y.mp4").write_text("1")
+    files = logs.file_names(spark, str(tmp_path))
+    assert [r["file"] for r in files.collect()] == ["a b/x+y.mp4"]
+    rows = lambda p: spark.createDataFrame([(1, p)], "i int, clip_path string")
+    assert checks.existing(rows("./a b/./x+y.mp4"), "clip_path", files).first()["clip_path"] == "./a b/./x+y.mp4"
+    with pytest.raises(Exception, match="not there"):
+        checks.existing(rows("a b/none.mp4"), "clip_path", files).collect()
+    with pytest.raises(Exception, match="leaves its root"):
+        checks.existing(rows("a b/../../x"), "clip_path", files).collect()

@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from evalweave import answer_queries, file_queries, queries, rule_queries
+from evalweave import answer_queries, file_queries, plan_queries, queries, rule_queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n, f in queries.QUERIES.items() if f.__module__ in (answer_queries.__name__, rule_queries.__name__, file_queries.__name__)]
+NAMES = [n for n, f in queries.QUERIES.items() if f.__module__ in (answer_queries.__name__, rule_queries.__name__, file_queries.__name__, plan_queries.__name__)]
 
 
 def plain(row):
@@ -18,7 +18,7 @@ def plain(row):
 @pytest.fixture(scope="module")
 def base():
     con = duckdb.connect()
-    for name in "region nation customer supplier part orders lineitem events documents labels conversations".split():
+    for name in "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
