@@ -130,26 +130,20 @@ def steps() -> list[tuple[str, int, int, int]]:
 
 def audit(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame:
     """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
-    held = counters(failure_masks(docs, part), labels).groupBy("part").agg(F.collect_list(F.struct(F.col("mask").cast("int").alias("mask"), "n", "good", "toxic")).alias("masks"))  # at most 32
     every = F.array(*[F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(bit).alias("bit"), F.lit(before).alias("before")) for o, s, bit, before in steps()])
-    rows = held.select("part", "masks", F.explode(every).alias("s")).select("part", "masks", "s.*")
+    # At most 32 masks a part, each in every step of every order.
+    rows = counters(failure_masks(docs, part), labels).select("*", F.explode(every).alias("s")).select("part", F.col("mask").cast("int").alias("mask"), "n", "good", "toxic", "s.*")
+    fails, earlier = F.col("mask").bitwiseAND(F.col("bit")) != 0, F.col("mask").bitwiseAND(F.col("before")) != 0
     orders = len(steps()) // len(FILTERS)
-
-    def total(value, condition) -> Column:
-        return F.aggregate(F.filter("masks", condition), F.lit(0).cast("long"), lambda s, m: s + value(m).cast("long"))
-
-    fails = lambda m: m["mask"].bitwiseAND(F.col("bit")) != 0
-    earlier = lambda m: m["mask"].bitwiseAND(F.col("before")) != 0
-    here = lambda m: fails(m) & ~earlier(m)
-    n = lambda m: m["n"]
-    return rows.select(
-        "part", "filter_order", "step",
-        total(n, lambda m: ~fails(m) & ~earlier(m)).alias("kept"),
-        total(n, here).alias("removed"),
-        total(n, lambda m: fails(m) & earlier(m)).alias("redundant"),
-        total(n, lambda m: m["mask"] == F.col("bit")).alias("unique_fails"),
-        total(lambda m: m["good"], here).alias("good_lost"),
-        total(lambda m: m["toxic"], here).alias("toxic_lost"),
+    total = lambda value, condition: F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("long")
+    n = F.col("n")
+    return rows.groupBy("part", "filter_order", "step").agg(
+        total(n, ~fails & ~earlier).alias("kept"),
+        total(n, fails & ~earlier).alias("removed"),
+        total(n, fails & earlier).alias("redundant"),
+        total(n, F.col("mask") == F.col("bit")).alias("unique_fails"),
+        total(F.col("good"), fails & ~earlier).alias("good_lost"),
+        total(F.col("toxic"), fails & ~earlier).alias("toxic_lost"),
         # Among the failures of a document each is first in an equal share of all orders.
-        total(lambda m: m["n"] * (F.lit(orders) / F.bit_count(m["mask"])), fails).alias("shapley"),
+        total(F.expr(f"n * ({orders} div bit_count(mask))"), fails).alias("shapley"),
     )
