@@ -93,8 +93,7 @@ def dispatched_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each dataset's rules, chosen row by row."""
     options = F.create_map(*[x for i, k in enumerate("ABCD") for x in (F.lit(k), F.lit(f"choice {i}"))])
     dataset = F.when(F.col("conv_id") % 2 == 0, "joint").otherwise("avspeaker")
-    answer, strict = text.read_answer(dataset, F.col("said"), options)
-    return said(spark, sf_dir).select("conv_id", "turn", answer.alias("answer"), strict.alias("strict"))
+    return said(spark, sf_dir).select("conv_id", "turn", text.read_answer(dataset, F.col("said"), options).alias("read")).select("conv_id", "turn", "read.answer", "read.strict")
 
 
 @query(r"""SELECT c_custkey, [c_name, 'it''s "' || c_mktsegment || '"', 'é' || chr(10) || c_nationkey, c_nationkey::VARCHAR, 'None'] AS choices FROM customer""")

@@ -240,10 +240,14 @@ def parse_declared(text: Column, options: Column) -> Column:
     return F.when(~doubtful, F.coalesce(F.get(letters, F.lit(0)), option_said(said, options)))
 
 
-def read_answer(dataset: Column, text: Column, options: Column) -> tuple[Column, Column]:
-    """(answer, strict answer) by the rules of the question's dataset: joint, or else avspeaker."""
-    joint = parse_answer(text, options)["answer"]
-    return F.when(text.isNull(), None).when(dataset == "joint", joint).otherwise(upstream_answer(text)), F.when(text.isNull(), None).when(dataset == "joint", joint).otherwise(strict_answer(text))
+def read_answer(dataset: Column, text: Column, options: Column) -> Column:
+    """struct<answer,strict> by the rules of the question's dataset: joint, or else avspeaker. Keep it in a column and take its fields from there."""
+    joint = parse_answer(F.when(dataset == "joint", text), options)["answer"]
+    other = F.when(dataset == "joint", None).otherwise(text)
+    rules = F.struct(joint.alias("joint"), upstream_answer(other).alias("first"), strict_answer(other).alias("strict"))
+    known = text.isNotNull()
+    pick = lambda r, field: F.when(known, F.when(dataset == "joint", r["joint"]).otherwise(r[field]))
+    return held(rules, lambda r: F.struct(pick(r, "first").alias("answer"), pick(r, "strict").alias("strict")))
 
 
 def cluster_key(video_name: Column, clip_path: Column) -> Column:

@@ -26,8 +26,7 @@ def scored_rows(questions: DataFrame, labels: DataFrame, history: DataFrame, pre
     def answers(df: DataFrame, texts: dict[str, str]) -> DataFrame:
         out = df.join(rows.select("qid", "prefix2text"), "qid")
         for method, text in texts.items():
-            first, strict = read_answer(name, F.col(text), options)
-            out = out.withColumns({method: first, f"{method}_strict": strict})
+            out = out.withColumn("_read", read_answer(name, F.col(text), options)).withColumns({method: F.col("_read.answer"), f"{method}_strict": F.col("_read.strict")}).drop("_read")
         return out.drop("prefix2text")
 
     had = answers(history.select("qid", F.col("model_output").alias("_b")), {"baseline": "_b"}).select("qid", "baseline")
