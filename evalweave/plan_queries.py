@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .file_queries import place
@@ -44,19 +44,22 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select(F.col("qid").cast("string").alias("qid"), "task", F.concat(F.lit("c/"), "qid", F.lit("_1_2.mp4")).alias("clip_path"), prompt.alias("question_prompt"), F.lit(30.0).alias("duration"))
 
 
-def resumed(spark: SparkSession, sf_dir: str, repeat_check: bool) -> tuple[DataFrame, Ledger]:
+def policy() -> Column:
+    return audio_policy(F.lit("joint"), F.lit("omni"))
+
+
+def resumed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Ledger]:
     """A run that breaks off after the agent's first look and goes on with the same ledger."""
     rows, ledger = asked(spark, sf_dir), Ledger(spark, place(spark, "ledger"))
-    policy = audio_policy(F.lit("joint"), F.lit("omni"))
     try:
-        run_questions(rows, policy, model(True), repeat_check, ledger)
+        run_questions(rows, policy(), model(True), ledger=ledger)
     except ValueError as e:
         if "broken off" not in str(e):
             raise
     else:
         if not rows.isEmpty():
             raise ValueError("the run didn't break off")
-    return run_questions(rows, policy, model(False), repeat_check, ledger), ledger
+    return run_questions(rows, policy(), model(False), ledger=ledger), ledger
 
 
 CENTER = "CASE WHEN doc_id % 3 > 0 AND doc_id % 40 + 0.5 <= 30 THEN doc_id % 40 + 0.5 ELSE {} END::DOUBLE"
@@ -66,7 +69,7 @@ CENTER = "CASE WHEN doc_id % 3 > 0 AND doc_id % 40 + 0.5 <= 30 THEN doc_id % 40
 CASE WHEN doc_id % 3 > 0 AND doc_id % 40 + 0.5 <= 30 THEN 0 ELSE 2 END::INT AS fallbacks, 8::BIGINT AS logical, 1.0::DOUBLE AS seconds FROM documents""")
 def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both arms' answers and looks of every question, after a run that broke off and went on."""
-    out, _ = resumed(spark, sf_dir, False)
+    out, _ = resumed(spark, sf_dir)
     agent, fixed = F.col("arms")["agent"], F.col("arms")["fixed"]
     return out.select(
         "qid", "task", agent["model_output"].alias("agent"), fixed["model_output"].alias("fixed"), agent["decisions"][0]["center"].alias("first_center"), agent["decisions"][1]["center"].alias("second_center"),
@@ -78,7 +81,7 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT stage, count(*) AS calls, count(DISTINCT doc_id) AS questions, 0::BIGINT AS failed FROM documents, (SELECT unnest(['global_plan', 'agent_inspect_1', 'agent_inspect_2', 'agent_final', 'fixed_inspect_1', 'fixed_inspect_2', 'fixed_final']) AS stage) GROUP BY stage""")
 def ledger_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each stage was asked in all: once for a question, whatever was broken off."""
-    _, ledger = resumed(spark, sf_dir, False)
+    _, ledger = resumed(spark, sf_dir)
     rows = spark.read.schema("qid string, error string, stage string").parquet(ledger.path)
     good = rows.where("error is null")
     return good.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("qid").alias("questions"), F.count_if(F.col("error").isNotNull()).alias("failed"))
@@ -87,7 +90,7 @@ def ledger_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id::VARCHAR AS qid, CASE WHEN doc_id % 3 > 0 AND doc_id % 40 + 0.5 <= 30 THEN 2 ELSE 0 END::INT AS used, true AS direct_text_identical, 6::BIGINT AS repeats, true AS parity, false AS cut FROM documents""")
 def pilot_gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pilot: direct and repeated calls beside the arms, against a history of the same calls, through the gate."""
-    out, _ = resumed(spark, sf_dir, True)
+    out = run_questions(asked(spark, sf_dir), policy(), model(False), repeat_check=True)
     call = F.col("direct_baseline_check")
     # The stand-in model's calls have no number of frames.
     framed = out.withColumn("direct_baseline_check", F.struct(F.lit(8).alias("frames"), *[call[k].alias(k) for k in [*MEDIA_KEYS[1:], "model_output"]]))
