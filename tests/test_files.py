@@ -101,6 +101,63 @@ def test_arrays_from_parts(spark, tmp_path):
     assert {p.name.strip(".").removesuffix(".crc") for p in tmp_path.iterdir()} == {"a.json"}
 
 
+def array_read(path, block):
+    """All objects of an array, block after block, as the tasks read them."""
+    size, start, quotes, depth, found = path.stat().st_size, large_files.array_start(str(path)), 0, 0, []
+    if start is None:
+        raise ValueError("no array")
+    for begin in range(start, size, block):
+        part = (str(path), begin, min(size, begin + block))
+        found += large_files.array_rows(*part, begin == start, quotes % 2 == 1, depth)
+        totals = large_files.block_totals(*part)
+        quotes, depth = quotes + totals[0], depth + totals[1 + quotes % 2]
+    return found
+
+
+@pytest.mark.parametrize("block", [7, 50, 1 << 20])
+def test_arrays_of_any_objects_in_any_blocks(tmp_path, monkeypatch, block):
+    """Whole or broken, in whatever blocks and steps: the objects that json finds, or an error where it finds none."""
+    source, path, seen = random.Random(block), tmp_path / "a.json", [0, 0]
+    for i in range(60):
+        rows = [{str(k): made(source) for k in range(source.randint(0, 3))} for _ in range(source.randint(0, 5))]
+        text = source.choice(["", " \n", "\ufeff"]) + json.dumps(rows, ensure_ascii=i % 2 == 0, indent=source.choice([None, 1])) + source.choice(["", "\n"])
+        if i % 3 == 0:
+            at = source.randrange(len(text))
+            text = source.choice([text[:at] + text[at + 1 :], text[:at] + source.choice('"{}[],x') + text[at:], text[:at]])
+        path.write_text(text, encoding="utf-8")
+        try:
+            want = json.loads(path.read_text(encoding="utf-8-sig"))
+            want = want if isinstance(want, list) and all(isinstance(x, dict) for x in want) else None
+        except ValueError:
+            want = None
+        monkeypatch.setattr(large_files, "STEP", source.choice([13, 1000]))
+        try:
+            found = array_read(path, block)
+            got = [json.loads(x) for _, x in found]
+            data = path.read_bytes()
+            assert all(data[at : at + len(x)] == x for at, x in found)
+        except ValueError:
+            got = None
+        assert got == want, text
+        seen[want is None] += 1
+    assert min(seen) > 5
+
+
+def test_an_array_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text("[\n" + ",\n".join(json.dumps({"i": i, "s": "\\]}\"[{" * 8}) for i in range(300_000)) + "\n]\n")
+    read = logs.read_document(spark, str(path), "i long, s string")
+    assert read.rdd.getNumPartitions() == -(-path.stat().st_size // (8 << 20)) > 3
+    assert read.agg(F.count("*"), F.sum("i"), F.min("s"), F.max("s")).first()[:] == (300_000, 299_999 * 150_000, "\\]}\"[{" * 8, "\\]}\"[{" * 8)
+    for text, want in (('[{"i": 1}, {"s": "x"}]', [(1, None), (None, "x")]), ('{"i": 1}', [(1, None)]), (" [ ] ", []), ("", [])):
+        path.write_text(text)
+        assert [tuple(r) for r in logs.read_document(spark, str(path), "i long, s string").collect()] == want
+    for text in ('[{"i": 1}', '[{"i": 1},]', '[{"i": 1}] x', '[{"i": 1} {"i": 2}]', '[{"i": "a"}]', "[1]"):
+        path.write_text(text)
+        with pytest.raises(Exception):  # noqa: B017
+            logs.read_document(spark, str(path), "i long, s string").collect()
+
+
 def test_shards(spark, tmp_path):
     rows = spark.createDataFrame([(f"tower.{i}" if i % 2 else f"other.{i}", [float(i)] * (i % 5)) for i in range(100)] + [("none", None)], "key string, values array<double>")
     shards.write_shards(rows, str(tmp_path / "s"), 4)
