@@ -101,5 +101,8 @@ def choice_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists written as source text, with both quotes, escapes and bare numbers; broken ones are null and left out here."""
     rows = table(spark, sf_dir, "customer")
     source = F.concat(F.lit("['"), "c_name", F.lit("', 'it\\'s \"' '"), "c_mktsegment", F.lit("\"', \"\\u00e9\\n"), F.col("c_nationkey").cast("string"), F.lit("\", "), F.col("c_nationkey").cast("string"), F.lit(", None,]"))
-    both = F.explode(F.array(source, F.concat(source, F.lit("]"))))
-    return rows.select("c_custkey", both.alias("source")).select("c_custkey", text.choices_list(F.col("source")).alias("choices")).where("choices is not null")
+    both = F.array(source, F.concat(source, F.lit("]")))
+    # A small file is one row group, so rows are dealt before they are read; lists are filtered where they are made, as a filter behind would make them again.
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(n, "c_custkey").select("c_custkey", both.alias("sources"))
+    return dealt.select("c_custkey", F.explode(F.filter(F.transform("sources", text.choices_list), lambda c: c.isNotNull())).alias("choices"))

@@ -278,7 +278,12 @@ def unescaped(body: Column) -> Column:
         return F.when(~F.startswith(p, F.lit("\\")), p).when(kind.isin("x", "u", "U", "0", "1", "2", "3", "4", "5", "6", "7"), coded).when(kind != "N", plain)
 
     pieces = F.transform(F.regexp_extract_all(body, F.lit(PIECE), F.lit(0)), meant)
-    return F.when(~F.contains(body, F.lit("\\")), body).when(F.forall(pieces, lambda p: p.isNotNull()), F.array_join(pieces, ""))
+    return F.when(~F.contains(body, F.lit("\\")), body).otherwise(joined(pieces))
+
+
+def joined(parts: Column) -> Column:
+    """The parts as one text, null if one of them is."""
+    return held(parts, lambda ps: F.when(F.forall(ps, lambda p: p.isNotNull()), F.array_join(ps, "")))
 
 
 def choices_list(text: Column) -> Column:
@@ -286,16 +291,15 @@ def choices_list(text: Column) -> Column:
 
     Null for anything else, names of characters (\\N) and prefixes of strings included.
     """
-    items = F.regexp_extract_all(text, F.lit(f"(?s){ITEM}"), F.lit(0))
+    items = F.when(F.rlike(text, F.lit(LIST)), F.regexp_extract_all(text, F.lit(f"(?s){ITEM}"), F.lit(0)))
 
     def read(item: Column) -> Column:
         parts = F.transform(F.regexp_extract_all(item, F.lit(f"(?s){QUOTED}"), F.lit(0)), lambda q: unescaped(q.substr(F.lit(2), F.length(q) - 2)))
-        whole = F.when(F.forall(parts, lambda p: p.isNotNull()), F.array_join(parts, ""))
         number = F.regexp_replace(item, r"\A(-?)0+(?=0)", "$1")
-        return F.when(F.rlike(item, F.lit("\\A['\"]")), whole).when(item == "-0", "0").when(~F.rlike(number, F.lit(r"\A-?0[0-9]")), number)
+        return F.when(F.rlike(item, F.lit("\\A['\"]")), joined(parts)).when(item == "-0", "0").when(~F.rlike(number, F.lit(r"\A-?0[0-9]")), number)
 
-    found = F.transform(items, read)
-    return F.when(F.rlike(text, F.lit(LIST)) & F.forall(found, lambda x: x.isNotNull()), found)
+    # Each step's result is held, or what asks whether all of it is there would compute it again, and that at every level.
+    return held(F.transform(items, read), lambda found: F.when(F.forall(found, lambda x: x.isNotNull()), found))
 
 
 def out_of_memory(error: Column) -> Column:

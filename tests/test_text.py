@@ -180,3 +180,13 @@ def test_lists_of_source_text(spark):
     wrong = [(t[:80], g, plain(t)) for t, g in zip(texts, got, strict=True) if t is not None and g != plain(t)]
     assert not wrong, wrong[:5]
     assert got[-1] is None and sum(g is not None for g in got) > 300
+
+
+def test_lists_are_read_once_by_many_tasks(spark):
+    """Each step of reading a list stands once in the plan, and a table of one small file is dealt to all tasks."""
+    import __spark_entry__ as entry
+
+    out = entry.queries()["choice_lists"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_extract_all") == 3
+    assert out.rdd.getNumPartitions() == 4
