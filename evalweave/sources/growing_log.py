@@ -7,7 +7,8 @@ reads its own bytes in blocks, each line by the task in whose block it begins.
 
 Rows: value, file (its place in the order of names), at (byte at which the line begins). Blank lines are left out. Paths
 are what pyarrow's file systems open (local and shared folders, hdfs, s3, gs); files that don't exist are empty; a file
-that shrinks is an error. Options: path (a file or a folder), paths (a JSON list of them), suffix, block (bytes of a task).
+that shrinks is an error. Options: path (a file or a folder), paths (a JSON list of them), suffix, block (bytes of a task;
+where that would be more than TASKS tasks, a task has several blocks in a row).
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "value string, file int, at bigint"
 BLOCK, STEP, ROWS = 64 << 20, 1 << 20, 4096
+#: So many tasks have blocks of their own; beyond, tasks grow with the bytes up to BLOCK each.
+TASKS = 256
 
 
 def opened(path: str):
@@ -88,6 +91,13 @@ def ranges(path: str, file: int, begin: int, end: int, block: int) -> list[Range
     return [Range(path, file, at, min(at + block, end), begin, end) for at in range(begin, end, block)]
 
 
+def dealt(files: list[tuple[str, int, int, int]], block: int) -> list[Range]:
+    """The ranges of all bytes to be read, by path, place of the file, first byte and end."""
+    blocks = sum(-(-(end - begin) // block) for _, _, begin, end in files)
+    wide = block * max(1, min(-(-blocks // TASKS), BLOCK // block))
+    return [r for path, k, begin, end in files for r in ranges(path, k, begin, end, wide)] or [Range("", 0, 0, 0, 0, 0)]
+
+
 def lines(part: Range) -> Iterator[tuple[bytes, int]]:
     system, at = opened(part.path)
     with system.open_input_file(at) as f:
@@ -145,8 +155,7 @@ class LogReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         block = int(self.options.get("block", BLOCK))
         torn = self.options.get("torn", "ignore") == "ignore"
-        found = [ranges(path, k, 0, whole_until(path) if torn else size_of(path), block) for k, path in enumerate(log_files(self.options))]
-        return [r for some in found for r in some] or [Range("", 0, 0, 0, 0, 0)]
+        return dealt([(path, k, 0, whole_until(path) if torn else size_of(path)) for k, path in enumerate(log_files(self.options))], block)
 
     def read(self, part: Range) -> Iterator:
         return batches(part) if part.path else iter(())
@@ -170,8 +179,7 @@ class LogStream(DataSourceStreamReader):
         block = int(self.options.get("block", BLOCK))
         if shrunk := [path for path in before if now.get(path, 0) < before[path]]:
             raise ValueError(f"{shrunk[0]} shrank")
-        found = [ranges(path, k, before.get(path, 0), now[path], block) for k, path in enumerate(sorted(now))]
-        return [r for some in found for r in some] or [Range("", 0, 0, 0, 0, 0)]
+        return dealt([(path, k, before.get(path, 0), now[path]) for k, path in enumerate(sorted(now))], block)
 
     def read(self, part: Range) -> Iterator:
         return batches(part) if part.path else iter(())

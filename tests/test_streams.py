@@ -107,3 +107,13 @@ def test_query_agrees_with_its_sql(spark, name):
     found = con.execute(queries.ORACLES[name])
     at = [d[0] for d in found.description]
     assert sorted(map(repr, map(tuple, got.select(*at).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+def test_tasks_of_a_long_log_are_bounded(spark, tmp_path):
+    """A log of many small blocks is read by no more tasks than TASKS and one for each file, every line once."""
+    for name in "ab":
+        (tmp_path / name).write_bytes(b"".join(b"%d\n" % i for i in range(9000)))
+    read = growing_log.read_log(spark, [str(tmp_path)], block=64)
+    assert read.rdd.getNumPartitions() <= growing_log.TASKS + 2
+    assert [r[0] for r in read.groupBy("value").count().where("count != 2").collect()] == [] and read.count() == 18000
+    assert growing_log.dealt([("a", 0, 0, 1 << 40)], 64)[0].end == growing_log.BLOCK
